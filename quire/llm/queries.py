@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents
+from quire.llm.common import documents, fold
+from quire.llm.language_crf import fit_language_crf, label_languages
 from quire.llm.license_index import LICENCE_WORD, TEMPLATES, scan_licences
 from quire.llm.quality_rules import RULES as QUALITY_RULES
+from quire.llm.packing import pack_documents
 from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
 from quire.llm.secret_scan import scan_secrets
@@ -97,5 +99,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM c"""
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules}
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 3) == 1
+    crf = fit_language_crf(docs.withColumn("_out", held_out), "NOT _out AND text IS NOT NULL AND lang IS NOT NULL")
+    found = label_languages(docs, crf)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_hierarchical_packing": op1_hierarchical_packing,
+    "op2_secret_scan": op2_secret_scan,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_language_crf": op10_language_crf,
+}
 ORACLES = {"op2_secret_scan": _op2_sql(), "op7_license_scan": _op7_sql(), "op8_quality_rules": _op8_sql()}
