@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, fold
 from quire.llm.language_crf import fit_language_crf, label_languages
 from quire.llm.license_index import LICENCE_WORD, TEMPLATES, scan_licences
+from quire.llm.quality_mil import fit_quality_mil, score_quality
 from quire.llm.quality_rules import RULES as QUALITY_RULES
 from quire.llm.packing import pack_documents
 from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
 from quire.llm.secret_scan import scan_secrets
+from quire.llm.toxicity_gru import fit_toxicity, score_toxicity
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +105,26 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def _learnable(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 5) != 0)
+    return labels.select("doc_id", F.col(column).alias("label"))
+
+
+def _scored(found: DataFrame, at: float) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op5_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(score_toxicity(docs, fit_toxicity(docs, _learnable(spark, sf_dir, "toxic"))), 0.5)
+
+
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(score_quality(docs, fit_quality_mil(docs, _learnable(spark, sf_dir, "quality"))), 0.3)
+
+
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -114,8 +136,10 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op5_toxicity_gru": op5_toxicity_gru,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_mil": op9_quality_mil,
     "op10_language_crf": op10_language_crf,
 }
 ORACLES = {"op2_secret_scan": _op2_sql(), "op7_license_scan": _op7_sql(), "op8_quality_rules": _op8_sql()}
