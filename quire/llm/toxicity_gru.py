@@ -23,6 +23,8 @@ from quire.llm.training import Adam, labelled_sample, sigmoid
 from quire.llm.wordgrams import WordTable, gram_ids, normal
 
 SHARP = 2.0
+#: Of the character n-grams.
+LONGEST = 4
 
 
 @dataclass
@@ -32,26 +34,28 @@ class Gru:
     stride: int
 
 
-def _log_odds(sample: list[tuple[bool, list[str]]], buckets: int) -> np.ndarray:
-    """Per bucket of whole words: log odds that a document with the word is positive, shrunk to 0 where rare."""
+def _log_odds(sample: list[tuple[bool, list[str]]], buckets: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket of whole words: log odds that a document with the word is positive, and 1 where `least` documents
+    have it. Rarer words are unknown to the network, which sees their characters alone, so it can't learn them by heart."""
     seen = {True: np.zeros(buckets), False: np.zeros(buckets)}
     total = {True: 1, False: 1}
     for positive, words in sample:
         seen[positive][np.unique(gram_ids(sorted(set(words)), buckets, 0)[1])] += 1
         total[positive] += 1
     rate = lambda k: (seen[k] + 1) / (total[k] + 2)
-    weight = (seen[True] + seen[False]) / (seen[True] + seen[False] + 5)
-    return weight * np.log(rate(True) / rate(False))
+    known = (seen[True] + seen[False] >= least).astype(float)
+    weight = known * (seen[True] + seen[False]) / (seen[True] + seen[False] + 5)
+    return weight * np.log(rate(True) / rate(False)), known[:, None]
 
 
 def word_inputs(words: list[str], p: dict) -> np.ndarray:
     """The network's input vectors of words: log odds, word vector, mean character vector."""
     plain = [normal(w) for w in words]
     _, own = gram_ids(plain, len(p["odds"]), 0)
-    owners, ids = gram_ids(plain, len(p["chars"]))
+    owners, ids = gram_ids(plain, len(p["chars"]), LONGEST)
     n = np.bincount(owners, minlength=len(words))[:, None]
     chars = np.stack([np.bincount(owners, p["chars"][ids, k], len(words)) for k in range(p["chars"].shape[1])], 1)
-    return np.concatenate([p["odds"][own][:, None], p["words"][own], chars / np.maximum(n, 1)], 1)
+    return np.concatenate([p["odds"][own][:, None], p["words"][own] * p["known"][own], chars / np.maximum(n, 1)], 1)
 
 
 def windows_of(sizes: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,26 +130,27 @@ def _laid_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc: np.n
     return np.where(inside, flat[np.clip(begins[doc] + position, 0, max(len(flat) - 1, 0))] if len(flat) else 0, 0), inside
 
 
-def train_gru(sample: list[tuple[str, str]], positive: str = "1", length: int = 32, stride: int = 16, hidden: int = 8, buckets: int = 1 << 14, width: int = 6, epochs: int = 6, seed: int = 5) -> Gru | None:
-    """sample: (label, text)."""
+def train_gru(sample: list[tuple[str, str]], positive: str = "1", length: int = 32, stride: int = 16, hidden: int = 6, buckets: int = 1 << 13, width: int = 6, epochs: int = 5, least: int = 8, drop: float = 0.4, seed: int = 5) -> Gru | None:
+    """sample: (label, text). drop: the share of a batch's words that are hidden, so that no single word suffices."""
     if len({label for label, _ in sample}) < 2:
         return None
     rng = np.random.default_rng(seed)
     y = np.array([label == positive for label, _ in sample], float)
     split = [[normal(w) for w in text.split()] for _, text in sample]
     init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
+    odds, known = _log_odds([(bool(k), w) for k, w in zip(y, split, strict=True)], buckets, least)
     p = {
-        "odds": _log_odds([(bool(k), w) for k, w in zip(y, split, strict=True)], buckets),
-        "words": rng.normal(0, 0.1, (buckets, width)), "chars": rng.normal(0, 0.1, (buckets, width)),
+        "odds": odds, "known": known,
+        "words": rng.normal(0, 0.1, (buckets, width)), "chars": rng.normal(0, 0.1, (buckets // 4, width)),
         "w": init(1 + 2 * width, 6 * hidden), "b": np.zeros(6 * hidden), "u1": init(hidden, 3 * hidden), "u2": init(hidden, 3 * hidden),
         "att": init(2 * hidden, hidden), "v": init(hidden), "c": init(2 * hidden), "d": np.full(1, -1.0),
     }
-    adam = Adam({k: v for k, v in p.items() if k != "odds"}, 0.01, 1e-5)
+    adam = Adam({k: v for k, v in p.items() if k not in ("odds", "known")}, 0.01, 1e-4)
     names: dict[str, int] = {}
     ids = [np.array([names.setdefault(w, len(names)) for w in words], np.int64) for words in split]
     vocabulary = list(names)
     _, own = gram_ids(vocabulary, buckets, 0)
-    owners, grams = gram_ids(vocabulary, buckets)
+    owners, grams = gram_ids(vocabulary, len(p["chars"]), LONGEST)
     order = np.argsort(owners, kind="stable")
     owners, grams = owners[order], grams[order]
     gram_at = np.searchsorted(owners, np.arange(len(vocabulary) + 1))
@@ -164,7 +169,9 @@ def train_gru(sample: list[tuple[str, str]], positive: str = "1", length: int =
             local = np.repeat(np.arange(len(used)), gram_at[used + 1] - gram_at[used])
             per = np.maximum(np.bincount(local, minlength=len(used)), 1)[:, None]
             chars = np.stack([np.bincount(local, p["chars"][grams[take], k], len(used)) for k in range(width)], 1) / per
-            x = np.concatenate([p["odds"][own[used]][:, None], p["words"][own[used]], chars], 1)
+            seen = known[own[used]] * (rng.random((len(used), 1)) >= drop)
+            shown = rng.random((len(used), 1)) >= drop
+            x = np.concatenate([p["odds"][own[used]][:, None] * seen, p["words"][own[used]] * seen, chars * shown], 1)
             logit, (kept1, kept2, states, a, alpha, c) = window_logits(p, (x @ p["w"] + p["b"])[at], live, keep=True)
             pooled, share = pool(logit, n)
             wrong = (sigmoid(pooled) - y[batch]) / len(batch)
@@ -184,9 +191,9 @@ def train_gru(sample: list[tuple[str, str]], positive: str = "1", length: int =
             by_word = np.stack([np.bincount(at.ravel(), d_gates[:, :, k].ravel(), len(used)) for k in range(6 * h)], 1)
             g["w"], g["b"] = x.T @ by_word, by_word.sum(0)
             dx = by_word @ p["w"].T
-            g["words"] = np.stack([np.bincount(own[used], dx[:, 1 + k], buckets) for k in range(width)], 1)
-            to_gram = (dx[:, 1 + width :] / per)[local]
-            g["chars"] = np.stack([np.bincount(grams[take], to_gram[:, k], buckets) for k in range(width)], 1)
+            g["words"] = np.stack([np.bincount(own[used], dx[:, 1 + k] * seen[:, 0], buckets) for k in range(width)], 1)
+            to_gram = (dx[:, 1 + width :] * shown / per)[local]
+            g["chars"] = np.stack([np.bincount(grams[take], to_gram[:, k], len(p["chars"])) for k in range(width)], 1)
             size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             adam.step({k: v * min(1.0, 5.0 / max(size, 1e-9)) for k, v in g.items()})
     return Gru(p, length, stride)
@@ -221,7 +228,7 @@ def score_texts(texts: list[str | None], model: Gru, table: WordTable, block: in
     return sigmoid(pool(logit.astype(np.float64), n)[0])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 600, **options) -> Gru | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1200, **options) -> Gru | None:
     """labels: (doc_id, label 0/1) that may be learned from."""
     return train_gru(labelled_sample(docs, labels, per_label), **options)
 
