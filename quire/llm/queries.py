@@ -14,6 +14,7 @@ from quire.llm.packing import pack_documents
 from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
 from quire.llm.secret_scan import scan_secrets
+from quire.llm.shingle_join import near_duplicates
 from quire.llm.toxicity_gru import fit_toxicity, score_toxicity
 
 
@@ -55,6 +56,10 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id"""
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licences(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -136,6 +141,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_shingle_join": op3_shingle_join,
     "op5_toxicity_gru": op5_toxicity_gru,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
