@@ -48,3 +48,14 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def fold_of(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
+
+
+#: Ids up to this number are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids, which is stored and has distinct ids. Null ids stay."""
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -89,7 +89,8 @@ def unseen_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     rows = blobs_of(docs)
     first = rows.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is None:
-        first = first.withColumn("due", all_rules)
+        # a value of each blob, not a constant: else the scan would move below the join and see every copy
+        first = first.withColumn("due", F.when(F.col("blob").isNotNull(), all_rules))
     else:
         done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", F.col("version").cast("string"))).alias("done"))
         first = (

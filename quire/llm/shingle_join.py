@@ -25,15 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import BROADCAST_IDS, stored
 from quire.llm.wordgrams import WordTable
 
 WORDS = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles seen this often among so many of a task's shingles are put last in the order of prefixes.
 FREQUENT, BLOCK = 6, 1_000_000
-#: Ids up to this number are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
