@@ -53,6 +53,9 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     if abs(len(a) - len(b)) > most:
         return most + 1
     x, y = a.tolist(), b.tolist()
+    held = set(y)
+    if sum(w not in held for w in x) > most:  # each such word costs an edit
+        return most + 1
     above = list(range(len(y) + 1))
     for i, w in enumerate(x, 1):
         lo, hi = max(1, i - most), min(len(y), i + most)
@@ -196,7 +199,7 @@ SCHEMA = "doc_id long, item_id long, first_word long, n_words long, distance lon
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, edits: float = 0.15, bits: int = 3, recall: float = 0.95, least_words: int = 5, block_chars: int = 16_000_000
+    docs: DataFrame, benchmark: DataFrame, edits: float = 0.15, bits: int = 2, recall: float = 0.95, least_words: int = 5, block_chars: int = 16_000_000
 ) -> DataFrame:
     """doc_id, item_id, first_word, n_words, distance: each document's best window for each item that leaks into it.
 

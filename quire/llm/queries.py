@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import documents, fold
+from quire.llm.decontaminate import find_leaks
 from quire.llm.language_crf import fit_language_crf, label_languages
 from quire.llm.license_index import LICENCE_WORD, TEMPLATES, scan_licences
 from quire.llm.quality_mil import fit_quality_mil, score_quality
 from quire.llm.quality_rules import RULES as QUALITY_RULES
+from quire.llm.link_trust import RULES as URL_RULES
+from quire.llm.link_trust import HOST_LIKE, filter_urls
 from quire.llm.packing import pack_documents
 from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
@@ -60,6 +63,43 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op6_sql(damping: float = 0.85, rounds: int = 8) -> str:
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r.text))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in longest) + " END"
+    steps = ["s0 AS MATERIALIZED (SELECT kind, host, mass AS score FROM seeds)"]
+    for k in range(rounds):
+        steps.append(
+            f"s{k + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT s.kind, o.dst AS host, {damping} * sum(s.score * o.share) AS score"
+            f" FROM s{k} s JOIN shares o ON s.kind = o.kind AND s.host = o.src GROUP BY ALL UNION ALL SELECT kind, host, {1 - damping} * mass FROM seeds) GROUP BY ALL)"
+        )
+    return f"""
+WITH p AS (SELECT page_id, html, {lower("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS MATERIALIZED (SELECT *, {case('text')} AS rule, {case('verdict')} AS ruled FROM p),
+own AS (SELECT DISTINCT host FROM j WHERE host <> ''),
+up AS (SELECT host AS src, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS dst FROM own WHERE len(string_split(host, '.')) > 3),
+hosts AS (SELECT host FROM own UNION SELECT dst FROM up),
+named AS (SELECT src, dst, count(*) AS weight FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all({lower("coalesce(html, '')")}, '{HOST_LIKE.replace("A-Z", "")}'))) AS dst FROM j WHERE host <> '')
+  WHERE src <> dst AND dst IN (SELECT host FROM hosts) GROUP BY ALL),
+edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM named UNION ALL SELECT src, dst, 1 FROM up) GROUP BY ALL),
+kinds AS (SELECT 'allow' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'block', dst, src, weight FROM edges),
+shares AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM kinds),
+counted AS (SELECT ruled AS kind, host, count(*) AS n FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
+seeds AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS mass FROM counted),
+{", ".join(steps)},
+t AS (SELECT host, round(coalesce(sum(score) FILTER (kind = 'allow'), 0), 9) AS trust, round(coalesce(sum(score) FILTER (kind = 'block'), 0), 9) AS distrust FROM s{rounds} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN t ON j.host = t.host"""
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licences(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -142,10 +182,12 @@ QUERIES = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_secret_scan": op2_secret_scan,
     "op3_shingle_join": op3_shingle_join,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity_gru": op5_toxicity_gru,
+    "op6_link_trust": op6_link_trust,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_mil": op9_quality_mil,
     "op10_language_crf": op10_language_crf,
 }
-ORACLES = {"op2_secret_scan": _op2_sql(), "op7_license_scan": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op2_secret_scan": _op2_sql(), "op6_link_trust": _op6_sql(), "op7_license_scan": _op7_sql(), "op8_quality_rules": _op8_sql()}

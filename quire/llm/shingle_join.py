@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_IDS, stored
+from quire.llm.common import BROADCAST_IDS, drop_ids, stored
 from quire.llm.wordgrams import WordTable
 
 WORDS = 5
@@ -324,3 +324,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs without the rows whose component has a document of a smaller id; all columns stay, rows with null ids too.
+
+    Several rows of one id are kept or dropped together, by the smallest component among their texts.
+    """
+    found = near_duplicates(docs, percent).where("component_id < doc_id").select("doc_id").distinct()
+    return drop_ids(docs, stored(found, "join-copies"))
