@@ -5,8 +5,8 @@ shingles (a prefix of n - ceil(0.75 n) + 1 of them, shingles that are frequent s
 prefixes hold all candidates. Candidates are compared in tiles of one shingle, by size band: bitmap signatures whose
 width follows the band bound the overlap from above, and what passes is intersected exactly.
 
-First each set is compared with one pivot of its tile and band, which is linear and joins most copies; then, in tiles
-that still hold several components, all pairs of sets of different components and comparable size. Pairs inside a
+First each set is compared with two pivots of its tile and band, which is linear and joins most copies; then, in tiles
+of three or more that still hold several components, all pairs of sets of different components and comparable size. Pairs inside a
 component need no look: their link changes nothing. So no link between different sets is lost, and no group of copies
 is ever expanded into pairs.
 
@@ -300,16 +300,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
     shared = stored(shared.select("token", "n", "key").distinct(), "join-shared")
     signatures = sets.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
 
+    # a set that the others of its tile were copied from shares more of its prefix than they do: the best pivot
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
-    pivots = shared.withColumn("band", band).withColumn("pivot", F.min("key").over(Window.partitionBy("token", "band")))
-    stars = pivots.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    share = shared.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_shared"))
+    tiles = shared.join(share, F.col("key") == F.col("_key")).withColumn("rank", F.struct((F.col("_shared") / F.col("n")).alias("r"), F.col("key").alias("k")))
+    in_band = Window.partitionBy("token", "band")
+    tiles = tiles.withColumn("band", band).withColumns(
+        {
+            "size": F.count("*").over(tile), "best": F.max("rank").over(tile)["k"],
+            "p1": F.max("rank").over(in_band)["k"], "p2": F.min("key").over(in_band),
+        }
+    )
+    # the two sets of a tile of two are compared whatever their bands, so such tiles are done with
+    pivot = F.explode(F.when(F.col("size") == 2, F.array("best")).otherwise(F.array_distinct(F.array("p1", "p2"))))
+    stars = tiles.select(pivot.alias("pivot"), "key").where("key <> pivot")
+    stars = stars.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
     some = stored(bounded_pairs(stars, signatures, percent), "join-pairs")
     ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key")))
     links = stored(exact_links(some, arrays_of(docs, ends, sets), percent), "join-links")
     roots = components(links)
 
     labelled = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    labelled = labelled.withColumn("low", F.min("root").over(tile)).withColumn("high", F.max("root").over(tile)).where("low < high")
+    labelled = labelled.withColumns({"low": F.min("root").over(tile), "high": F.max("root").over(tile), "size": F.count("*").over(tile)})
+    labelled = labelled.where("low < high AND size > 2")
     more = cross_pairs(labelled.join(signatures.select("key", "signature"), "key"), percent)
     more = stored(more, "join-pairs")
     ends = more.select(F.col("a").alias("key")).unionByName(more.select(F.col("b").alias("key")))
