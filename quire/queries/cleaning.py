@@ -6,20 +6,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import cleaning as C
+from quire.queries.registry import registry
 from quire.sources import snapshot as S
-from quire.views import TITLE_SQL, TOKENS_SQL, Library, with_views
+from quire.views import TITLE_SQL, TOKENS_SQL, with_views
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def keep(f):
-        QUERIES[name] = lambda spark, folder: f(Library(spark, folder))
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registry()
 
 
 @query("a1_scan_files")
