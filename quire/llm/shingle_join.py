@@ -71,8 +71,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's signature: its size band's power of two, about twice the set's size."""
-    return 1 << min(16, max(7, (2 * n - 1).bit_length()))
+    """Bits of a set's signature: its size band's power of two, about four times the set's size."""
+    return 1 << min(17, max(8, (4 * n - 1).bit_length()))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -144,7 +144,11 @@ def describe_sets(docs: DataFrame) -> DataFrame:
 
 
 def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """token, n, key for the prefix of each set, once per set and task. frequent: shingles ascending, and their counts."""
+    """token, sized, key for the prefix of each set, once per set and task. frequent: shingles ascending, and their counts.
+
+    sized is twice the set's size, plus 1 in the shorter prefix that is enough for the smaller set of a linked pair:
+    their overlap is at least 2t / (1 + t) of its size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def task(batches):
@@ -161,6 +165,7 @@ def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pe
                     continue
                 seen.add(key) if len(seen) < 2_000_000 else None
                 p = n - -(-percent * n // 100) + 1
+                short = n - -(-2 * percent * n // (100 + percent)) + 1
                 rank = np.zeros(n, np.int64)
                 likely = np.flatnonzero(maybe[s & np.uint64(0xFFFF)]) if len(tokens) else ()
                 if len(likely):
@@ -169,16 +174,16 @@ def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pe
                     rank[likely[hit]] = counts[at[hit]]
                     s = s[np.lexsort((s, rank))]
                 out.append(s[:p])
-                ns.append(n)
+                ns.append(2 * n + (np.arange(p) < short))
                 keys.append(key)
                 lens.append(p)
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), lens)), pa.array(np.repeat(np.array(keys, np.int64), lens))],
-                    names=["token", "n", "key"],
+                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int32)), pa.array(np.repeat(np.array(keys, np.int64), lens))],
+                    names=["token", "sized", "key"],
                 )
 
-    return _texts(docs).mapInArrow(task, "token long, n int, key long")
+    return _texts(docs).mapInArrow(task, "token long, sized int, key long")
 
 
 def arrays_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,33 +258,61 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
 
 
-def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Of rows (token, n, key, root, signature), the pairs (a, b) of different roots in one token that bit counts leave.
+def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, signatures: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i, j of a tile's rows, ascending by size n, whose sets have different roots and may be linked.
 
-    Rows come sorted by token and size; a row is compared with those before it whose size is near enough.
+    first: whether the tile's shingle is in the row's shorter prefix, which the smaller set of a pair needs.
     """
+    widths = np.array([len(x) for x in signatures])
+    for w in np.unique(widths):
+        rows = np.flatnonzero(widths == w)
+        bits = np.frombuffer(b"".join(signatures[i] for i in rows), np.uint64).reshape(len(rows), -1)
+        more = np.flatnonzero(widths == 2 * w)
+        folded = np.frombuffer(b"".join(signatures[i] for i in more), np.uint64).reshape(len(more), 2, bits.shape[1])
+        others, other_bits = np.concatenate([rows, more]), np.concatenate([bits, np.bitwise_or.reduce(folded, 1)])
+        other_pop = np.bitwise_count(other_bits).sum(1, dtype=np.int64)
+        pop = other_pop[: len(rows)]
+        step = max(1, 4_000_000 // max(1, other_bits.size))
+        for at in range(0, len(rows), step):
+            i, part = rows[at : at + step, None], bits[at : at + step]
+            common = np.bitwise_count(part[:, None, :] & other_bits[None]).sum(2, dtype=np.int64)
+            bound = np.minimum(n[i] - pop[at : at + step, None] + common, n[others] - other_pop + common)
+            fits = (i < others) & (root[i] != root[others]) & (first[i] | (first[others] & (n[i] == n[others])))
+            fits &= 100 * bound >= percent * (n[i] + n[others] - bound)
+            a, b = np.nonzero(fits)
+            yield i[a, 0], others[b]
+
+
+def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """Of rows (token, best, n, first, key, root, signature), the pairs (a, b) of different roots in one token that bit
+    counts leave. Tiles of one best set are dealt to one task, where a pair is named once, however many tiles have it."""
 
     def task(batches):
-        token, held = None, []
         found: set[tuple[int, int]] = set()
+        token, held = None, []
+
+        def compare():
+            if len(held) > 1:
+                n, first, key, root = (np.array(c) for c in list(zip(*held, strict=True))[:4])
+                for i, j in tile_pairs(n.astype(np.int64), first, root, [h[4] for h in held], percent):
+                    found.update(zip(np.minimum(key[i], key[j]).tolist(), np.maximum(key[i], key[j]).tolist(), strict=True))
+
         for batch in batches:
-            for t, n, key, root, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != token:
+                    compare()
                     token, held = t, []
-                held = [x for x in held if 100 * x[0] >= percent * n] if held and 100 * held[0][0] < percent * n else held
-                for m, other, other_root, other_sig in held:
-                    if other_root != root and (min(key, other), max(key, other)) not in found and linked(overlap_bound(sig, n, other_sig, m), n, m, percent):
-                        found.add((min(key, other), max(key, other)))
-                held.append((n, key, root, sig))
-            if len(found) > 200_000:
-                yield _pairs(found)
-                found = set()
+                    if len(found) > 500_000:
+                        yield _pairs(found)
+                        found = set()
+                held.append(row)
+        compare()
         yield _pairs(found)
 
     def _pairs(found):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
-    rows = tiles.select("token", "n", "key", "root", "signature").repartition("token").sortWithinPartitions("token", "n", "key")
+    rows = tiles.select("token", "n", "first", "key", "root", "signature", "best").repartition("best").sortWithinPartitions("best", "token", "n", "key").drop("best")
     return rows.mapInArrow(task, "a long, b long").distinct()
 
 
@@ -297,20 +330,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
     postings = prefix_postings(docs, (tokens[order], counts[order]), percent)
     tile = Window.partitionBy("token")
     shared = postings.withColumn("low", F.min("key").over(tile)).withColumn("high", F.max("key").over(tile)).where("low < high")
-    shared = stored(shared.select("token", "n", "key").distinct(), "join-shared")
+    shared = stored(shared.select("token", "sized", "key").distinct(), "join-shared")
     signatures = sets.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
 
     # a set that the others of its tile were copied from shares more of its prefix than they do: the best pivot
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
     share = shared.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_shared"))
-    tiles = shared.join(share, F.col("key") == F.col("_key")).withColumn("rank", F.struct((F.col("_shared") / F.col("n")).alias("r"), F.col("key").alias("k")))
+    tiles = shared.withColumns({"n": F.shiftright("sized", 1), "first": F.col("sized") % 2 == 1}).join(share, F.col("key") == F.col("_key"))
+    tiles = tiles.withColumn("rank", F.struct((F.col("_shared") / F.col("n")).alias("r"), F.col("key").alias("k")))
     in_band = Window.partitionBy("token", "band")
-    tiles = tiles.withColumn("band", band).withColumns(
+    tiles = tiles.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))).withColumns(
         {
             "size": F.count("*").over(tile), "best": F.max("rank").over(tile)["k"],
             "p1": F.max("rank").over(in_band)["k"], "p2": F.min("key").over(in_band),
         }
     )
+    tiles = stored(tiles.select("token", "n", "first", "key", "size", "best", "p1", "p2"), "join-tiles")
     # the two sets of a tile of two are compared whatever their bands, so such tiles are done with
     pivot = F.explode(F.when(F.col("size") == 2, F.array("best")).otherwise(F.array_distinct(F.array("p1", "p2"))))
     stars = tiles.select(pivot.alias("pivot"), "key").where("key <> pivot")
@@ -320,9 +354,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
     links = stored(exact_links(some, arrays_of(docs, ends, sets), percent), "join-links")
     roots = components(links)
 
-    labelled = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    labelled = labelled.withColumns({"low": F.min("root").over(tile), "high": F.max("root").over(tile), "size": F.count("*").over(tile)})
-    labelled = labelled.where("low < high AND size > 2")
+    labelled = tiles.where("size > 2").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    labelled = labelled.withColumns(
+        {"low": F.min("root").over(tile), "high": F.max("root").over(tile), "least": F.min(F.when(F.col("first"), F.col("n"))).over(tile)}
+    ).where("low < high AND n >= least")
     more = cross_pairs(labelled.join(signatures.select("key", "signature"), "key"), percent)
     more = stored(more, "join-pairs")
     ends = more.select(F.col("a").alias("key")).unionByName(more.select(F.col("b").alias("key")))
