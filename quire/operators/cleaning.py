@@ -146,6 +146,6 @@ def macro_usage(files: DataFrame, most_chars: int = 60) -> tuple[DataFrame, Data
     )
     expanded = F.aggregate(
         "macros", rest,
-        lambda text, m: F.regexp_replace(text, F.concat(F.lit(r"\\"), m["name"], F.lit(r"(?![A-Za-z])")), F.regexp_replace(m["body"], r"\\", r"\\\\\\\\")),
+        lambda text, m: F.regexp_replace(text, F.concat(F.lit(r"\\"), m["name"], F.lit(r"(?![A-Za-z])")), F.regexp_replace(m["body"], r"\\", r"\\\\")),
     )
     return used, held.select("paper_id", expanded.alias("content"))
