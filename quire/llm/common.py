@@ -54,6 +54,11 @@ def fold_of(doc_id: int, n: int) -> int:
 BROADCAST_IDS = 500_000
 
 
+def beside(df: DataFrame) -> DataFrame:
+    """df, which is stored, marked for broadcast if it has at most BROADCAST_IDS rows; else joins with it shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids, which is stored and has distinct ids. Null ids stay."""
     gone = ids.select(F.col("doc_id").alias("_gone"))

@@ -44,7 +44,6 @@ RULES = (
     SecretRule("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
-LEDGER = "blob binary, rule string, version int"
 
 
 def blobs_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_IDS, drop_ids, stored
+from quire.llm.common import BROADCAST_IDS, beside, drop_ids, stored
 from quire.llm.wordgrams import WordTable
 
 WORDS = 5
@@ -352,9 +352,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
     some = stored(bounded_pairs(stars, signatures, percent), "join-pairs")
     ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key")))
     links = stored(exact_links(some, arrays_of(docs, ends, sets), percent), "join-links")
-    roots = components(links)
+    roots = stored(components(links), "join-roots")
 
-    labelled = tiles.where("size > 2").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    labelled = tiles.where("size > 2").join(beside(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
     labelled = labelled.withColumns(
         {"low": F.min("root").over(tile), "high": F.max("root").over(tile), "least": F.min(F.when(F.col("first"), F.col("n"))).over(tile)}
     ).where("low < high AND n >= least")
