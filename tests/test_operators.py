@@ -1,8 +1,10 @@
 """Operators that the driver's tables don't exercise, on small tables with results worked out by hand."""
 
 import datetime
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -112,6 +114,15 @@ def test_knn_approx_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_knn_approx_recall_of_given_embeddings(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact, near = set(values(R.knn_cosine(q, v, 10), "query_id", "chunk_id")), set(values(R.knn_approx(q, v, 10), "query_id", "chunk_id"))
+    print("recall", len(exact & near) / len(exact))
+    assert len(exact) == 400 and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_flags(spark):
     notes = spark.createDataFrame([(1, "# A\ntext\n- " + K.MARK + "：原文 missing\n# B\n" + K.MARK + " code")], "note_id long, content_md string")
     assert values(K.extract_flags(notes), "section", "kind") == [("A", "paper"), ("B", "repro")]
