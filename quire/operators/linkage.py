@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.shingle_join import near_duplicates
+
 
 def exact_duplicates(rows: DataFrame, key: str, hash_column: str) -> DataFrame:
     """paper_id, candidate_id, reason, score: each copy against the smallest id with its hash. A star, so a group of
@@ -179,26 +181,7 @@ def merge_search_results(results: DataFrame, threshold: float = 92.0) -> DataFra
     return works.groupBy("query_id").applyInPandas(merge, "query_id long, title string, url string, sources array<string>, votes array<struct<source:string,rank:int>>")
 
 
-def near_duplicate_docs(docs: DataFrame, shingle: int = 5, tables: int = 8, least: float = 0.75) -> DataFrame:
-    """id_a < id_b, jaccard of texts (doc_id, text) alike by word shingles: MinHash tables find, exact sets verify.
-
-    Documents of one exact set are one node, named by the smallest id. A pair in some bucket is (node, first node of the
-    bucket), so a bucket of n nodes gives n - 1 candidates.
-    """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), 0)
-    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(shingle)), " ")))))
-    sets = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", grams.alias("s"))
-    nodes = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    mins = F.array(*(_minhash(k) for k in range(tables)))
-    keys = nodes.select("doc_id", F.posexplode(mins).alias("t", "h"))
-    first = keys.groupBy("t", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(first, ["t", "h"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    both = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(nodes.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    jaccard = inter / (F.size("x") + F.size("y") - inter)
-    return both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("jaccard", 6).alias("jaccard"))
-
-
-def _minhash(k: int) -> Column:
-    return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k))))
-
+def near_duplicate_docs(docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text): its class of texts alike by 5-word
+    shingles in either case, named by the smallest id. Exact: no link is lost, and copies stand in their class too."""
+    return near_duplicates(docs.select("doc_id", F.lower("text").alias("text")), round(100 * least))

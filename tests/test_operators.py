@@ -123,6 +123,31 @@ def test_knn_approx_recall_of_given_embeddings(spark):
     assert len(exact) == 400 and len(exact & near) >= 0.9 * len(exact)
 
 
+def test_near_duplicate_docs_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for family in range(12):
+        words = passage + [f"f{family}w{i}" for i in range(170)]
+        for step in range(5):  # a chain: each is alike its neighbours, and the ends are not; then an exact copy
+            words = list(words)
+            words[rng.integers(30, 200)] = f"É{family}s{step}"
+            words[30 + 30 * step : 35 + 30 * step] = [f"c{family}s{step}x{i}" for i in range(10)]
+            texts.append(" ".join(words))
+        texts.append(texts[-1].lower())
+    texts = [texts[i] for i in rng.permutation(len(texts))] + ["", "a b"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    found = L.near_duplicate_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(set(root)) < len(texts) / 2
+    assert values(found, "doc_id", "component_id") == sorted(enumerate(root), key=repr)
+
+
 def test_flags(spark):
     notes = spark.createDataFrame([(1, "# A\ntext\n- " + K.MARK + "：原文 missing\n# B\n" + K.MARK + " code")], "note_id long, content_md string")
     assert values(K.extract_flags(notes), "section", "kind") == [("A", "paper"), ("B", "repro")]
