@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire import catalog
 from quire.functions import text as T
 from quire.operators import cleaning as C
 from quire.operators import graph as K
@@ -148,6 +149,13 @@ def test_near_duplicate_docs_against_brute_force(spark):
     assert values(found, "doc_id", "component_id") == sorted(enumerate(root), key=repr)
 
 
+def test_similar_chunks_asks_all_documents(spark, tmp_path):
+    text = "\n".join(f"alpha w{i}" for i in range(101))
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["f6_similar_chunks"](spark, str(tmp_path))
+    assert {r["query_id"] for r in found.collect()} == {d * 100_000 + i for d in (1, 2) for i in (0, 50, 100)}
+
+
 def test_flags(spark):
     notes = spark.createDataFrame([(1, "# A\ntext\n- " + K.MARK + "：原文 missing\n# B\n" + K.MARK + " code")], "note_id long, content_md string")
     assert values(K.extract_flags(notes), "section", "kind") == [("A", "paper"), ("B", "repro")]
