@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,17 +52,37 @@ def fold_of(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
-#: Ids up to this number are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: A set of keys is summed up in so many bits, whatever its size: at most 8 MB, which may be broadcast.
+BITS = 26
 
 
-def beside(df: DataFrame) -> DataFrame:
-    """df, which is stored, marked for broadcast if it has at most BROADCAST_IDS rows; else joins with it shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def flagged(df: DataFrame, key: Column, members: DataFrame, name: str = "_maybe") -> DataFrame:
+    """df with a boolean column: false where key is certainly not among the one column of members, or null.
+
+    A bitmap of hashed keys of fixed size is broadcast, so that rows that can't meet members need not move. Where it
+    says true, a join must decide; the fuller it is, the more rows move. Nothing else depends on the size of members.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
+    one = slot(F.col(members.columns[0]))
+    bits = members.select(F.bitmap_bucket_number(one).alias("_bucket"), F.bitmap_bit_position(one).alias("_bit"))
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.bitmap_bit_position(slot(key)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = key.isNotNull() & F.col("_bits").isNotNull() & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1)
+    return df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("_bucket"), "left").withColumn(name, F.coalesce(found, F.lit(False))).drop("_bucket", "_bits")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids, which is stored and has distinct ids. Null ids stay."""
     gone = ids.select(F.col("doc_id").alias("_gone"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = flagged(docs, F.col("doc_id"), gone)
+    doubtful = rows.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return rows.where("NOT _maybe").unionByName(doubtful).drop("_maybe")
+
+
+def released(*tables: DataFrame) -> None:
+    """Frees the space of stored tables that are not read again."""
+    for df in tables:
+        path = df.inputFiles()[:1]
+        if path:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path[0].rsplit("/", 1)[0])

@@ -1,18 +1,23 @@
 """Exact Jaccard join of 5-word shingle sets, and the components of its links.
 
-Sets: distinct shingles as 64-bit hashes, one node per distinct set. Any two linked sets share one of their rarest
-shingles (a prefix of n - ceil(0.75 n) + 1 of them, shingles that are frequent somewhere last), so postings of the
-prefixes hold all candidates. Candidates are compared in tiles of one shingle, by size band: bitmap signatures whose
-width follows the band bound the overlap from above, and what passes is intersected exactly.
+Sets: distinct shingles as 64-bit hashes, one node per distinct set. Two rounds:
 
-First each set is compared with two pivots of its tile and band, which is linear and joins most copies; then, in tiles
-of three or more that still hold several components, all pairs of sets of different components and comparable size. Pairs inside a
-component need no look: their link changes nothing. So no link between different sets is lost, and no group of copies
-is ever expanded into pairs.
+1. Stars. Each set has a few sketch keys (bands of bin minima). Sets with an equal key are compared with one pivot of
+   theirs, the one that meets most others, which is linear and joins most copies.
+2. Tiles. Any two linked sets share one of their rarest shingles (a prefix of n - ceil(0.75 n) + 1 of them, shingles
+   that are frequent somewhere last), so the prefixes' postings hold all candidates. A tile is the sets of one shingle;
+   shingles of the same sets make one tile, and tiles of a single component are done with. In the others, sets of different components and comparable size band are
+   compared by bitmap signatures whose width follows the band: bit counts bound the overlap from above. A tile of more
+   than TILE sets is cut into blocks and its pairs of blocks are dealt to tasks; the blocks of its largest component
+   meet only those of the others.
+
+What passes in either round is intersected exactly, as sorted arrays. Pairs inside a component need no look: their link
+changes nothing. So no link between different sets is lost, and no group of copies is ever expanded into pairs.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and is its own component; a
-text of fewer than five words has its word sequence as the one shingle; rows with a null id get a null component;
-rows with the same id are nodes of their own sets and are each returned; an empty table gives an empty result.
+text of fewer than five words has its word sequence as the one shingle; rows with a null id get a null component, and
+links through their sets count; rows with the same id are nodes of their own sets and are each returned; an empty table
+gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_IDS, beside, drop_ids, stored
+from quire.llm.common import drop_ids, flagged, released, stored
 from quire.llm.wordgrams import WordTable
 
 WORDS = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles seen this often among so many of a task's shingles are put last in the order of prefixes.
 FREQUENT, BLOCK = 6, 1_000_000
+#: Bands of a sketch, and bin minima in each.
+BANDS, ROWS = 10, 3
+_EDGES = (np.arange(BANDS * ROWS, dtype=np.float64) * (2.0**64 / (BANDS * ROWS))).astype(np.uint64)
+#: Sets of a tile that are compared in one task.
+TILE = 2000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -62,17 +72,37 @@ def sets_of(texts: list[bytes | None], table: WordTable) -> list[np.ndarray]:
     """Shingle sets of UTF-8 texts; bytes.lower() and bytes.split() know ASCII only, as the definition asks."""
     table.start()
     index = [table.index((t or b"").lower().split()) for t in texts]
-    rows = table.table()
-    return [shingle_set(rows[i]) for i in index]
+    flat = table.table()[np.concatenate([np.zeros(0, np.int64), *index])]
+    # all windows of the batch at once; those that reach over the end of a text are left out
+    windows = np.full(max(0, len(flat) - WORDS + 1), WORDS, np.uint64)
+    for k in range(WORDS):
+        windows = _mixed(windows * _P + flat[k : k + len(windows)])
+    sets, at = [], 0
+    for i in index:
+        n = len(i)
+        sets.append(np.unique(windows[at : at + n - WORDS + 1]) if n >= WORDS else shingle_set(flat[at : at + n]))
+        at += n
+    return sets
 
 
 def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """Keys of the bands in which a set, ascending, has any value: alike sets share some key with high probability."""
+    at = np.searchsorted(s, _EDGES)
+    filled = np.append(at[1:], len(s)) > at
+    least = np.where(filled, s[np.minimum(at, len(s) - 1)], np.uint64(0)).reshape(BANDS, ROWS)
+    h = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        h = _mixed(h * _P + least[:, k])
+    return h[filled.reshape(BANDS, ROWS).any(1)].view(np.int64).tolist()
+
+
 def width_of(n: int) -> int:
-    """Bits of a set's signature: its size band's power of two, about four times the set's size."""
-    return 1 << min(17, max(8, (4 * n - 1).bit_length()))
+    """Bits of a set's signature: its size band's power of two, two to four times the set's size."""
+    return 1 << min(17, max(8, (2 * n - 1).bit_length()))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -81,6 +111,12 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def halved(signature: bytes) -> bytes:
+    """A signature of half the width, for the first look in a tile."""
+    bits = np.frombuffer(signature, np.uint64)
+    return (bits[: len(bits) // 2] | bits[len(bits) // 2 :]).tobytes()
+
+
 def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     """At least the size of the intersection: a bit of one that the other lacks is a shingle that the other lacks."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -108,7 +144,9 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500):
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, key, signature of each document. kind 1: key is a shingle seen n times in a block."""
+    """kind 0: doc_id, n, key, signature, half of it, bands of each document. kind 1: key is a shingle seen n times in a block."""
+
+    names = ["kind", "doc_id", "n", "key", "signature", "half", "bands"]
 
     def task(batches):
         table, seen, held, size = word_hashes(), set(), [], 0
@@ -118,8 +156,8 @@ def describe_sets(docs: DataFrame) -> DataFrame:
             often = n >= FREQUENT
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n[often].astype(np.int32)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary())],
-                names=["kind", "doc_id", "n", "key", "signature"],
+                [pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n[often].astype(np.int32)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))],
+                names=names,
             )
 
         for ids, texts in _parts(batches):
@@ -130,9 +168,10 @@ def describe_sets(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
                     seen.add(key) if len(seen) < 2_000_000 else None
+            signs = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int32()), ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                names=["kind", "doc_id", "n", "key", "signature"],
+                [pa.array([0] * len(sets), pa.int32()), ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), pa.array([x and halved(x) for x in signs], pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                names=names,
             )
             if size >= BLOCK:
                 yield frequent()
@@ -140,14 +179,15 @@ def describe_sets(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return _texts(docs).mapInArrow(task, "kind int, doc_id long, n int, key long, signature binary")
+    return _texts(docs).mapInArrow(task, "kind int, doc_id long, n int, key long, signature binary, half binary, bands array<long>")
 
 
 def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """token, sized, key for the prefix of each set, once per set and task. frequent: shingles ascending, and their counts.
+    """token, key, first, hot for the prefix of each set, once per set and task. frequent: shingles ascending, and counts.
 
-    sized is twice the set's size, plus 1 in the shorter prefix that is enough for the smaller set of a linked pair:
-    their overlap is at least 2t / (1 + t) of its size.
+    token: 48 bits of the shingle, which is enough to meet by. first: whether it is in the shorter prefix that is
+    enough for the smaller set of a linked pair: their overlap is at least 2t / (1 + t) of its size. hot: whether it
+    is among the frequent ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -157,7 +197,7 @@ def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pe
         maybe[tokens & np.uint64(0xFFFF)] = True
         table, seen = word_hashes(), set()
         for _, texts in _parts(batches):
-            out, ns, keys, lens = [], [], [], []
+            out, firsts, ranks, keys, lens = [], [], [], [], []
             for s in sets_of(texts, table):
                 n = len(s)
                 key = set_key(s)
@@ -172,36 +212,70 @@ def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pe
                     at = np.minimum(np.searchsorted(tokens, s[likely]), len(tokens) - 1)
                     hit = tokens[at] == s[likely]
                     rank[likely[hit]] = counts[at[hit]]
-                    s = s[np.lexsort((s, rank))]
+                    order = np.lexsort((s, rank))[:p]
+                    s, rank = s[order], rank[order]
                 out.append(s[:p])
-                ns.append(2 * n + (np.arange(p) < short))
+                firsts.append(np.arange(p) < short)
+                ranks.append(rank[:p] > 0)
                 keys.append(key)
                 lens.append(p)
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int32)), pa.array(np.repeat(np.array(keys, np.int64), lens))],
-                    names=["token", "sized", "key"],
-                )
+                    [
+                        pa.array((np.concatenate(out) >> np.uint64(16)).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lens)),
+                        pa.array(np.concatenate(firsts)), pa.array(np.concatenate(ranks)),
+                    ],
+                    names=["token", "key", "first", "hot"],
+                )
+
+    return _texts(docs).mapInArrow(task, "token long, key long, first boolean, hot boolean")
 
-    return _texts(docs).mapInArrow(task, "token long, sized int, key long")
 
+def tiles_of(postings: DataFrame) -> DataFrame:
+    """tile, key, first: the sets of each shingle that several sets hold. Shingles of the same sets give one tile.
 
-def arrays_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, shingles (binary, ascending uint64) for the wanted keys: the text of one document of each is read."""
-    first = sets.where("doc_id IS NOT NULL").join(nodes.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(first.select(F.col("doc_id").alias("_wanted"), F.col("key").alias("_key")), "join-wanted")
-    small = wanted.count() <= BROADCAST_IDS
+    A set of sets is known by its size, a sum and a xor of its keys. Hot shingles are shared anyway; they are spread
+    over tasks, and summed up apart: there are at most as many as frequent shingles.
+    """
+    spread = F.when(F.col("hot"), F.pmod("key", F.lit(1009))).otherwise(0)
+    held = Window.partitionBy("token", "spread")
+    # a task names a set once for each of its shingles, so how often is the same for all of them
+    parts = {"low": F.min("key"), "high": F.max("key"), "p0": F.count("*"), "p1": F.sum(F.pmod("key", F.lit(2**31 - 1))), "p2": F.bit_xor("key")}
+    rows = postings.withColumn("spread", spread.cast("int")).withColumns({k: p.over(held) for k, p in parts.items()}).where("hot OR low < high")
+    tile = F.xxhash64("p0", "p1", "p2")
+    rows = stored(rows.select(F.when(~F.col("hot"), tile).alias("tile"), F.when(F.col("hot"), F.col("token")).alias("token"), "key", "first"), "join-shared")
+    hot = rows.where("tile IS NULL").drop("tile")
+    sums = hot.groupBy("token").agg(*(p.alias(k) for k, p in parts.items())).where("low < high").select("token", tile.alias("tile"))
+    cold = rows.where("tile IS NOT NULL").drop("token")
+    both = cold.unionByName(hot.join(F.broadcast(sums), "token").drop("token"))
+    tiles = stored(both.groupBy("tile", "key").agg(F.max("first").alias("first")), "join-tiles")
+    released(rows)
+    return tiles
+
+
+def arrays_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, shingles (binary, ascending uint64) for the wanted keys: the text of one document of each is read.
+
+    Texts move only where the bitmap of wanted ids leaves a doubt.
+    """
+    chosen = stored(nodes.join(wanted, "key", "left_semi").select(F.col("key").alias("_key"), F.col("doc_id").alias("_wanted")), "join-wanted")
     texts = _texts(docs)
-    chosen = texts.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["_wanted"]).select("_key", "text")
+    by_id = chosen.where("_wanted IS NOT NULL")
+    named = flagged(texts, F.col("doc_id"), by_id.select("_wanted")).where("_maybe").join(by_id, F.col("doc_id") == F.col("_wanted")).select("_key", "text")
+    # sets that only rows without an id hold: their key is known when the text is read
+    nameless = texts.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("_key"), "text")
 
     def task(batches):
         table = word_hashes()
         for keys, texts in _parts(batches):
             sets = sets_of(texts, table)
-            own = [k for k, s in zip(keys.to_pylist(), sets, strict=True) if k == set_key(s)]  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.tobytes() for k, s in zip(keys.to_pylist(), sets, strict=True) if k == set_key(s)], pa.binary())], names=["key", "shingles"])
+            own = [(set_key(s), s) for s in sets]  # an id may have several texts
+            own = [(k, s.tobytes()) for (k, s), wanted in zip(own, keys.to_pylist(), strict=True) if wanted is None or k == wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["key", "shingles"])
 
-    return chosen.mapInArrow(task, "key long, shingles binary").dropDuplicates(["key"])
+    schema = "key long, shingles binary"
+    found = nameless.mapInArrow(task, schema).join(chosen.where("_wanted IS NULL").select(F.col("_key").alias("key")), "key", "left_semi")
+    return named.mapInArrow(task, schema).unionByName(found).dropDuplicates(["key"])
 
 
 def bounded_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -215,8 +289,8 @@ def bounded_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> Data
             keep = [linked(overlap_bound(x, n, y, m), n, m, percent) for x, n, y, m in zip(s_a, n_a, s_b, n_b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return joined.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(task, "a long, b long")
+    sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(task, "a long, b long")
 
 
 def exact_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -258,12 +332,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
 
 
-def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, signatures: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, block: np.ndarray, signatures: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions i, j of a tile's rows, ascending by size n, whose sets have different roots and may be linked.
 
-    first: whether the tile's shingle is in the row's shorter prefix, which the smaller set of a pair needs.
+    first: whether the tile's shingle is in the row's shorter prefix, which the smaller set of a pair needs. block: if
+    there are two, only rows of different blocks are compared.
     """
     widths = np.array([len(x) for x in signatures])
+    two = block.min() != block.max()
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)
         bits = np.frombuffer(b"".join(signatures[i] for i in rows), np.uint64).reshape(len(rows), -1)
@@ -279,29 +355,56 @@ def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, signatures: l
             bound = np.minimum(n[i] - pop[at : at + step, None] + common, n[others] - other_pop + common)
             fits = (i < others) & (root[i] != root[others]) & (first[i] | (first[others] & (n[i] == n[others])))
             fits &= 100 * bound >= percent * (n[i] + n[others] - bound)
+            if two:
+                fits &= block[i] != block[others]
             a, b = np.nonzero(fits)
             yield i[a, 0], others[b]
 
 
+def dealt(rows: DataFrame, size: int = TILE) -> DataFrame:
+    """Adds block, and the pairs (lo, hi) of blocks in which each row of (tile, key, first, n, root) is compared.
+
+    A tile of up to `size` rows is one block. In a larger one, the rows of its most frequent root have blocks of their
+    own, which meet the other rows' blocks and not one another.
+    """
+    tiles = rows.groupBy("tile").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("first"), F.col("n"))).alias("least"))
+    # the smaller set of a pair must have the shingle in its shorter prefix
+    rows = rows.join(tiles.where("low < high"), "tile").where("n >= least").drop("low", "high", "least")
+    by_root = rows.where(F.col("rows") > size).groupBy("tile", "root").agg(F.count("*").alias("n_root"))
+    major = by_root.groupBy("tile").agg(F.max(F.struct("n_root", "root")).alias("m"), F.sum("n_root").alias("all"))
+    major = major.select("tile", F.col("m.root").alias("major"), F.col("m.n_root").alias("n_major"), (F.col("all") - F.col("m.n_root")).alias("n_minor"))
+    rows = rows.join(major, "tile", "left")
+    many = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / size).cast("int")
+    minors, majors = many("n_minor"), many("n_major")
+    spread = F.xxhash64("key")
+    is_major = F.col("root") == F.col("major")
+    block = F.when(F.col("major").isNull(), 0).when(is_major, minors + F.pmod(spread, majors)).otherwise(F.pmod(spread, minors)).cast("int")
+    pair = lambda a, b: F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    last = F.when(is_major, minors).otherwise(minors + majors) - 1
+    meets = F.when(F.col("major").isNull(), F.array(pair(F.lit(0), F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda j: pair(F.col("block"), j)))
+    return rows.withColumn("block", block).withColumn("meets", F.explode(meets)).select(*(c for c in rows.columns if c not in ("rows", "major", "n_major", "n_minor")), "block", "meets.lo", "meets.hi")
+
+
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Of rows (token, best, n, first, key, root, signature), the pairs (a, b) of different roots in one token that bit
-    counts leave. Tiles of one best set are dealt to one task, where a pair is named once, however many tiles have it."""
+    """Of rows (tile, lo, hi, block, n, first, key, root, signature), the pairs (a, b) of different roots in one pair of
+    blocks that bit counts leave."""
 
     def task(batches):
         found: set[tuple[int, int]] = set()
-        token, held = None, []
+        tile, held = None, []
 
         def compare():
             if len(held) > 1:
-                n, first, key, root = (np.array(c) for c in list(zip(*held, strict=True))[:4])
-                for i, j in tile_pairs(n.astype(np.int64), first, root, [h[4] for h in held], percent):
+                n, first, key, root, block, signatures = zip(*held, strict=True)
+                n, first, key, root, block = (np.array(c) for c in (n, first, key, root, block))
+                for i, j in tile_pairs(n.astype(np.int64), first, root, block, signatures, percent):
                     found.update(zip(np.minimum(key[i], key[j]).tolist(), np.maximum(key[i], key[j]).tolist(), strict=True))
 
         for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != token:
+            for t, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (t, lo, hi) != tile:
                     compare()
-                    token, held = t, []
+                    tile, held = (t, lo, hi), []
                     if len(found) > 500_000:
                         yield _pairs(found)
                         found = set()
@@ -312,60 +415,59 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     def _pairs(found):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
-    rows = tiles.select("token", "n", "first", "key", "root", "signature", "best").repartition("best").sortWithinPartitions("best", "token", "n", "key").drop("best")
+    rows = tiles.select("tile", "lo", "hi", "n", "first", "key", "root", "block", "signature")
+    rows = rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "n", "key")
     return rows.mapInArrow(task, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100_000) -> DataFrame:
+def star_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set with a pivot of each of its bands, the set that meets most others in all its bands."""
+    bands = nodes.select(F.explode("bands").alias("band"), "key")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    held = stored(bands.join(sizes, "band"), "join-bands")
+    meets = held.groupBy("key").agg(F.sum("size").alias("meets"))
+    # a set that others were copied from shares more of its bands than they do
+    pivots = held.join(meets, "key").groupBy("band").agg(F.max(F.struct("meets", "key"))["key"].alias("pivot"))
+    pairs = held.join(pivots, "band").where("key <> pivot")
+    return pairs.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
+
+
+def linked_pairs(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of candidate pairs (a, b): first by bit counts, then exactly."""
+    some = stored(bounded_pairs(candidates, nodes, percent), "join-pairs")
+    ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
+    links = stored(exact_links(some, arrays_of(docs, ends, nodes), percent), "join-links")
+    released(some)
+    return links
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100_000, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
     most_frequent: how many frequent shingles are put last in the order; it changes the work, never the links.
+    tile: how many sets of a shingle are compared in one task.
     """
     every = stored(describe_sets(docs), "join-sets")
-    sets = every.where("kind = 0")
     top = every.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most_frequent).collect()
+    sets = every.where("kind = 0").select("doc_id", "n", "key")
     tokens = np.array([r["key"] for r in top], np.int64).view(np.uint64)
     counts = np.array([r["n"] for r in top], np.int64)
     order = np.argsort(tokens)
-    postings = prefix_postings(docs, (tokens[order], counts[order]), percent)
-    tile = Window.partitionBy("token")
-    shared = postings.withColumn("low", F.min("key").over(tile)).withColumn("high", F.max("key").over(tile)).where("low < high")
-    shared = stored(shared.select("token", "sized", "key").distinct(), "join-shared")
-    signatures = sets.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
-
-    # a set that the others of its tile were copied from shares more of its prefix than they do: the best pivot
-    share = shared.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_shared"))
-    tiles = shared.withColumns({"n": F.shiftright("sized", 1), "first": F.col("sized") % 2 == 1}).join(share, F.col("key") == F.col("_key"))
-    tiles = tiles.withColumn("rank", F.struct((F.col("_shared") / F.col("n")).alias("r"), F.col("key").alias("k")))
-    in_band = Window.partitionBy("token", "band")
-    tiles = tiles.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))).withColumns(
-        {
-            "size": F.count("*").over(tile), "best": F.max("rank").over(tile)["k"],
-            "p1": F.max("rank").over(in_band)["k"], "p2": F.min("key").over(in_band),
-        }
-    )
-    tiles = stored(tiles.select("token", "n", "first", "key", "size", "best", "p1", "p2"), "join-tiles")
-    # the two sets of a tile of two are compared whatever their bands, so such tiles are done with
-    pivot = F.explode(F.when(F.col("size") == 2, F.array("best")).otherwise(F.array_distinct(F.array("p1", "p2"))))
-    stars = tiles.select(pivot.alias("pivot"), "key").where("key <> pivot")
-    stars = stars.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
-    some = stored(bounded_pairs(stars, signatures, percent), "join-pairs")
-    ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key")))
-    links = stored(exact_links(some, arrays_of(docs, ends, sets), percent), "join-links")
+    one = every.where("kind = 0 AND n > 0").groupBy("key")
+    nodes = stored(one.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "signature", "half", "bands"))), "join-nodes")
+    links = linked_pairs(star_pairs(nodes), docs, nodes, percent)
     roots = stored(components(links), "join-roots")
 
-    labelled = tiles.where("size > 2").join(beside(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    labelled = labelled.withColumns(
-        {"low": F.min("root").over(tile), "high": F.max("root").over(tile), "least": F.min(F.when(F.col("first"), F.col("n"))).over(tile)}
-    ).where("low < high AND n >= least")
-    more = cross_pairs(labelled.join(signatures.select("key", "signature"), "key"), percent)
-    more = stored(more, "join-pairs")
-    ends = more.select(F.col("a").alias("key")).unionByName(more.select(F.col("b").alias("key")))
-    links = links.unionByName(stored(exact_links(more, arrays_of(docs, ends, sets), percent), "join-links"))
+    tiles = tiles_of(prefix_postings(docs, (tokens[order], counts[order]), percent))
+    rooted = nodes.select("key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    labelled = stored(tiles.join(rooted, "key"), "join-labelled")
+    compared = dealt(labelled, tile).join(nodes.select("key", F.col("half").alias("signature")), "key")
+    more = stored(cross_pairs(compared, percent), "join-pairs")
+    released(tiles, labelled)
+    links = links.unionByName(linked_pairs(more, docs, nodes, percent))
     roots = stored(components(links), "join-roots")
 
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = nodes.select("key", F.col("doc_id").alias("first")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = classes.groupBy("root").agg(F.min("first").alias("component"))
     named = classes.join(least, "root").select(F.col("key").alias("_key"), "component")
     return sets.join(named, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left").select(
@@ -377,7 +479,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
 def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs without the rows whose component has a document of a smaller id; all columns stay, rows with null ids too.
 
-    Several rows of one id are kept or dropped together, by the smallest component among their texts.
+    Several rows of one id are kept or dropped together, by the smallest component among their texts. Null and empty
+    texts stay; an empty table stays empty.
     """
     found = near_duplicates(docs, percent).where("component_id < doc_id").select("doc_id").distinct()
     return drop_ids(docs, stored(found, "join-copies"))

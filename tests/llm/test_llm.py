@@ -200,18 +200,66 @@ def test_near_copies_of_a_group(spark):
     assert found == brute_components(texts)
 
 
+def test_tiles_in_blocks(spark):
+    """A hot tile in blocks of seven rows: copies of a base that link to it alone, others that link to each other, and
+    texts that share only a passage."""
+    rng = np.random.default_rng(15)
+    base, passage = words(80, rng), words(60, rng)
+    texts = [" ".join(base)]
+    for k in range(60):
+        w = list(base)
+        for p in rng.choice(80, size=int(rng.integers(1, 5)), replace=False):
+            w[p] = f"e{k}x{p}"
+        texts.append(" ".join(w))
+    texts += [" ".join(passage + words(int(rng.integers(1, 60)), rng)) for _ in range(60)] + texts[:3] * 2
+    df = table(spark, texts).unionByName(spark.createDataFrame([(None, texts[70] + " x", *[None] * 8), (None, texts[70] + " y", *[None] * 8)], SCHEMA))
+    want = brute_components(texts)
+    for tile in (7, 2000):
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.near_duplicates(df.repartition(3), tile=tile).collect() if r["doc_id"] is not None}
+        assert found == want
+    # without the list of frequent shingles the order is another one, the links are the same
+    assert {r["doc_id"]: r["component_id"] for r in shingle_join.near_duplicates(table(spark, texts), most_frequent=0, tile=7).collect()} == {d: c for d, (_, c) in want.items()}
+
+
+def test_links_through_rows_without_id(spark):
+    rng = np.random.default_rng(16)
+    w = words(60, rng)
+    between = w[:50] + words(4, rng) + w[54:]
+    ends = [" ".join(between[:4] + ["left"] * 3 + between[7:]), " ".join(between[:-6] + ["right"] * 5 + between[-1:])]
+    rows = [(0, ends[0], *[None] * 8), (1, ends[1], *[None] * 8), (None, " ".join(between), *[None] * 8)]
+    texts = [ends[0], ends[1], " ".join(between)]
+    want = brute_components(texts)
+    found = {r["doc_id"]: r["component_id"] for r in shingle_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {0: want[0][1], 1: want[1][1], None: None}
+
+
+def test_small_bitmap(spark, monkeypatch):
+    """A bitmap that is full of others' bits moves more rows and gives the same result."""
+    from quire.llm import common
+
+    texts = corpus()
+    want = brute_components(texts)
+    monkeypatch.setattr(common, "BITS", 2)
+    assert {r["doc_id"]: r["component_id"] for r in shingle_join.near_duplicates(table(spark, texts)).collect()} == {d: c for d, (_, c) in want.items()}
+    kept = shingle_join.without_near_duplicates(table(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [d for d, (_, c) in want.items() if c == d]
+
+
 def test_overlap_bound():
     rng = np.random.default_rng(0)
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 40, int(rng.integers(1, 400))).astype(np.uint64))
         b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) // 2)), rng.integers(0, 1 << 40, int(rng.integers(1, 400))).astype(np.uint64)]))
-        assert shingle_join.overlap_bound(shingle_join.signature(a), len(a), shingle_join.signature(b), len(b)) >= len(np.intersect1d(a, b))
+        sides = [shingle_join.signature(x) for x in (a, b)]
+        for x, y in (sides, [shingle_join.halved(x) for x in sides]):
+            assert shingle_join.overlap_bound(x, len(a), y, len(b)) >= len(np.intersect1d(a, b))
 
 
 def test_without_near_duplicates(spark):
     texts = ["a b c d e f g h", "A b c d e f g h", None, "", "x y z"]
     kept = shingle_join.without_near_duplicates(table(spark, texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4] and kept.columns[:2] == ["doc_id", "text"]
+    assert shingle_join.without_near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
 # ---- 4 decontamination ----
