@@ -1,10 +1,12 @@
 """Hierarchical multi-length packing of token streams.
 
-Each task tokenizes its documents and cuts off their full windows. What is left of a document goes to the smallest
-tier that holds it. The longest tier is packed first: a remainder opens a window, and the gap is filled from the
-shorter tiers, largest fitting piece first, the last one cut to size. The rest at the end of a task becomes
-sequences of falling powers of two, so nothing is padded. Full windows are dealt to step groups so that
-each group holds as many tokens and about as much attention work (sum of squared piece lengths).
+Each task tokenizes its documents and cuts off their full windows of the longest tier. What is left of a document goes
+to the smallest tier that holds it. Each tier is packed into windows of its own width, the longest tier first: its
+longest remainder opens a window, and the gap is filled from the shorter tiers, largest fitting piece first, the last
+one cut to size; what is cut off goes to the tier that holds it. Widths are powers of two and windows are full, so
+nothing is padded; the rest at the end of a task becomes sequences of falling powers of two. Windows of all tiers are
+dealt to step groups, each to the group with the fewest tokens and, of those, the least attention work (sum of squared
+piece lengths), so that every step has as many tokens and about as much work.
 
 Memory: one buffer of `buffer_tokens` ids besides the current batch, whatever the size of a task.
 
@@ -15,6 +17,7 @@ an empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -68,12 +71,14 @@ def default_tokenizer() -> dict:
 class _Packer:
     """Packs one task's documents; rows() hands out the finished pieces."""
 
-    def __init__(self, width: int, tiers: tuple[int, ...], group: int, task: int):
-        self.width, self.tiers, self.group = width, tuple(sorted(tiers)), group
+    def __init__(self, tiers: tuple[int, ...], group: int, task: int):
+        self.tiers, self.group = tuple(sorted(tiers)), group
+        self.width = self.tiers[-1]
         self.next_sequence, self.next_group = task << 33, task << 33
-        self.pools: list[list[tuple]] = [[] for _ in range(width + 1)]  # by length: (doc_id, start, ids, doc_tokens)
-        self.held, self.left = 0, 0  # ids in the pools; pieces in them
-        self.done: list[list[tuple]] = []  # full windows that wait for their step group
+        self.pools: list[list[tuple]] = [[] for _ in range(self.width + 1)]  # by length: (doc_id, start, ids, doc_tokens)
+        self.filled = 0  # bit n: there are pieces of length n
+        self.held = 0  # ids in the pools and in windows that wait for their step group
+        self.done: dict[int, list[list[tuple]]] = {t: [] for t in self.tiers}
         self.out: list[tuple] = []
 
     def tier_of(self, length: int) -> int:
@@ -82,64 +87,84 @@ class _Packer:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         total, full = len(ids), len(ids) // self.width * self.width
         for s in range(0, full, self.width):
-            self.done.append([(doc_id, s, ids[s : s + self.width], total)])
-        self.held += full
+            self.done[self.width].append([(doc_id, s, ids[s : s + self.width], total)])
         if total > full:
             self.put((doc_id, full, ids[full:], total))
+        self.held += total
 
     def put(self, piece: tuple) -> None:
         n = len(piece[2])
         self.pools[n].append(piece)
-        self.held, self.left = self.held + n, self.left + 1
+        self.filled |= 1 << n
 
     def take(self, n: int) -> tuple:
-        self.held, self.left = self.held - n, self.left - 1
-        return self.pools[n].pop()
+        piece = self.pools[n].pop()
+        if not self.pools[n]:
+            self.filled &= ~(1 << n)
+        return piece
+
+    def longest(self, most: int) -> int:
+        """Length of the longest piece of up to `most` ids, or 0."""
+        found = self.filled & ((1 << (most + 1)) - 1)
+        return found.bit_length() - 1 if found else 0
+
+    def shortest(self, least: int) -> int:
+        """Length of the shortest piece of `least` ids or more, or 0."""
+        found = self.filled >> least
+        return least + (found & -found).bit_length() - 1 if found else 0
+
+    def window(self, tier: int) -> tuple[list[tuple], int]:
+        """A window that the tier's longest piece opens, and the gap that is left when there are no pieces any more."""
+        n = self.longest(tier)
+        window, gap = [self.take(n)], tier - n
+        while gap and self.filled:
+            n = self.longest(gap)
+            if n:
+                window.append(self.take(n))
+                gap -= n
+                continue
+            # nothing fits whole: the shortest longer piece, which is of a shorter tier if there is one, is cut
+            doc_id, start, ids, total = self.take(self.shortest(gap + 1))
+            window.append((doc_id, start, ids[:gap], total))
+            self.put((doc_id, start + gap, ids[gap:], total))
+            gap = 0
+        return window, gap
 
     def flush(self, last: bool) -> None:
-        top, filler = self.width, self.width
-        while self.left:
-            while not self.pools[top]:
-                top -= 1
-            window, gap = [self.take(top)], self.width - top
-            low = 0 if len(self.tiers) < 2 else self.tiers[-2]
-            filler = min(gap, top)
-            while gap and self.left:
-                while filler and not self.pools[filler]:
-                    filler -= 1
-                if filler:
-                    window.append(self.take(filler))
-                    gap -= filler
-                    filler = min(filler, gap)
-                    continue
-                # nothing fits whole: cut the shortest longer piece to the gap
-                n = next(k for k in range(gap + 1, self.width + 1) if self.pools[k])
-                doc_id, start, ids, total = self.take(n)
-                window.append((doc_id, start, ids[:gap], total))
-                self.put((doc_id, start + gap, ids[gap:], total))
-                top = max(top, n - gap) if n > low else top
-                gap = 0
-            if gap == 0:
-                self.done.append(window)
-                self.held += self.width
-            elif last:
-                self.tail(window)
-            else:  # an open window waits for the next buffer
-                for piece in window:
-                    self.put(piece)
-                break
-        keep = 0 if last else len(self.done) % self.group
-        ready, self.done = (self.done[: len(self.done) - keep], self.done[len(self.done) - keep :])
-        self.deal(ready)
-        self.held = sum(n * len(p) for n, p in enumerate(self.pools)) + self.width * len(self.done)
-
-    def deal(self, windows: list[list[tuple]]) -> None:
-        """Serpentine over the groups by attention work: each gets as many windows, and an even share of the work."""
-        groups = -(-len(windows) // self.group)
-        order = sorted(windows, key=lambda w: -sum(len(p[2]) ** 2 for p in w))
-        for k, window in enumerate(order):
-            turn, place = divmod(k, groups)
-            self.emit(window, self.next_group + (place if turn % 2 == 0 else groups - 1 - place))
+        for tier, shorter in zip(reversed(self.tiers), [*reversed(self.tiers[:-1]), 0], strict=True):
+            while self.longest(tier) > shorter:
+                window, gap = self.window(tier)
+                if not gap:
+                    self.done[tier].append(window)
+                elif last:
+                    self.tail(window)
+                else:  # an open window waits for the next buffer
+                    for piece in window:
+                        self.put(piece)
+                    break
+        self.deal(last)
+        pieces = sum(n * len(p) for n, p in enumerate(self.pools))
+        self.held = pieces + sum(t * len(w) for t, w in self.done.items())
+
+    def deal(self, last: bool) -> None:
+        """Deals finished windows of all tiers to groups of group * width ids; those of an unfinished group wait."""
+        size = self.group * self.width
+        total = sum(t * len(w) for t, w in self.done.items())
+        groups = -(-total // size) if last else total // size
+        if not groups:
+            return
+        loads = [(0, 0, self.next_group + k) for k in range(groups)]
+        for tier in reversed(self.tiers):
+            work = lambda w: sum(len(p[2]) ** 2 for p in w)
+            windows = sorted(self.done[tier], key=work, reverse=True)
+            self.done[tier] = []
+            for k, window in enumerate(windows):
+                tokens, done, g = loads[0]
+                if tokens + tier > size:  # all groups are full
+                    self.done[tier] = windows[k:]
+                    break
+                heapq.heapreplace(loads, (tokens + tier, done + work(window), g))
+                self.emit(window, g)
         self.next_group += groups
 
     def tail(self, window: list[tuple]) -> None:
@@ -182,12 +207,12 @@ def pack_documents(
     tokenizer: json_path, ranks_path and pattern of one byte-level vocabulary. The paths must exist on every worker.
     """
     files = tokenizer or default_tokenizer()
-    if max(tiers) != width:
-        raise ValueError("the largest tier is the width of a window")
+    if max(tiers) != width or any(t & (t - 1) for t in tiers):
+        raise ValueError("tiers are powers of two, and the largest is the width of a window")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(**files)
-        packer = _Packer(width, tiers, group, TaskContext.get().partitionId())
+        packer = _Packer(tiers, group, TaskContext.get().partitionId())
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, encode(text.as_py() or ""))
