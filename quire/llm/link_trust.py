@@ -1,9 +1,10 @@
 """URL filter: host and path rules, and link-graph propagation for what no rule decides.
 
-Hosts are nodes. A page links its host to every known host that its HTML names, and a host to the domain it is a
-subdomain of. Trust is a personalised PageRank that starts at hosts with allowed pages and follows links; distrust
-starts at hosts with blocked pages and follows links backwards. A host with more distrust than trust, by a margin,
-is blocked.
+Hosts are nodes. A page links its host to every known host that an attribute of its HTML links to, and a host to the
+domain it is a subdomain of. Trust is a personalised PageRank that starts at hosts with allowed pages and follows links;
+distrust starts at hosts with blocked pages and follows links backwards. Mass at hosts without links returns to the
+seeds, so each is a distribution over hosts; rounds go on until what moves is a negligible share. Both are compared as
+ratios, whatever the number of hosts: a host with more distrust than trust is blocked.
 
 Defined cases: a null url, or one without ://, has an empty host and path, meets no rule and is allowed by default,
 as is any host that neither trust nor distrust reaches; repeated pages are judged one by one; a null html has no
@@ -12,6 +13,7 @@ links; an empty table gives an empty result; other columns of the input are igno
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import stored
 
-#: Names with a dot inside; those that are no host of the graph are dropped by a join.
-HOST_LIKE = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: The host of an attribute that holds an absolute link, with a scheme or without.
+LINK = r"(?:[Hh][Rr][Ee][Ff]|[Ss][Rr][Cc]|[Aa][Cc][Tt][Ii][Oo][Nn])\s*=\s*[\"']?\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
 
 
 @dataclass(frozen=True)
@@ -70,11 +72,11 @@ def _parent(host: Column) -> Column:
 
 
 def host_edges(judged: DataFrame) -> DataFrame:
-    """src, dst, weight: how many pages of src name dst, and one more for the domain above src."""
+    """src, dst, weight: how many pages of src link to dst, and one more for the domain above src."""
     own = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
     up = own.select(F.col("host").alias("src"), _parent(F.col("host")).alias("dst")).where("dst IS NOT NULL")
     hosts = own.select("host").unionByName(up.select(F.col("dst").alias("host"))).distinct()
-    names = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HOST_LIKE), 0), _lower))
+    names = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1), _lower))
     named = judged.where("host <> ''").select(F.col("host").alias("src"), F.explode(names).alias("dst"))
     # counted before the join, so that a common pair moves as one row per task
     named = named.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
@@ -82,42 +84,49 @@ def host_edges(judged: DataFrame) -> DataFrame:
     return known.unionByName(up.withColumn("weight", F.lit(1))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """kind, host, score after so many rounds. edges: (kind, src, dst, weight); seeds: (kind, host, mass), mass summing
-    to 1 in each kind. What a host without links holds is dropped, so that scores never exceed 1."""
-    out = edges.withColumn("share", F.col("weight") / F.sum("weight").over(_by("kind", "src"))).select("kind", F.col("src").alias("host"), "dst", "share")
-    out = stored(out, "trust-edges")
-    start = stored(seeds.select("kind", "host", "mass"), "trust-seeds")
-    score = start.select("kind", "host", F.col("mass").alias("score"))
-    for _ in range(rounds):
-        moved = score.join(out, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
-        home = start.select("kind", "host", ((1 - damping) * F.col("mass")).alias("score"))
-        score = stored(moved.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score")), "trust-score")
-    return score
+def shares_of(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """rows with value as a share of its sum over by."""
+    total = rows.groupBy(*by).agg(F.sum(value).alias("_total"))
+    return rows.join(total, by).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
 
 
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """kind, host, score: personalised PageRank of each kind, summing to 1. edges: (kind, src, dst, weight); seeds: (kind,
+    host, mass). Each round moves what the last one brought; the rounds end when that is at most `tolerance` of all."""
+    out = shares_of(edges, ["kind", "src"], "weight", "share").select("kind", F.col("src").alias("host"), "dst", "share")
+    out = stored(out, "trust-edges")
+    came = stored(shares_of(seeds, ["kind"], "mass", "score").select("kind", "host", "score"), "trust-seeds")
+    every, rounds = came, math.ceil(math.log(tolerance) / math.log(damping))
+    for _ in range(rounds):
+        moved = came.join(out, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
+        came = stored(moved, "trust-moved")
+        left = came.groupBy("kind").agg(F.sum("score").alias("n")).agg(F.max("n")).first()[0]
+        every = every.unionByName(came)
+        if left is None or left <= tolerance:
+            break
+    # mass that a host without links would lose returns to the seeds: the same vector, scaled
+    return shares_of(every.groupBy("kind", "host").agg(F.sum("score").alias("sum")), ["kind"], "sum", "score").select("kind", "host", "score")
 
 
-def host_trust(judged: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def host_trust(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust. Seeds weigh as many pages as rules allow or block on them."""
     edges = stored(host_edges(judged), "trust-links")
     both = edges.withColumn("kind", F.lit("allow")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("block").alias("kind")))
-    seeds = judged.where("ruled IS NOT NULL AND host <> ''").groupBy(F.col("ruled").alias("kind"), "host").agg(F.count("*").alias("n"))
-    seeds = seeds.withColumn("mass", F.col("n") / F.sum("n").over(_by("kind")))
-    score = propagate(both, seeds, damping, rounds)
-    part = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)), 9)
+    seeds = judged.where("ruled IS NOT NULL AND host <> ''").groupBy(F.col("ruled").alias("kind"), "host").agg(F.count("*").alias("mass"))
+    score = propagate(both, seeds, damping, tolerance)
+    part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return score.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, margin: float = 0.0, **options) -> DataFrame:
+#: Distrust must exceed trust by this ratio, so that sums in another order decide alike.
+MARGIN = 1e-9
+
+
+def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, margin: float = MARGIN, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages (page_id, url, html)."""
     judged = match_rules(pages.select("page_id", "url", "html"), rules)
     trust = host_trust(judged, **options).withColumnRenamed("host", "_host")
     found = judged.drop("html").join(trust, F.col("host") == F.col("_host"), "left")
-    doubted = F.coalesce(F.col("distrust") > F.col("trust") + margin, F.lit(False))
+    doubted = F.coalesce(F.col("distrust") > F.col("trust") * (1 + margin), F.lit(False))
     verdict = F.coalesce("ruled", F.when(doubted, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

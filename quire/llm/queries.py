@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, fold
 from quire.llm.decontaminate import find_leaks
 from quire.llm.language_crf import fit_language_crf, label_languages
-from quire.llm.license_index import LICENCE_WORD, TEMPLATES, scan_licences
+from quire.llm.license_index import LICENCE_WORD, RARE, TEMPLATES, scan_licences
 from quire.llm.quality_mil import fit_quality_mil, score_quality
 from quire.llm.quality_rules import RULES as QUALITY_RULES
 from quire.llm.link_trust import RULES as URL_RULES
-from quire.llm.link_trust import HOST_LIKE, filter_urls
+from quire.llm.link_trust import LINK, MARGIN, filter_urls
 from quire.llm.packing import pack_documents
 from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
@@ -63,6 +63,11 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def d5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of bodies alike in either case of any script, by the same join."""
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -71,24 +76,25 @@ def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _op6_sql(damping: float = 0.85, rounds: int = 8) -> str:
+def _op6_sql(damping: float = 0.85, rounds: int = 12) -> str:
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     fits = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
     longest = sorted(URL_RULES, key=lambda r: -len(r.text))
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in longest) + " END"
+    # as many rounds as the given tables need until nothing moves
     steps = ["s0 AS MATERIALIZED (SELECT kind, host, mass AS score FROM seeds)"]
     for k in range(rounds):
         steps.append(
-            f"s{k + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT s.kind, o.dst AS host, {damping} * sum(s.score * o.share) AS score"
-            f" FROM s{k} s JOIN shares o ON s.kind = o.kind AND s.host = o.src GROUP BY ALL UNION ALL SELECT kind, host, {1 - damping} * mass FROM seeds) GROUP BY ALL)"
+            f"s{k + 1} AS MATERIALIZED (SELECT s.kind, o.dst AS host, {damping} * sum(s.score * o.share) AS score FROM s{k} s JOIN shares o ON s.kind = o.kind AND s.host = o.src GROUP BY ALL)"
         )
+    every = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(rounds + 1))
     return f"""
 WITH p AS (SELECT page_id, html, {lower("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 j AS MATERIALIZED (SELECT *, {case('text')} AS rule, {case('verdict')} AS ruled FROM p),
 own AS (SELECT DISTINCT host FROM j WHERE host <> ''),
 up AS (SELECT host AS src, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS dst FROM own WHERE len(string_split(host, '.')) > 3),
 hosts AS (SELECT host FROM own UNION SELECT dst FROM up),
-named AS (SELECT src, dst, count(*) AS weight FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all({lower("coalesce(html, '')")}, '{HOST_LIKE.replace("A-Z", "")}'))) AS dst FROM j WHERE host <> '')
+named AS (SELECT src, dst, count(*) AS weight FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{LINK.replace(chr(39), chr(39) * 2)}', 1), lambda x: {lower("x")}))) AS dst FROM j WHERE host <> '')
   WHERE src <> dst AND dst IN (SELECT host FROM hosts) GROUP BY ALL),
 edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM named UNION ALL SELECT src, dst, 1 FROM up) GROUP BY ALL),
 kinds AS (SELECT 'allow' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'block', dst, src, weight FROM edges),
@@ -96,8 +102,9 @@ shares AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTIT
 counted AS (SELECT ruled AS kind, host, count(*) AS n FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
 seeds AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS mass FROM counted),
 {", ".join(steps)},
-t AS (SELECT host, round(coalesce(sum(score) FILTER (kind = 'allow'), 0), 9) AS trust, round(coalesce(sum(score) FILTER (kind = 'block'), 0), 9) AS distrust FROM s{rounds} GROUP BY host)
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN t ON j.host = t.host"""
+x AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM (SELECT kind, host, sum(score) AS score FROM ({every}) GROUP BY ALL)),
+t AS (SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM x GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust * (1 + {MARGIN}) THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN t ON j.host = t.host"""
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,20 +113,26 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    place = lambda t: (
-        f"list_filter(range(1, greatest(len(w) - {len(t.words) - 2}, 1)), lambda i: "
-        + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(t.words))
-        + ")"
-    )
-    base = " || ".join(f"(CASE WHEN contains(n, ' {t.phrase} ') THEN {place(t)} ELSE [] END)" for t in TEMPLATES if t.base)
-    labels = lambda some: "list_filter([" + ", ".join(f"CASE WHEN contains(n, ' {t.phrase} ') THEN '{t.label}' END" for t in some) + "], lambda x: x IS NOT NULL)"
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    one = lambda k, t: f"({k}, '{t.label}', {str(t.base).lower()}, {quoted(t.words)}, {quoted(t.phrase)}, {t.at}, {t.votes}, {str(bool(t.key)).lower()})"
     return f"""
-WITH ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENCE_WORD}') AS w FROM documents),
-ns AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS n FROM ws),
-found AS (SELECT doc_id, len(w) AS nw, {base} AS b, {labels([t for t in TEMPLATES if t.base])} AS bl, {labels(TEMPLATES)} AS l FROM ns)
-SELECT doc_id, CAST(nw AS BIGINT) AS n_words, CAST(len(b) AS BIGINT) AS n_base, CAST(list_min(b) - 1 AS BIGINT) AS first_word, CAST(list_max(b) - 1 AS BIGINT) AS last_word,
-  array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(l)), ',') AS labels, 1.0::DOUBLE - power(0.5::DOUBLE, len(list_distinct(l))) AS score
-FROM found"""
+WITH templates(t, label, base, tw, phrase, key_at, votes, passage) AS (VALUES {", ".join(one(k, t) for k, t in enumerate(TEMPLATES))}),
+ws AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENCE_WORD}') AS w FROM documents),
+postings AS (SELECT t, tw[o] AS x, o - 1 AS o FROM templates, LATERAL (SELECT unnest(range(1, len(tw) + 1)) AS o)),
+df AS (SELECT x, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS x FROM ws) WHERE x IN (SELECT x FROM postings) GROUP BY x),
+idf AS (SELECT x, ln((1 + (SELECT count(*) FROM ws)) / (1 + coalesce(n, 0))) AS idf FROM (SELECT DISTINCT x FROM postings) p LEFT JOIN df USING (x)),
+possible AS (SELECT r, t FROM ws, templates WHERE list_has_all(w, phrase)),
+held AS (SELECT r, t, x, row_number() OVER (PARTITION BY r, t ORDER BY idf DESC, x) AS k FROM possible JOIN ws USING (r) JOIN (SELECT DISTINCT t, x FROM postings) USING (t) JOIN idf USING (x) WHERE list_contains(w, x)),
+spots AS (SELECT r, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM ws WHERE r IN (SELECT r FROM possible)),
+starts AS (SELECT r, t, i - o AS s FROM held JOIN spots USING (r, x) JOIN postings USING (t, x) WHERE k <= {RARE} GROUP BY ALL HAVING count(DISTINCT x) >= any_value((SELECT votes FROM templates v WHERE v.t = held.t))),
+hits AS (SELECT r, t, s, label, base, passage FROM starts JOIN templates USING (t) JOIN ws USING (r) WHERE s + key_at >= 0 AND w[s + key_at + 1:s + key_at + len(phrase)] = phrase),
+mass AS (SELECT t, sum(idf) AS total FROM postings JOIN idf USING (x) GROUP BY t),
+placed AS (SELECT r, t, s, sum(idf) AS placed FROM hits JOIN postings USING (t) JOIN idf USING (x) JOIN ws USING (r) WHERE s + o >= 0 AND w[s + o + 1] = x GROUP BY ALL),
+scored AS (SELECT r, max(CASE WHEN passage AND total > 0 THEN round(placed / total, 6) ELSE 1.0 END) AS score, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS f, max(s) FILTER (base) AS l,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al FROM hits JOIN mass USING (t) LEFT JOIN placed USING (r, t, s) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word,
+  coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM ws LEFT JOIN scored USING (r)"""
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +196,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_shingle_join": op3_shingle_join,
     "op4_decontaminate": op4_decontaminate,
+    "d5_near_duplicates": d5_near_duplicates,
     "op5_toxicity_gru": op5_toxicity_gru,
     "op6_link_trust": op6_link_trust,
     "op7_license_scan": op7_license_scan,
