@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import documents, stored
 from quire.llm.decontaminate import without_leaks
 from quire.llm.packing import pack_documents
-from quire.llm.quality_rules import quality_cascade
+from quire.llm.quality_rules import without_rejected
 from quire.llm.secret_scan import redact
 from quire.llm.shingle_join import without_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
-    return quality_cascade(docs).where("kept").select(*docs.columns)
+    return without_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
