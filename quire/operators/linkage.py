@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shingle_join import near_duplicates
-
 
 def exact_duplicates(rows: DataFrame, key: str, hash_column: str) -> DataFrame:
     """paper_id, candidate_id, reason, score: each copy against the smallest id with its hash. A star, so a group of
@@ -179,9 +177,3 @@ def merge_search_results(results: DataFrame, threshold: float = 92.0) -> DataFra
         return pd.DataFrame(out, columns=["query_id", "title", "url", "sources", "votes"])
 
     return works.groupBy("query_id").applyInPandas(merge, "query_id long, title string, url string, sources array<string>, votes array<struct<source:string,rank:int>>")
-
-
-def near_duplicate_docs(docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text): its class of texts alike by 5-word
-    shingles in either case, named by the smallest id. Exact: no link is lost, and copies stand in their class too."""
-    return near_duplicates(docs.select("doc_id", F.lower("text").alias("text")), round(100 * least))

@@ -47,11 +47,6 @@ def _(lib):
     return t.select("paper_id", F.round(L.token_set_ratio(F.col("title_norm"), F.col("other")), 6).alias("score"))
 
 
-@query("d5_near_duplicates")
-def _(lib):
-    return L.near_duplicate_docs(lib.table("documents").select("doc_id", "text"))
-
-
 def _decided(lib):
     pairs = L.exact_duplicates(lib.papers, "paper_id", "file_hash")
     return pairs, pairs.select("paper_id", "candidate_id", F.expr("element_at(array('keep_left', 'dismiss'), CAST(candidate_id % 2 + 1 AS int))").alias("action"))
