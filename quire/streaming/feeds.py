@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from quire.operators.index import build_postings
 from quire.sources.snapshot import shared_folder
 
 
@@ -23,21 +24,24 @@ def stream_events(spark: SparkSession, path: str, schema: StructType, files_per_
     return reader.parquet(path)
 
 
-def drained(stream: DataFrame, mode: str, keep: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote, from the shared folder.
+def drained(stream: DataFrame, mode: str, root: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it wrote below root, a new shared folder if none is named.
 
-    complete: the last state of the result; append and update: all rows that were emitted.
+    complete: the last state of the result; append and update: all rows that were emitted. Each micro-batch replaces
+    its own part, so a batch that is run again, or a stream that is resumed on the same root, doubles nothing.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
+    root = root or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode(how).parquet(f"{root}/out")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/all" if mode == "complete" else f"{root}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep and (lambda b, i: keep(b, root)) or write).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{root}/out/all")
+    parts = spark.read.option("basePath", f"{root}/out").schema(stream.schema.add("batch", "long")).parquet(f"{root}/out")
+    return parts.select(*stream.columns)
 
 
 def usage_windows(events: DataFrame, length: str = "24 hours", slide: str | None = None, late: str = "10 days") -> DataFrame:
@@ -132,24 +136,24 @@ def ttl_cache(events: DataFrame, minutes: int = 60, late: str = "1 hour") -> Dat
     )
 
 
-def incremental_index(changes: DataFrame, tokens: Column) -> DataFrame:
-    """Postings kept in step with a stream of chunk changes (chunk_id, text; a null text deletes).
+def incremental_index(changes: DataFrame, tokens: Column, root: str | None = None) -> DataFrame:
+    """Postings kept in step with a stream of chunk changes (chunk_id, text, seq; a null text deletes).
 
-    Each micro-batch writes a new version of the postings and the stream ends with the last one.
+    Each micro-batch writes the postings of its own changes, and which chunks it touched, under its number; of a chunk the
+    last batch that touched it counts. Nothing older is rewritten, a batch that is run again replaces itself, and a
+    stream that is resumed on the same root goes on from what is there.
     """
-    from quire.operators.index import build_postings, refresh_postings
-
     spark = changes.sparkSession
-    versions: list[str] = []
+    root = root or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def apply(batch: DataFrame, root: str) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("chunk_id").agg(F.max_by("text", "seq").alias("text"))
-        changed, deleted = last.where("text IS NOT NULL"), last.where("text IS NULL").select("chunk_id")
-        new = build_postings(changed, tokens) if not versions else refresh_postings(spark.read.parquet(versions[-1]), changed, deleted, tokens)
-        path = f"{root}/postings-{len(versions)}"
-        new.write.parquet(path)
-        versions.append(path)
-        batch.limit(0).write.mode("overwrite").parquet(f"{root}/out")
-
-    drained(changes, "append", apply)
-    return spark.read.parquet(versions[-1])
+        build_postings(last.where("text IS NOT NULL"), tokens).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        last.select("chunk_id").write.mode("overwrite").parquet(f"{root}/touched/batch={number}")
+
+    query = changes.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(apply).start()
+    query.awaitTermination()
+    touched = spark.read.schema("chunk_id long, batch long").parquet(f"{root}/touched")
+    newest = touched.groupBy("chunk_id").agg(F.max("batch").alias("batch"))
+    postings = spark.read.schema("term string, chunk_id long, tf long, positions array<int>, batch long").parquet(f"{root}/postings")
+    return postings.join(newest, ["chunk_id", "batch"], "left_semi").select("term", "chunk_id", "tf", "positions")
