@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+from quire.sources.snapshot import rewritten
+
 
 def exact_duplicates(rows: DataFrame, key: str, hash_column: str) -> DataFrame:
     """paper_id, candidate_id, reason, score: each copy against the smallest id with its hash. A star, so a group of
@@ -59,34 +62,60 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def title_candidates(left: DataFrame, right: DataFrame, rare: int = 3, most: int = 200) -> DataFrame:
-    """left_id, right_id, left_title, right_title for titles that share one of their rarest words.
+def _title_words(df: DataFrame) -> DataFrame:
+    """id, title, ws of rows (id, title): the title's distinct words."""
+    return df.select("id", "title", F.array_distinct(F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("ws"))
+
+
+def _rarest(words: DataFrame, df: DataFrame, share: float) -> DataFrame:
+    """id, title, w: of each title its rarest words (df: w, df), as many as it takes so that the others hold less than
+    `share` of its characters."""
+    flat = words.select("id", "title", F.explode("ws").alias("w")).join(df, "w", "left")
+    ranked = flat.groupBy("id", "title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+    total = F.aggregate("ws", F.lit(0), lambda a, x: a + F.length(x["w"]))
+    before = lambda i: F.aggregate(F.slice("ws", 1, i), F.lit(0), lambda a, x: a + F.length(x["w"]))
+    kept = F.filter("ws", lambda x, i: total - before(i) >= share * total)
+    return ranked.select("id", "title", F.explode(F.transform(kept, lambda x: x["w"])).alias("w"))
+
 
-    Every title is looked up by its `rare` rarest words of 3 letters or more; a word of more than `most` titles blocks
-    nothing, unless it is among a title's only words.
+def title_candidates(left: DataFrame, right: DataFrame, share: float = 0.5) -> DataFrame:
+    """left_id, right_id, left_title, right_title for rows (id, title) whose shared words hold at least `share` of the
+    characters of either title's words.
+
+    Each title of either side looks its rarest words up among all words of the other's, as many as it takes: a title
+    that shares so much shares one of these. So no such pair is lost, and a frequent word blocks only what has nothing
+    rarer. Pairs that are alike by spelling alone, with less than that in whole words, are not found.
     """
-    words = lambda df: df.select("id", "title", F.array_distinct(F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]{3,}"), 0)).alias("ws"))
-    flat = lambda df: words(df).select("id", "title", F.explode("ws").alias("w"))
-    df = flat(right).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = flat(left).join(df, "w").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
-    keys = ranked.where((F.col("k") <= rare) & ((F.col("df") <= most) | (F.col("k") == 1)))
-    l, r = keys.select("w", F.col("id").alias("left_id"), F.col("title").alias("left_title")), flat(right).select("w", F.col("id").alias("right_id"), F.col("title").alias("right_title"))
-    return l.join(r, "w").drop("w").distinct()
+    a, b = _title_words(left), _title_words(right)
+    flat = lambda df: df.select("id", "title", F.explode("ws").alias("w"))
+    count = lambda df: flat(df).groupBy("w").agg(F.count("*").alias("df"))
+
+    def met(asking: DataFrame, asked: DataFrame) -> DataFrame:
+        keys = _rarest(asking, count(asked), share).select("w", F.col("id").alias("asking_id"), F.col("title").alias("asking_title"))
+        return keys.join(flat(asked).select("w", F.col("id").alias("asked_id"), F.col("title").alias("asked_title")), "w").drop("w")
+
+    named = lambda df, x, y: df.select(F.col(f"{x}_id").alias("left_id"), F.col(f"{y}_id").alias("right_id"), F.col(f"{x}_title").alias("left_title"), F.col(f"{y}_title").alias("right_title"))
+    return named(met(a, b), "asking", "asked").unionByName(named(met(b, a), "asked", "asking")).distinct()
 
 
 def fuzzy_title_pairs(papers: DataFrame, threshold: float = 92.0, years: int = 2, top: int = 5) -> DataFrame:
     """paper_id < candidate_id, score: titles (title_norm) of 8 characters or more that are alike, at most so many years
-    apart where both years are known, the best `top` of each paper."""
-    own = papers.where(F.length("title_norm") >= 8)
-    # equal titles are one node: their pairs are exact and need no search
-    titles = own.groupBy("title_norm").agg(F.min("paper_id").alias("id")).withColumnRenamed("title_norm", "title")
-    pairs = title_candidates(titles, titles).where("left_id < right_id")
-    pairs = pairs.withColumn("score", token_set_ratio(F.col("left_title"), F.col("right_title"))).where(F.col("score") >= threshold)
-    same = own.join(titles, own["title_norm"] == titles["title"]).where("paper_id > id").select(F.col("id").alias("left_id"), F.col("paper_id").alias("right_id"), F.lit(100.0).alias("score"))
-    every = pairs.select("left_id", "right_id", "score").unionByName(same)
-    year = own.select("paper_id", "year")
-    every = every.join(year.select(F.col("paper_id").alias("left_id"), F.col("year").alias("y1")), "left_id").join(year.select(F.col("paper_id").alias("right_id"), F.col("year").alias("y2")), "right_id")
-    every = every.where(F.col("y1").isNull() | F.col("y2").isNull() | (F.abs(F.col("y1") - F.col("y2")) <= years))
+    apart where both years are known, the best `top` of each paper. Papers of one title and year are a star around the
+    smallest id, which stands for them in pairs with other titles and years."""
+    own = papers.where(F.length("title_norm") >= 8).select("paper_id", "title_norm", "year")
+    nodes = own.groupBy(F.col("title_norm").alias("title"), "year").agg(F.min("paper_id").alias("id"))
+    titles = nodes.groupBy("title").agg(F.min("id").alias("id")).select("id", "title")
+    alike = title_candidates(titles, titles).where("left_id < right_id")
+    alike = alike.withColumn("score", token_set_ratio(F.col("left_title"), F.col("right_title"))).where(F.col("score") >= threshold).select("left_title", "right_title", "score")
+    alike = alike.unionByName(titles.select(F.col("title").alias("left_title"), F.col("title").alias("right_title"), F.lit(100.0).alias("score")))
+    side = lambda s: nodes.select(F.col("title").alias(f"{s}_title"), F.col("id").alias(f"{s}_id"), F.col("year").alias(f"{s}_year"))
+    pairs = alike.join(side("left"), "left_title").join(side("right"), "right_title")
+    pairs = pairs.where((F.col("left_title") != F.col("right_title")) | (F.col("left_id") < F.col("right_id")))
+    pairs = pairs.where(F.col("left_year").isNull() | F.col("right_year").isNull() | (F.abs(F.col("left_year") - F.col("right_year")) <= years))
+    heads = nodes.select("title", F.col("year").alias("_year"), "id")
+    same = own.join(heads, (F.col("title_norm") == F.col("title")) & F.col("year").eqNullSafe(F.col("_year"))).where("paper_id > id")
+    every = pairs.select("left_id", "right_id", "score").unionByName(same.select(F.col("id").alias("left_id"), F.col("paper_id").alias("right_id"), F.lit(100.0).alias("score")))
+    every = every.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "score")
     k = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
     return every.withColumn("k", k).where(F.col("k") <= top).select(F.col("left_id").alias("paper_id"), F.col("right_id").alias("candidate_id"), F.lit("title_fuzzy").alias("reason"), F.round("score", 6).alias("score"))
 
@@ -117,11 +146,12 @@ def list_duplicates(pairs: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def best_match(inputs: DataFrame, candidates: DataFrame, least: float = 78.0) -> DataFrame:
-    """input_id, match_id, score, reason: the most alike candidate of each input title, or none and why.
+    """input_id, match_id, score, reason: the candidate most alike any spelling of each input title, or none and why.
 
     inputs: (input_id, title); candidates: (candidate_id, title); both normalised.
     """
-    pairs = title_candidates(inputs.select(F.col("input_id").alias("id"), "title"), candidates.select(F.col("candidate_id").alias("id"), "title"))
+    spelled = inputs.select("input_id", F.explode(T.clean_title_candidates(F.col("title"))).alias("title"))
+    pairs = title_candidates(spelled.select(F.col("input_id").alias("id"), "title"), candidates.select(F.col("candidate_id").alias("id"), "title"))
     pairs = pairs.withColumn("score", token_set_ratio(F.col("left_title"), F.col("right_title")))
     best = pairs.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("b"))
     found = inputs.join(best, F.col("input_id") == F.col("left_id"), "left")
@@ -155,25 +185,34 @@ def canonical_id() -> Column:
 def merge_search_results(results: DataFrame, threshold: float = 92.0) -> DataFrame:
     """query_id, title, url, sources, votes: one row per work among (query_id, source, rank, title, url, doi, arxiv_id).
 
-    Rows of one id are one work; rows without an id join a work of a like title, or each other.
+    Rows of one id are one work. A work without an id joins the first work of a like title: those with ids come
+    first, then by title and url; works that are so linked are one.
     """
     rows = results.withColumn("cid", canonical_id())
     richness = F.struct((F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("url", F.lit("")))).alias("r"), (-F.col("rank")).alias("k"), "title", "url")
-    by_id = rows.where("cid IS NOT NULL").groupBy("query_id", "cid").agg(F.max(richness).alias("best"), F.collect_list(F.struct("source", "rank")).alias("votes"))
-    rest = rows.where("cid IS NULL").groupBy("query_id", "title", "url").agg(F.collect_list(F.struct("source", "rank")).alias("votes"))
-    rest = rest.select("query_id", F.lit(None).cast("string").alias("cid"), F.struct(F.lit(0).alias("r"), F.lit(0).alias("k"), "title", "url").alias("best"), "votes")
-    works = by_id.select("query_id", "cid", "best.title", "best.url", "votes").unionByName(rest.select("query_id", "cid", "best.title", "best.url", "votes"))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values(["cid", "title", "url"], na_position="last").to_dict("records"):
-            plain = " ".join("".join(ch if ch.isalnum() else " " for ch in (row["title"] or "").lower()).split())
-            same = next((k for k in kept if row["cid"] is None and token_set_similarity(plain, k["plain"]) >= threshold), None)
-            if same:
-                same["votes"] += list(row["votes"])
-            else:
-                kept.append({**row, "plain": plain, "votes": list(row["votes"])})
-        out = [(k["query_id"], k["title"], k["url"], sorted({v["source"] for v in k["votes"]}), [{"source": v["source"], "rank": int(v["rank"])} for v in k["votes"]]) for k in kept]
-        return pd.DataFrame(out, columns=["query_id", "title", "url", "sources", "votes"])
-
-    return works.groupBy("query_id").applyInPandas(merge, "query_id long, title string, url string, sources array<string>, votes array<struct<source:string,rank:int>>")
+    voted = F.collect_list(F.struct("source", F.col("rank").cast("int").alias("rank"))).alias("votes")
+    by_id = rows.where("cid IS NOT NULL").groupBy("query_id", "cid").agg(F.max(richness).alias("best"), voted).select("query_id", "cid", "best.title", "best.url", "votes")
+    rest = rows.where("cid IS NULL").groupBy("query_id", "title", "url").agg(voted).select("query_id", F.lit(None).cast("string").alias("cid"), "title", "url", "votes")
+    order = F.struct(F.col("cid").isNull().alias("late"), F.coalesce("cid", F.lit("")).alias("cid"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"))
+    works = by_id.unionByName(rest).withColumn("work", order)
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    # words are looked up within their query only
+    keyed = works.select(F.struct("query_id", "work").alias("id"), plain.alias("title"))
+    tagged = lambda df: df.withColumn("title", F.array_join(F.transform(F.split("title", " "), lambda w: F.concat(F.col("id.query_id").cast("string"), F.lit("q"), w)), " "))
+    met = title_candidates(tagged(keyed.where("id.work.late")), tagged(keyed)).select("left_id", "right_id").where("right_id.work < left_id.work AND left_id.query_id = right_id.query_id")
+    titles = keyed.withColumnRenamed("title", "t")
+    met = met.join(titles.withColumnsRenamed({"id": "left_id", "t": "left_title"}), "left_id").join(titles.withColumnsRenamed({"id": "right_id", "t": "right_title"}), "right_id")
+    alike = met.where(token_set_ratio(F.col("left_title"), F.col("right_title")) >= threshold)
+    parents = rewritten(alike.groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("parent")))
+    while True:  # each step halves the way to the first work of a chain
+        above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("higher"))
+        moved = parents.join(above, "parent", "left")
+        if moved.where("higher IS NOT NULL").isEmpty():
+            break
+        parents = rewritten(moved.select("id", F.coalesce("higher", "parent").alias("parent")))
+    rooted = works.withColumn("id", F.struct("query_id", "work")).join(parents, "id", "left").withColumn("root", F.coalesce("parent", "id"))
+    votes = F.flatten(F.collect_list("votes"))
+    merged = rooted.groupBy("root").agg(votes.alias("votes"))
+    heads = works.withColumn("root", F.struct("query_id", "work")).select("root", "query_id", "title", "url")
+    sources = F.array_sort(F.array_distinct(F.transform("votes", lambda v: v["source"])))
+    return heads.join(merged, "root").select("query_id", "title", "url", sources.alias("sources"), F.array_sort("votes").alias("votes"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import linkage as L
 from quire.queries.registry import registry
 from quire.views import with_views
@@ -43,7 +44,7 @@ def _(lib):
 
 @query("d4_token_set_ratio")
 def _(lib):
-    t = lib.papers.select("paper_id", "title_norm", F.concat(F.substring("title_norm", 1, 40), F.lit(" "), "venue").alias("other"))
+    t = lib.papers.select("paper_id", "title_norm", F.concat("title_norm", F.lit(" "), "venue").alias("other"))
     return t.select("paper_id", F.round(L.token_set_ratio(F.col("title_norm"), F.col("other")), 6).alias("score"))
 
 
@@ -83,7 +84,7 @@ def _(lib):
 
 @query("d8_best_match")
 def _(lib):
-    inputs = lib.table("benchmark").select(F.col("item_id").alias("input_id"), F.regexp_replace(F.lower(F.substring("text", 1, 60)), r"[^\p{L}\p{N}\s]", " ").alias("title"))
+    inputs = lib.table("benchmark").select(F.col("item_id").alias("input_id"), T.normalize_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
     return L.best_match(inputs, lib.papers.select(F.col("paper_id").alias("candidate_id"), F.col("title_norm").alias("title")))
 
 
@@ -98,7 +99,7 @@ def _(lib):
 
 @query("d10_merge_search_results")
 def _(lib):
-    base = lib.papers.select((F.col("paper_id") % 40).alias("query_id"), "paper_id", "title")
+    base = lib.papers.select(F.expr("paper_id div 40").alias("query_id"), "paper_id", "title")
     results = base.withColumn("source", F.explode(F.array(F.lit("web"), F.lit("papers")))).select(
         "query_id", "source", (F.col("paper_id") % 10).cast("int").alias("rank"), "title", F.concat(F.lit("https://example.org/"), "paper_id").alias("url"),
         F.expr("CASE WHEN paper_id % 2 = 0 THEN concat('10.1/', paper_id) END").alias("doi"), F.lit(None).cast("string").alias("arxiv_id"),
