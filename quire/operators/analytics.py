@@ -15,6 +15,15 @@ def overview(papers: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFram
     return p.join(F.broadcast(c)).join(F.broadcast(n))  # one row each
 
 
+def todo_counts(papers: DataFrame, notes: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """One row: live papers that failed, wait, or lack a deep reading, and undecided duplicates."""
+    live = papers.where("NOT deleted")
+    read = notes.where("kind = 'deep_read' AND paper_id IS NOT NULL").select("paper_id")
+    state = live.agg(F.count_if(F.col("ingest_status") == "failed").alias("failed"), F.count_if(F.col("ingest_status") == "pending").alias("pending"))
+    unread = live.join(read, "paper_id", "left_anti").agg(F.count("*").alias("unread"))
+    return state.join(F.broadcast(unread)).join(F.broadcast(duplicates.agg(F.count("*").alias("duplicates"))))  # one row each
+
+
 def counts_by(rows: DataFrame, column: str, most: int | None = None) -> DataFrame:
     n = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     return n if most is None else n.orderBy(F.desc("n"), column).limit(most)

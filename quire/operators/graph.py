@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.snapshot import rewritten
+
 #: Names too general to be an entity.
 GENERIC = ("method", "model", "approach", "paper", "result", "results", "dataset", "framework", "system", "this", "that")
 
@@ -23,9 +25,11 @@ def build_entities(raw: DataFrame) -> DataFrame:
     An alias never joins two entities: a double is better than a wrong merge.
     """
     rows = raw.withColumn("norm", normalize_entity(F.col("name"))).where(is_useful(F.col("norm")))
-    first = F.min(F.struct("seq", "name", "type"))
-    return rows.groupBy("norm").agg(first.alias("f"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"), F.count("*").alias("n")).select(
-        "norm", F.col("f.name").alias("name"), F.col("f.type").alias("type"), "aliases", "n", F.col("f.seq").alias("seq")
+    # counted and deduplicated before anything moves: a frequent name is one row per task
+    named = rows.groupBy("norm").agg(F.min(F.struct("seq", "name", "type")).alias("f"), F.count("*").alias("n"))
+    aliases = rows.select("norm", F.explode("aliases").alias("a")).distinct().groupBy("norm").agg(F.sort_array(F.collect_list("a")).alias("aliases"))
+    return named.join(aliases, "norm", "left").select(
+        "norm", F.col("f.name").alias("name"), F.col("f.type").alias("type"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "n", F.col("f.seq").alias("seq")
     )
 
 
@@ -39,13 +43,23 @@ def alias_map(entities: DataFrame) -> DataFrame:
 def build_relations(raw: DataFrame, entities: DataFrame) -> DataFrame:
     """src, dst, type, weight, evidence from raw relations (note_id, src, dst, type, quote); unresolved, empty and self
     edges are dropped. Evidence holds the first 20 quotes in order, weight counts all."""
-    keys = alias_map(entities)
+    keys = rewritten(alias_map(entities))  # looked up four times
     rows = raw.where("src IS NOT NULL AND dst IS NOT NULL AND type IS NOT NULL AND trim(quote) <> ''")
-    rows = rows.withColumn("key", normalize_entity(F.col("src"))).join(keys, "key").withColumnRenamed("norm", "s").drop("key")
-    rows = rows.withColumn("key", normalize_entity(F.col("dst"))).join(keys, "key").withColumnRenamed("norm", "d").drop("key").where("s <> d")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("s", "d", "type").orderBy("note_id", "quote")))
-    quotes = F.array_sort(F.collect_list(F.when(F.col("k") <= 20, F.struct("note_id", F.substring("quote", 1, 500).alias("quote")))))
-    return ranked.groupBy(F.col("s").alias("src"), F.col("d").alias("dst"), "type").agg(F.count("*").alias("weight"), quotes.alias("evidence"))
+    rows = rows.select(normalize_entity(F.col("src")).alias("a"), normalize_entity(F.col("dst")).alias("b"), "type", "note_id", F.substring("quote", 1, 500).alias("quote"))
+
+    def resolved(df: DataFrame) -> DataFrame:
+        src = df.join(keys.select(F.col("key").alias("a"), F.col("norm").alias("src")), "a")
+        return src.join(keys.select(F.col("key").alias("b"), F.col("norm").alias("dst")), "b").where("src <> dst").drop("a", "b")
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
+        # a limited rank keeps so many rows of each key in a task before they move
+        return df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("note_id", "quote"))).where("k <= 20").drop("k")
+
+    # names are counted before they are resolved, so that a frequent pair moves as one row per task
+    weights = resolved(rows.groupBy("a", "b", "type").agg(F.count("*").alias("n"))).groupBy("src", "dst", "type").agg(F.sum("n").alias("weight"))
+    quotes = first(resolved(first(rows, "a", "b", "type")), "src", "dst", "type")
+    evidence = quotes.groupBy("src", "dst", "type").agg(F.array_sort(F.collect_list(F.struct("note_id", "quote"))).alias("evidence"))
+    return weights.join(evidence, ["src", "dst", "type"], "left")
 
 
 def replace_links(links: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -62,17 +76,26 @@ def entity_detail(relations: DataFrame, wanted: DataFrame) -> DataFrame:
 
 # ---- review flags ----
 
-MARK = "⚠️ 待核"
-#: What decides the class of a flag, in this order.
-FLAG_KINDS = (("paper", r"(?i)paper|原文|论文"), ("repro", r"(?i)reproduc|code|复现|代码"), ("unavailable", r"(?i)unavailable|missing|缺失|无法"))
+#: The mark, the section before the first heading, and what decides the class of a flag, in this order.
+MARK = "⚠️"
+PREFACE = "（前言）"
+FLAG_KINDS = (
+    ("paper", r"(对不上|矛盾|不吻合|不一致|缺(?:乏)?证据|反直觉|有偏|偏差|归属|未说明|未明确|歧义|应(?:该)?落|差\s*[\d.]+|不成立|可疑|张力)"),
+    ("repro", r"(超参|复现必需|未给出.{0,6}(?:取值|数值|配置)|参数未|配置未|复现时)"),
+    ("unavailable", r"(提供|给定|摘录|截断|原文|正文|文本|转录|排版|图表?未|表号|Tab\.|Table|图\s*\[|<ref>|未含|未见|未出现|无法核对|不可得|节选|缺失)"),
+)
 
 
 def extract_flags(notes: DataFrame, mark: str = MARK) -> DataFrame:
     """flag_id, note_id, section, text, kind of the marked lines of notes (note_id, content_md)."""
-    lines = notes.select("note_id", F.posexplode(F.split("content_md", "\n")).alias("n", "line"))
-    heading = F.nullif(F.regexp_extract("line", r"^#+\s+(.*)$", 1), F.lit(""))
-    lines = lines.withColumn("section", F.last(heading, ignorenulls=True).over(Window.partitionBy("note_id").orderBy("n")))
-    rows = lines.where(F.contains("line", F.lit(mark))).select("note_id", F.coalesce("section", F.lit("")).alias("section"), F.trim(F.regexp_replace(F.replace("line", F.lit(mark), F.lit("")), r"^[\s>*-]+|[:：]", "")).alias("text"))
+    lines = notes.where(F.contains("content_md", F.lit(mark))).select("note_id", F.posexplode(F.split("content_md", r"\r?\n")).alias("n", "line"))
+    heading = F.nullif(F.regexp_extract("line", r"^#{2,3}\s+(.+?)\s*$", 1), F.lit(""))
+    lines = lines.withColumn("heading", heading).withColumn("section", F.last("heading", ignorenulls=True).over(Window.partitionBy("note_id").orderBy("n")))
+    text = F.regexp_replace(F.trim("line"), r"^[-*+]\s+", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"^\[[ xX]\]\s*", ""), mark + r"\s*待核[：:]?", "")
+    text = F.regexp_replace(text, r"^[ \-—·\t]+|[ \-—·\t]+$", "")
+    marked = lines.where(F.col("heading").isNull() & F.contains("line", F.lit(mark)))
+    rows = marked.select("note_id", F.coalesce("section", F.lit(PREFACE)).alias("section"), text.alias("text")).where("text <> ''")
     kind = F.lit("other")
     for name, pattern in reversed(FLAG_KINDS):
         kind = F.when(F.col("text").rlike(pattern), name).otherwise(kind)
@@ -94,16 +117,20 @@ def mark_flags(states: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def apply_edits(notes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """notes, revisions, conflicts after edits (note_id, expected_version, new_content), one for each note.
+    """notes, revisions, conflicts after edits (note_id, seq, expected_version, new_content).
 
     An edit that changes nothing is ignored; one that expects another version is a conflict; else the old content
-    becomes a revision and the version grows by one.
+    becomes a revision and the version grows by one. Of several edits of a note the first by seq counts, the others are
+    conflicts: the version that they were made on has gone.
     """
-    both = notes.join(edits, "note_id", "left")
+    nth = F.row_number().over(Window.partitionBy("note_id").orderBy("seq"))
+    edits = edits.withColumn("_nth", nth)
+    late = notes.select("note_id", "version").join(edits.where("_nth > 1"), "note_id").select("note_id", "version", "expected_version")
+    both = notes.join(edits.where("_nth = 1"), "note_id", "left")
     clash = F.col("new_content").isNotNull() & F.col("expected_version").isNotNull() & (F.col("expected_version") != F.col("version"))
     made = F.col("new_content").isNotNull() & ~F.coalesce(clash, F.lit(False)) & (F.col("new_content") != F.col("content"))
     out = both.select("note_id", F.when(made, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.when(made, F.col("new_content")).otherwise(F.col("content")).alias("content"))
-    return out, both.where(made).select("note_id", "version", "content"), both.where(clash).select("note_id", "version", "expected_version")
+    return out, both.where(made).select("note_id", "version", "content"), both.where(clash).select("note_id", "version", "expected_version").unionByName(late)
 
 
 def content_at(notes: DataFrame, revisions: DataFrame, version: int) -> DataFrame:
@@ -111,6 +138,18 @@ def content_at(notes: DataFrame, revisions: DataFrame, version: int) -> DataFram
     return every.where(F.col("version") == version)
 
 
+def restore(notes: DataFrame, revisions: DataFrame, version: int) -> DataFrame:
+    """Edits (note_id, seq, expected_version, new_content) that bring each note's content at a version back as a new one."""
+    was = revisions.where(F.col("version") == version).select("note_id", F.col("content").alias("new_content"))
+    return notes.select("note_id", F.lit(0).alias("seq"), F.col("version").alias("expected_version")).join(was, "note_id")
+
+
+def check_versions(notes: DataFrame, revisions: DataFrame) -> DataFrame:
+    """note_id, version, highest of the notes whose version is not above that of all their revisions."""
+    highest = revisions.groupBy("note_id").agg(F.max("version").alias("highest"))
+    return notes.select("note_id", "version").join(highest, "note_id").where("version <= highest")
+
+
 def revision_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, added, removed: lines, counted as often as they stand, between two texts (key, content)."""
     lines = lambda df, n: df.select(key, F.explode(F.split("content", "\n")).alias("line")).groupBy(key, "line").agg(F.count("*").alias(n))

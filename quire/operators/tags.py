@@ -141,15 +141,15 @@ def paper_detail(papers: DataFrame, pairs: DataFrame, notes: DataFrame) -> DataF
 
 
 def update_rows(base: DataFrame, patches: DataFrame, key: str, allowed: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """base with valid patches (key, column, value) applied, and the rejected patches.
+    """base with valid patches (key, seq, column, value) applied, and the rejected patches.
 
-    allowed: column -> condition over `value` that makes it valid. The last patch of a column by value wins.
+    allowed: column -> condition over `value` that makes it valid. Of several patches of a column the last by seq wins.
     """
     valid = F.lit(False)
     for c, ok in allowed.items():
         valid = valid | ((F.col("column") == c) & ok)
     valid = F.coalesce(valid, F.lit(False))
-    wide = patches.where(valid).groupBy(key).agg(*(F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_{c}") for c in allowed))
+    wide = patches.where(valid).groupBy(key).agg(*(F.max_by("value", F.when(F.col("column") == c, F.col("seq"))).alias(f"_{c}") for c in allowed))
     out = base.join(wide, key, "left")
     out = out.withColumns({c: F.coalesce(F.col(f"_{c}").cast(base.schema[c].dataType), F.col(c)) for c in allowed}).select(*base.columns)
     return out, patches.where(~valid)

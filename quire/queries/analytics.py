@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import analytics as A
 from quire.operators import index as I
+from quire.operators.linkage import exact_duplicates
 from quire.queries.registry import registry
 from quire.views import with_views
 
@@ -55,6 +56,12 @@ def _(lib):
     return lib.live.join(lib.notes.where("kind = 'deep_read'").select("paper_id"), "paper_id", "left_anti").select("paper_id")
 
 
+@query("j8_todo_counts", with_views("live notes papers", """SELECT (SELECT count(*) FROM live WHERE ingest_status = 'failed') AS failed, (SELECT count(*) FROM live WHERE ingest_status = 'pending') AS pending,
+(SELECT count(*) FROM live WHERE paper_id NOT IN (SELECT paper_id FROM notes WHERE kind = 'deep_read' AND paper_id IS NOT NULL)) AS unread, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM papers GROUP BY file_hash)) AS duplicates"""))
+def _(lib):
+    return A.todo_counts(lib.papers, lib.notes, exact_duplicates(lib.papers, "paper_id", "file_hash"))
+
+
 @query("j9_usage_summary", with_views("usage", """SELECT kind, count(*) FILTER (NOT blocked) AS calls, count(*) FILTER (blocked) AS blocked, sum(CASE WHEN blocked THEN 0 ELSE input_tokens END)::BIGINT AS input_tokens,
 sum(CASE WHEN blocked THEN 0 ELSE output_tokens END)::BIGINT AS output_tokens, round((sum(CASE WHEN blocked THEN 0 ELSE input_tokens END) * 3.0 + sum(CASE WHEN blocked THEN 0 ELSE output_tokens END) * 15.0) / 1e6, 6) AS cost FROM usage GROUP BY ROLLUP (kind)"""))
 def _(lib):
@@ -128,10 +135,10 @@ def _(lib):
     return A.eval_stability(first, first.where("query_id > 3").withColumn("value", F.col("value") + F.col("query_id") % 2))
 
 
-@query("m3_filter_leaky_cases", with_views("papers queries", """t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) AS w FROM papers WHERE paper_id % 10 = 0)
+@query("m3_filter_leaky_cases", with_views("papers queries", """t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) AS w FROM papers)
 SELECT query_id, query FROM queries WHERE NOT list_has_any(regexp_extract_all(lower(query), '[a-z]{4,}'), (SELECT list(w) FROM t))"""))
 def _(lib):
-    return A.filter_leaky_cases(lib.queries, lib.papers.where("paper_id % 10 = 0"))
+    return A.filter_leaky_cases(lib.queries, lib.papers)
 
 
 @query("q2_orphans", with_views("notes live", "SELECT note_id FROM notes WHERE paper_id IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM live)"))

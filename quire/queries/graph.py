@@ -10,8 +10,8 @@ from quire.queries.registry import registry
 QUERIES, ORACLES, query = registry()
 
 _NORM = r"trim(regexp_replace(lower(name), '[^\p{L}\p{N}]+', ' ', 'g'))"
-_ENT = f"""WITH ws AS (SELECT doc_id, name, i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+')[1:6] AS w FROM documents), LATERAL (SELECT unnest(w) AS name, unnest(range(1, len(w) + 1)) AS i)),
-raw AS (SELECT doc_id * 10 + i AS seq, name, CASE WHEN i % 2 = 0 THEN 'concept' ELSE 'method' END AS type, {_NORM} AS norm FROM ws),
+_ENT = f"""WITH ws AS (SELECT doc_id, name, i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), LATERAL (SELECT unnest(w) AS name, unnest(range(1, len(w) + 1)) AS i)),
+raw AS (SELECT doc_id * 10000000 + i AS seq, name, CASE WHEN i % 2 = 0 THEN 'concept' ELSE 'method' END AS type, {_NORM} AS norm FROM ws),
 e AS (SELECT norm, arg_min(name, seq) AS name, arg_min(type, seq) AS type, count(*) AS n FROM raw WHERE length(norm) >= 3 AND norm NOT IN ({", ".join(repr(g) for g in K.GENERIC)}) GROUP BY norm),
 rel AS (SELECT a.doc_id AS note_id, a.norm AS src, b.norm AS dst, CASE WHEN a.i % 2 = 0 THEN 'uses' ELSE 'extends' END AS type FROM (SELECT doc_id, i, {_NORM} AS norm FROM ws) a JOIN (SELECT doc_id, i, {_NORM} AS norm FROM ws) b ON a.doc_id = b.doc_id AND b.i = a.i + 1
   WHERE a.norm IN (SELECT norm FROM e) AND b.norm IN (SELECT norm FROM e) AND a.norm <> b.norm),
@@ -20,15 +20,18 @@ edges AS (SELECT src, dst, type, count(*) AS weight FROM rel GROUP BY ALL)
 
 
 def _mentions(lib):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), 0), 1, 6)
+    """Every word of every document."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
     flat = lib.table("documents").select("doc_id", F.posexplode(words).alias("i", "name")).withColumn("i", F.col("i") + 1)
-    return flat.select("doc_id", "i", (F.col("doc_id") * 10 + F.col("i")).alias("seq"), "name", F.when(F.col("i") % 2 == 0, "concept").otherwise("method").alias("type"), F.array().cast("array<string>").alias("aliases"))
+    return flat.select("doc_id", "i", (F.col("doc_id") * 10_000_000 + F.col("i")).alias("seq"), "name", F.when(F.col("i") % 2 == 0, "concept").otherwise("method").alias("type"), F.array().cast("array<string>").alias("aliases"))
 
 
 def _relations(lib):
-    m = _mentions(lib).select("doc_id", "i", "name")
-    nxt = m.select("doc_id", (F.col("i") - 1).alias("i"), F.col("name").alias("dst"))
-    raw = m.join(nxt, ["doc_id", "i"]).select(F.col("doc_id").alias("note_id"), F.col("name").alias("src"), "dst", F.when(F.col("i") % 2 == 0, "uses").otherwise("extends").alias("type"), F.concat_ws(" ", "name", "dst").alias("quote"))
+    """Every pair of neighbouring words."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    pairs = F.transform(words, lambda x, i: F.struct(x.alias("name"), F.get(words, i + 1).alias("dst"), (i + 1).alias("i")))
+    flat = lib.table("documents").select("doc_id", F.inline(pairs)).where("dst IS NOT NULL")
+    raw = flat.select(F.col("doc_id").alias("note_id"), F.col("name").alias("src"), "dst", F.when(F.col("i") % 2 == 0, "uses").otherwise("extends").alias("type"), F.concat_ws(" ", "name", "dst").alias("quote"))
     return K.build_relations(raw, K.build_entities(_mentions(lib)))
 
 
@@ -72,7 +75,7 @@ def _(lib):
 def _marked(lib):
     """Documents as notes: each seventh line marked, each fifth a heading."""
     md = F.array_join(
-        F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("- " + K.MARK + "："), F.substring(x, 1, 20))).when(i % 5 == 0, F.concat(F.lit("## S"), i.cast("string"))).otherwise(x)), "\n"
+        F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("- " + K.MARK + " 待核："), x)).when(i % 5 == 0, F.concat(F.lit("## S"), i.cast("string"))).otherwise(x)), "\n"
     )
     return lib.table("documents").select(F.col("doc_id").alias("note_id"), md.alias("content_md"))
 
@@ -85,7 +88,7 @@ def _(lib):
 
 
 @query("k9_flag_summary", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
-SELECT doc_id AS note_id, count(*) AS n FROM l WHERE i % 7 = 3 GROUP BY 1""")
+SELECT doc_id AS note_id, count(DISTINCT ((i // 5 + CASE WHEN (i // 5 * 5) % 7 = 3 THEN -1 ELSE 0 END), trim(x, ' -—·' || chr(9)))) AS n FROM l WHERE i % 7 = 3 AND trim(x, ' -—·' || chr(9)) <> '' GROUP BY 1""")
 def _(lib):
     flags = K.extract_flags(_marked(lib))
     return K.flags_with_state(flags, flags.limit(0).select("flag_id", F.lit("done").alias("state"))).groupBy("note_id").agg(F.count("*").alias("n"))
@@ -101,7 +104,7 @@ def _(lib):
 
 def _history(lib):
     notes = lib.table("documents").select(F.col("doc_id").alias("note_id"), (F.col("doc_id") % 4 + 1).alias("version"), F.col("text").alias("content"))
-    edits = notes.where("note_id % 3 = 0").select("note_id", F.expr("CASE WHEN note_id % 2 = 0 THEN version ELSE 99 END").alias("expected_version"), F.expr("CASE WHEN note_id % 9 = 0 THEN content ELSE concat(content, '\n', 'added') END").alias("new_content"))
+    edits = notes.where("note_id % 3 = 0").select("note_id", F.lit(1).alias("seq"), F.expr("CASE WHEN note_id % 2 = 0 THEN version ELSE 99 END").alias("expected_version"), F.expr("CASE WHEN note_id % 9 = 0 THEN content ELSE concat(content, '\n', 'added') END").alias("new_content"))
     return notes, K.apply_edits(notes, edits)
 
 
@@ -121,6 +124,22 @@ def _(lib):
     return K.content_at(now, revisions, 2).select("note_id", F.sha2("content", 256).alias("h"))
 
 
+@query("k12_restore", "SELECT doc_id AS note_id, 3 + doc_id % 4 AS version, length(text) AS n FROM documents WHERE doc_id % 6 = 0 AND doc_id % 9 <> 0 AND doc_id % 4 = 2")
+def _(lib):
+    """Notes of version 3 whose edit made them version 4, back at the content of version 3."""
+    notes, (now, revisions, _) = _history(lib)
+    edits = K.restore(now, revisions, 3)
+    return K.apply_edits(now, edits)[0].join(edits, "note_id", "left_semi").select("note_id", "version", F.length("content").cast("long").alias("n"))
+
+
+@query("q3_check_versions", "SELECT doc_id AS note_id, 1 + doc_id % 4 AS version, 1 + doc_id % 4 AS highest FROM documents WHERE doc_id % 6 = 0 AND doc_id % 9 <> 0 AND doc_id % 5 = 0")
+def _(lib):
+    """Each fifth note as if its version had not been raised by its edit."""
+    notes, (now, revisions, _) = _history(lib)
+    kept = F.when(F.col("note_id") % 5 == 0, F.col("old")).otherwise(F.col("version"))
+    return K.check_versions(now.join(notes.select("note_id", F.col("version").alias("old")), "note_id").select("note_id", kept.alias("version")), revisions)
+
+
 @query("k13_revision_diff", "SELECT doc_id AS note_id, CASE WHEN doc_id % 6 = 0 AND doc_id % 9 <> 0 THEN 1 ELSE 0 END::BIGINT AS added, 0::BIGINT AS removed FROM documents")
 def _(lib):
     notes, (now, _, _) = _history(lib)

@@ -19,7 +19,7 @@ def _hits(lib):
 
 
 def _answers(lib):
-    quote = F.regexp_replace(F.substring("text", 1, 60), '"', "")
+    quote = F.translate("text", '"\n', "' ")
     return lib.table("benchmark").select(
         F.col("item_id").alias("answer_id"), F.concat(F.lit('As said [1]"'), F.when(F.col("item_id") % 2 == 0, quote).otherwise(F.reverse(quote)), F.lit('" and [2, 9].')).alias("answer")
     )
@@ -38,16 +38,17 @@ def _(lib):
 
 @query(
     "h2_extract_citations",
-    """WITH b AS (SELECT item_id AS answer_id, replace(substr(text, 1, 60), '"', '') AS q FROM benchmark)
-SELECT answer_id, 1 AS marker, CASE WHEN answer_id % 2 = 0 THEN q ELSE reverse(q) END AS quote FROM b UNION ALL SELECT answer_id, 2, NULL FROM b UNION ALL SELECT answer_id, 9, NULL FROM b""",
+    """WITH b AS (SELECT item_id AS answer_id, translate(text, '"' || chr(10), '''' || ' ') AS q FROM benchmark)
+SELECT answer_id, 1 AS marker, CASE WHEN length(q) BETWEEN 8 AND 300 THEN CASE WHEN answer_id % 2 = 0 THEN q ELSE reverse(q) END END AS quote FROM b UNION ALL SELECT answer_id, 2, NULL FROM b UNION ALL SELECT answer_id, 9, NULL FROM b""",
 )
 def _(lib):
     return G.extract_citations(_answers(lib))
 
 
-_SHARE = r"""p AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS s, regexp_replace(lower(CASE WHEN item_id % 2 = 0 THEN replace(substr(text, 1, 60), '"', '') ELSE reverse(replace(substr(text, 1, 60), '"', '')) END), '[^\p{L}\p{N}]+', '', 'g') AS q FROM benchmark),
-w AS (SELECT item_id, s, q, list_transform(range(1, greatest(length(q) - 3, 1) + 1, 2), lambda i: substr(q, i, 4)) AS g FROM p),
-v AS (SELECT item_id, round(CASE WHEN q = '' THEN 0.0 WHEN contains(s, q) THEN 1.0 ELSE len(list_filter(g, lambda x: contains(s, x))) / len(g) END, 6) AS share FROM w)
+# a quote has 8 to 300 characters; longer ones are no quotes
+_SHARE = r"""p AS (SELECT item_id, length(text) BETWEEN 8 AND 300 AS quoted, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS s, regexp_replace(lower(CASE WHEN item_id % 2 = 0 THEN translate(text, '"' || chr(10), '''' || ' ') ELSE reverse(translate(text, '"' || chr(10), '''' || ' ')) END), '[^\p{L}\p{N}]+', '', 'g') AS q FROM benchmark),
+w AS (SELECT item_id, quoted, s, q, list_transform(range(1, greatest(length(q) - 3, 1) + 1, 2), lambda i: substr(q, i, 4)) AS g FROM p),
+v AS (SELECT item_id, quoted, round(CASE WHEN q = '' THEN 0.0 WHEN contains(s, q) THEN 1.0 ELSE len(list_filter(g, lambda x: contains(s, x))) / len(g) END, 6) AS share FROM w)
 """
 
 
@@ -61,14 +62,14 @@ def _(lib):
 
 @query(
     "h4_verify_citations",
-    "WITH " + _SHARE + """SELECT item_id AS answer_id, 1 AS marker, share, CASE WHEN share >= 0.42 THEN 'verified' ELSE 'mismatched' END AS state FROM v
+    "WITH " + _SHARE + """SELECT item_id AS answer_id, 1 AS marker, CASE WHEN quoted THEN share END AS share, CASE WHEN NOT quoted THEN 'unverified' WHEN share >= 0.42 THEN 'verified' ELSE 'mismatched' END AS state FROM v
 UNION ALL SELECT item_id, 2, NULL, CASE WHEN item_id + 1 IN (SELECT item_id FROM benchmark) THEN 'unverified' ELSE 'out_of_range' END FROM benchmark UNION ALL SELECT item_id, 9, NULL, 'out_of_range' FROM benchmark""",
 )
 def _(lib):
     return G.verify_citations(_answers(lib), _hits(lib))
 
 
-@query("h5_grounded", "WITH " + _SHARE + "SELECT item_id AS answer_id, share >= 0.42 AS grounded, (share >= 0.42)::BIGINT AS verified, (item_id + 1 IN (SELECT item_id FROM benchmark))::BIGINT AS unverified, (share < 0.42)::BIGINT AS mismatched FROM v")
+@query("h5_grounded", "WITH " + _SHARE + "SELECT item_id AS answer_id, NOT quoted OR share >= 0.42 AS grounded, (quoted AND share >= 0.42)::BIGINT AS verified, (item_id + 1 IN (SELECT item_id FROM benchmark))::BIGINT + (NOT quoted)::BIGINT AS unverified, (quoted AND share < 0.42)::BIGINT AS mismatched FROM v")
 def _(lib):
     return G.grounded(G.verify_citations(_answers(lib), _hits(lib)))
 

@@ -147,7 +147,9 @@ def _(lib):
 
 
 def _patches(lib):
-    return lib.papers.where("paper_id % 4 = 0").select("paper_id", F.expr("CASE WHEN paper_id % 8 = 0 THEN 'year' ELSE 'venue' END").alias("column"), F.expr("CASE WHEN paper_id % 16 = 0 THEN 'bad' WHEN paper_id % 8 = 0 THEN '1999' ELSE 'x' END").alias("value"))
+    """One patch for each fourth paper, and before it another for each eighth."""
+    seq = F.explode(F.when(F.col("paper_id") % 8 == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
+    return lib.papers.where("paper_id % 4 = 0").select("paper_id", "year", "venue", seq.alias("seq")).select("paper_id", "seq", F.expr("CASE WHEN paper_id % 8 = 0 THEN 'year' ELSE 'venue' END").alias("column"), F.expr("CASE WHEN paper_id % 16 = 0 THEN 'bad' WHEN paper_id % 8 = 0 THEN '1999' WHEN seq = 1 THEN 'zzz' ELSE 'x' END").alias("value"))
 
 
 @query("i18_update_rows", with_views("papers", "SELECT paper_id, CASE WHEN paper_id % 16 = 8 THEN 1999 ELSE year END AS year, CASE WHEN paper_id % 8 = 4 THEN 'x' ELSE venue END AS venue FROM papers"))
