@@ -201,6 +201,53 @@ def _(lib):
     return lib.table("pages").select("page_id", F.size(T.repo_links(F.concat(F.lit("https://github.com/"), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), "page_id", F.lit(" "), "html"))).alias("n_links"))
 
 
+_TEX = """WITH d AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 5 AS b FROM documents)
+"""
+
+
+def _tex(lib):
+    """Each document as the body of a TeX file with a macro, an equation, a table and citations."""
+    line = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    n = F.col("doc_id").cast("string")
+    tex = F.concat_ws(
+        "\n", line(r"\newcommand{\mac}{M", n, "}"), F.lit(r"% \cite{hidden}"), line(r"\section{S", n, "}"), F.regexp_replace("text", r"[\\%{}&]", " "), line(r"uses \mac and \mac{} here"),
+        line(r"\begin{equation}\label{e", n, "} x = ", n, r" \end{equation}"), line(r"\begin{table}\caption{T", n, r"}\label{t", n, r"}\end{table}"),
+        line(r"\cite{k", (F.col("doc_id") % 7).cast("string"), ", k", (F.col("doc_id") % 5).cast("string"), "}"),
+    )
+    return lib.table("documents").select(F.col("doc_id").alias("paper_id"), tex.alias("content"))
+
+
+@query("b20_latex_blocks", _TEX + """SELECT doc_id AS paper_id, 'formula' AS kind, 'x = ' || doc_id AS content, 'e' || doc_id AS label FROM d UNION ALL SELECT doc_id, 'table', 'T' || doc_id, 't' || doc_id FROM d
+UNION ALL SELECT doc_id, 'cite', 'k' || a || ', k' || b, NULL FROM d""")
+def _(lib):
+    return C.latex_blocks(_tex(lib)).select("paper_id", "kind", "content", "label")
+
+
+@query("b20_latex_sections", r"""SELECT doc_id AS paper_id, 'S' || doc_id AS section_path, 1 AS level FROM documents""")
+def _(lib):
+    return C.latex_sections(C.strip_comments(_tex(lib))).select("paper_id", "section_path", "level")
+
+
+@query("b21_tabular_cells", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, unnest([x, 'n' || i]) AS x, unnest([0, 1]) AS col FROM l)
+SELECT doc_id AS paper_id, i AS row, col, trim(regexp_replace(regexp_replace(x, '[\\&{}]', ' ', 'g'), '\s+', ' ', 'g')) AS cell FROM c""")
+def _(lib):
+    """The lines of each document as rows of a table, with their numbers."""
+    rows = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.regexp_replace(x, r"[\\&{}]", " "), F.lit(r" & \multicolumn{1}{c}{n"), i.cast("string"), F.lit("} ")))
+    blocks = lib.table("documents").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("ord"), F.array_join(rows, r"\\ \hline ").alias("content"))
+    return C.tabular_to_cells(blocks).select("paper_id", "row", "col", "cell")
+
+
+@query("b22_macro_usage", "SELECT doc_id AS paper_id, 'mac' AS name, 'M' || doc_id AS body, 2 AS n_uses FROM documents")
+def _(lib):
+    return C.macro_usage(_tex(lib))[0]
+
+
+@query("b23_citation_edges", _TEX + "SELECT DISTINCT doc_id AS paper_id, unnest(['k' || a, 'k' || b]) AS cite_key FROM d")
+def _(lib):
+    return C.citation_edges(C.latex_blocks(_tex(lib)))
+
+
 @query("b18_expansion_terms")
 def _(lib):
     return lib.table("benchmark").select("item_id", F.posexplode(T.expansion_terms(F.col("text"))).alias("k", "term"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -9,6 +11,7 @@ from quire.operators import index as I
 from quire.operators import retrieval as R
 from quire.queries.cleaning import _fold_sql
 from quire.queries.registry import registry
+from quire.sources.snapshot import shared_folder
 from quire.views import with_views
 
 QUERIES, ORACLES, query = registry()
@@ -38,9 +41,22 @@ fts AS (SELECT query_id, chunk_id, score FROM (SELECT *, min(st) OVER (PARTITION
 _TOP = "SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM {t}) WHERE k <= {n}"
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _word(lib):
-    c = I.word_tokens(F.col("text"))
-    return I.build_postings(lib.chunks, c), I.doc_lengths(lib.chunks, c)
+    """The word index of all chunks, written once for a session and folder and read by every search."""
+    key = (lib.spark.sparkContext.applicationId, lib.folder)
+    if key not in _STORED:
+        path = f"{shared_folder(lib.spark)}/word-index-{uuid.uuid4().hex}"
+        I.store_index(lib.chunks, I.word_tokens(F.col("text")), path)
+        _STORED[key] = path
+    return I.load_index(lib.spark, _STORED[key])
+
+
+def _hybrid(lib, **options):
+    """Hybrid search over the stored index; all its chunks may be found."""
+    return R.hybrid_search(lib.queries, lib.chunks, lib.papers, index=_word(lib), **options)
 
 
 @query("e1_word_index", with_views("chunks queries", _INDEX + "\nSELECT term, chunk_id, count(*) AS tf, list_sort(list(pos)) AS positions FROM toks GROUP BY ALL"))
@@ -238,7 +254,7 @@ ranked AS (SELECT f.*, c.paper_id, row_number() OVER (PARTITION BY f.query_id OR
 
 @query("g6_hybrid_search", with_views("live chunks queries", _FUSED + "\nSELECT query_id, rank, chunk_id, paper_id, round(score, 9) AS score, sources FROM ranked WHERE rank <= 8"))
 def _(lib):
-    return R.hybrid_search(lib.queries, lib.chunks, lib.papers).withColumn("score", F.round("score", 9))
+    return _hybrid(lib).withColumn("score", F.round("score", 9))
 
 
 _HITS = """h AS (SELECT vec_id % 20 AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'title' WHEN vec_id % 3 = 1 THEN 'word' ELSE 'vector' END AS channel, vec_id // 3 AS chunk_id, label + vec_id / 1000.0 AS score FROM embeddings),
@@ -269,7 +285,7 @@ def _(lib):
 
 
 def _ranked(lib):
-    return R.hybrid_search(lib.queries, lib.chunks, lib.papers, limit=16)
+    return _hybrid(lib, limit=16)
 
 
 _FUSED16 = _FUSED.replace("k <= 32", "k <= 64") + ",\nr16 AS (SELECT * FROM ranked WHERE rank <= 16)\n"
@@ -303,7 +319,7 @@ def _(lib):
 
 @query("g8_snippet")
 def _(lib):
-    hits = R.hybrid_search(lib.queries, lib.chunks, lib.papers).join(lib.chunks.select("chunk_id", "text"), "chunk_id").join(lib.queries, "query_id")
+    hits = _hybrid(lib).join(lib.chunks.select("chunk_id", "text"), "chunk_id").join(lib.queries, "query_id")
     return hits.select("query_id", "rank", R.snippet(F.col("text"), F.col("query"), 120).alias("snippet"))
 
 
@@ -316,4 +332,4 @@ def _(lib):
 
 @query("g10_result_rows", with_views("live chunks queries", _FUSED + "\nSELECT r.query_id, r.rank, r.chunk_id, round(r.score, 6) AS score, '§' || c.section_path || ' p.' || c.page_from AS locator FROM ranked r JOIN chunks c ON r.chunk_id = c.chunk_id WHERE rank <= 8"))
 def _(lib):
-    return R.result_rows(R.hybrid_search(lib.queries, lib.chunks, lib.papers), lib.chunks)
+    return R.result_rows(_hybrid(lib), lib.chunks)

@@ -124,31 +124,6 @@ def test_knn_approx_recall_of_given_embeddings(spark):
     assert len(exact) == 400 and len(exact & near) >= 0.9 * len(exact)
 
 
-def test_near_duplicate_docs_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    passage = [f"p{i}" for i in range(30)]
-    texts = []
-    for family in range(12):
-        words = passage + [f"f{family}w{i}" for i in range(170)]
-        for step in range(5):  # a chain: each is alike its neighbours, and the ends are not; then an exact copy
-            words = list(words)
-            words[rng.integers(30, 200)] = f"É{family}s{step}"
-            words[30 + 30 * step : 35 + 30 * step] = [f"c{family}s{step}x{i}" for i in range(10)]
-            texts.append(" ".join(words))
-        texts.append(texts[-1].lower())
-    texts = [texts[i] for i in rng.permutation(len(texts))] + ["", "a b"]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
-    root = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
-    found = L.near_duplicate_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert len(set(root)) < len(texts) / 2
-    assert values(found, "doc_id", "component_id") == sorted(enumerate(root), key=repr)
-
-
 def test_similar_chunks_asks_all_documents(spark, tmp_path):
     text = "\n".join(f"alpha w{i}" for i in range(101))
     spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -157,8 +132,101 @@ def test_similar_chunks_asks_all_documents(spark, tmp_path):
 
 
 def test_flags(spark):
-    notes = spark.createDataFrame([(1, "# A\ntext\n- " + K.MARK + "：原文 missing\n# B\n" + K.MARK + " code")], "note_id long, content_md string")
-    assert values(K.extract_flags(notes), "section", "kind") == [("A", "paper"), ("B", "repro")]
+    md = "\n".join([f"- {K.MARK} 待核：正文与表格对不上", "## A", "text", f"* [ ] {K.MARK}待核: 未给出学习率取值 ·", "### B ", f"- {K.MARK} 待核：原文缺失", f"## {K.MARK} C", f"{K.MARK} plain —", f"- {K.MARK} 待核："])
+    notes = spark.createDataFrame([(1, md), (2, None), (3, "no mark")], "note_id long, content_md string")
+    found = values(K.extract_flags(notes), "section", "kind", "text")
+    assert found == sorted([("（前言）", "paper", "正文与表格对不上"), ("A", "repro", "未给出学习率取值"), ("B", "unavailable", "原文缺失"), (f"{K.MARK} C", "other", f"{K.MARK} plain")], key=repr)
+
+
+def test_several_edits_of_a_note(spark):
+    notes = spark.createDataFrame([(1, 3, "a"), (2, 1, "b")], "note_id long, version long, content string")
+    edits = spark.createDataFrame([(1, 2, 3, "second"), (1, 1, 3, "first"), (2, 1, 9, "clash")], "note_id long, seq long, expected_version long, new_content string")
+    now, revisions, conflicts = K.apply_edits(notes, edits)
+    assert values(now, "note_id", "version", "content") == [(1, 4, "first"), (2, 1, "b")]
+    assert values(conflicts, "note_id") == [(1,), (2,)] and values(revisions, "note_id", "content") == [(1, "a")]
+    assert values(K.check_versions(now, revisions), "note_id") == []
+    assert values(K.apply_edits(now, K.restore(now, revisions, 3))[0], "note_id", "version", "content") == [(1, 5, "a"), (2, 1, "b")]
+
+
+def brute_titles(titles, threshold=92.0):
+    return {(a, b) for a in titles for b in titles if a < b and L.token_set_similarity(a, b) >= threshold}
+
+
+def test_fuzzy_titles_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" + "abcdefgh"[: i % 8] for i in range(60)]
+    titles = [" ".join(rng.choice(words, size=int(rng.integers(3, 12)))) for _ in range(120)]
+    titles += [t.replace("a", "b", 1) for t in titles[:20]] + [" ".join(t.split()[1:]) for t in titles[20:40]] + [t + " more" for t in titles[40:60]]
+    titles = sorted({t for t in titles if len(t) >= 8})
+    papers = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "paper_id long, title_norm string, year int")
+    found = {(titles[r["paper_id"]], titles[r["candidate_id"]]) for r in L.fuzzy_title_pairs(papers, top=1000).collect()}
+    want = brute_titles(titles)
+    assert len(want) > 40 and found <= want and len(found) >= 0.98 * len(want)
+    best = {r["input_id"]: r["score"] for r in L.best_match(papers.selectExpr("paper_id AS input_id", "title_norm AS title").limit(30), papers.selectExpr("paper_id AS candidate_id", "title_norm AS title")).collect()}
+    assert best and all(s == 100 for s in best.values())
+
+
+def test_titles_keep_their_years(spark):
+    rows = [(1, "long context models", 2010), (2, "long context models", 2020), (3, "long context model", 2021), (4, "long context models", 2020)]
+    pairs = L.fuzzy_title_pairs(spark.createDataFrame(rows, "paper_id long, title_norm string, year int"))
+    assert values(pairs, "paper_id", "candidate_id") == [(2, 3), (2, 4)]
+
+
+def test_merge_search_results(spark):
+    rows = [
+        (1, "web", 1, "Deep Learning for Cats", "u1", "10.1/x", None), (1, "papers", 2, "Deep learning for cats!", "u2", None, None), (1, "web", 3, "cats deep learning for", "u3", None, None),
+        (1, "web", 4, "Dogs", "u4", None, None), (2, "web", 1, "Deep Learning for Cats", "u5", None, None), (1, "papers", 5, "Deep Learning for Cats (long title)", "u1b", "10.1/x", None), (1, "web", 6, None, "u6", None, None),
+    ]
+    merged = L.merge_search_results(spark.createDataFrame(rows, "query_id long, source string, rank int, title string, url string, doi string, arxiv_id string"))
+    found = {(r["query_id"], r["url"]): (sorted(r["sources"]), len(r["votes"])) for r in merged.collect()}
+    assert found == {(1, "u1b"): (["papers", "web"], 4), (1, "u4"): (["web"], 1), (2, "u5"): (["web"], 1), (1, "u6"): (["web"], 1)}
+
+
+def test_stored_index_and_options(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 1, "alpha beta gamma"), (2, 1, "alpha beta"), (3, 2, "beta alpha delta"), (4, 2, "omega")], "chunk_id long, paper_id long, text string")
+    papers = spark.createDataFrame([(1, "first thing", False), (2, "second thing", False)], "paper_id long, title string, deleted boolean")
+    c = I.word_tokens(F.col("text"))
+    I.store_index(chunks, c, f"{tmp_path}/i", buckets=4)
+    index = I.load_index(spark, f"{tmp_path}/i")
+    q = spark.createDataFrame([(1, "alpha delta")], "query_id long, query string")
+    plain = R.hybrid_search(q, chunks, papers)
+    assert values(plain, "rank", "chunk_id") == values(R.hybrid_search(q, chunks, papers, index=index), "rank", "chunk_id") != []
+    some = R.hybrid_search(q, chunks.where("paper_id = 1"), papers, index=index)
+    assert {r["chunk_id"] for r in some.collect()} <= {1, 2}, "a filter on chunks holds in the stored index too"
+    near = spark.createDataFrame([(4, [1.0, 0.0]), (1, [0.0, 1.0])], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1])], "query_id long, embedding array<float>")
+    only = R.hybrid_search(q, chunks, papers, vectors=near, query_vectors=asked, index=index, mode="vector")
+    assert {tuple(r["sources"]) for r in only.collect()} == {("vector",)}
+    lexical = R.hybrid_search(q, chunks, papers, vectors=near, query_vectors=asked, index=index, mode="lexical", per_owner=1)
+    assert {s for r in lexical.collect() for s in r["sources"]} == {"word"} and len({r["paper_id"] for r in lexical.collect()}) == lexical.count()
+
+
+def test_last_patch_wins(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, venue string")
+    patches = spark.createDataFrame([(1, 1, "venue", "zz"), (1, 2, "venue", "y"), (2, 1, "other", "x")], "id long, seq long, column string, value string")
+    from quire.operators import tags
+
+    out, bad = tags.update_rows(base, patches, "id", {"venue": F.length("value") < 9})
+    assert values(out, "id", "venue") == [(1, "y"), (2, "b")] and values(bad, "id") == [(2,)]
+
+
+def test_stream_goes_on_after_a_stop(spark, tmp_path):
+    """Two runs on one root: nothing is lost or doubled, and a batch that is run again replaces itself."""
+    schema = "chunk_id long, text string, seq long"
+    parts = [[(1, "old words", 1), (2, "stay here", 2)], [(1, "new words", 3), (2, None, 4), (3, "third", 5)]]
+    c = I.word_tokens(F.col("text"))
+    spark.createDataFrame(parts[0], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = lambda: S.stream_events(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/0").schema, files_per_batch=1)
+    assert values(S.incremental_index(stream(), c, f"{tmp_path}/index"), "term", "chunk_id") == [("here", 2), ("old", 1), ("stay", 2), ("words", 1)]
+    assert values(S.drained(stream(), "append", f"{tmp_path}/rows"), "chunk_id") == [(1,), (2,)]
+    spark.createDataFrame(parts[1], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    for _ in range(2):  # the second time there is nothing new
+        assert values(S.incremental_index(stream(), c, f"{tmp_path}/index"), "term", "chunk_id") == [("new", 1), ("third", 3), ("words", 1)]
+        assert values(S.drained(stream(), "append", f"{tmp_path}/rows"), "chunk_id") == [(1,), (1,), (2,), (2,), (3,)]
+    last = max(os.listdir(f"{tmp_path}/rows/state/commits"), key=lambda f: (f.isdigit(), f))
+    for f in (last, f".{last}.crc"):
+        os.remove(f"{tmp_path}/rows/state/commits/{f}")  # as if the driver had died before the batch was committed
+    assert values(S.drained(stream(), "append", f"{tmp_path}/rows"), "chunk_id") == [(1,), (1,), (2,), (2,), (3,)]
 
 
 def test_budget():
