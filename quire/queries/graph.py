@@ -29,7 +29,9 @@ def _mentions(lib):
 def _relations(lib):
     """Every pair of neighbouring words."""
     words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
-    pairs = F.transform(words, lambda x, i: F.struct(x.alias("name"), F.get(words, i + 1).alias("dst"), (i + 1).alias("i")))
+    # bound to a name inside, so that the words are taken once
+    follow = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("name"), F.get(w, i + 1).alias("dst"), (i + 1).alias("i")))
+    pairs = F.transform(F.array(words), follow)[0]
     flat = lib.table("documents").select("doc_id", F.inline(pairs)).where("dst IS NOT NULL")
     raw = flat.select(F.col("doc_id").alias("note_id"), F.col("name").alias("src"), "dst", F.when(F.col("i") % 2 == 0, "uses").otherwise("extends").alias("type"), F.concat_ws(" ", "name", "dst").alias("quote"))
     return K.build_relations(raw, K.build_entities(_mentions(lib)))
