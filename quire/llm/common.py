@@ -56,7 +56,7 @@ def fold_of(doc_id: int, n: int) -> int:
 BITS = 26
 
 
-def flagged(df: DataFrame, key: Column, members: DataFrame, name: str = "_maybe") -> DataFrame:
+def flagged(df: DataFrame, key: Column, members: DataFrame, name: str = "quire__maybe") -> DataFrame:
     """df with a boolean column: false where key is certainly not among the one column of members, or null.
 
     A bitmap of hashed keys of fixed size is broadcast, so that rows that can't meet members need not move. Where it
@@ -64,20 +64,20 @@ def flagged(df: DataFrame, key: Column, members: DataFrame, name: str = "_maybe"
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS)) + 1
     one = slot(F.col(members.columns[0]))
-    bits = members.select(F.bitmap_bucket_number(one).alias("_bucket"), F.bitmap_bit_position(one).alias("_bit"))
-    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bits = members.select(F.bitmap_bucket_number(one).alias("quire__bucket"), F.bitmap_bit_position(one).alias("quire__bit"))
+    bits = bits.groupBy("quire__bucket").agg(F.bitmap_construct_agg("quire__bit").alias("quire__bits"))
     at = F.bitmap_bit_position(slot(key)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = key.isNotNull() & F.col("_bits").isNotNull() & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1)
-    return df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("_bucket"), "left").withColumn(name, F.coalesce(found, F.lit(False))).drop("_bucket", "_bits")
+    byte = F.conv(F.hex(F.substring(F.col("quire__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = key.isNotNull() & F.col("quire__bits").isNotNull() & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1)
+    return df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("quire__bucket"), "left").withColumn(name, F.coalesce(found, F.lit(False))).drop("quire__bucket", "quire__bits")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids, which is stored and has distinct ids. Null ids stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone"))
+    gone = ids.select(F.col("doc_id").alias("quire__gone"))
     rows = flagged(docs, F.col("doc_id"), gone)
-    doubtful = rows.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return rows.where("NOT _maybe").unionByName(doubtful).drop("_maybe")
+    doubtful = rows.where("quire__maybe").join(gone, F.col("doc_id") == F.col("quire__gone"), "left_anti")
+    return rows.where("NOT quire__maybe").unionByName(doubtful).drop("quire__maybe")
 
 
 def released(*tables: DataFrame) -> None:

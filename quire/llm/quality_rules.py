@@ -112,8 +112,8 @@ def cascade(order: list[Rule], text: str = "text") -> Column:
 
 def measure(docs: DataFrame, text: str = "text", counts: tuple[str, ...] = tuple(COUNTS)) -> DataFrame:
     """Adds counts for all rows, in one narrow stage."""
-    bound = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", F.expr(WORDS.replace("(t,", "(_t,")))
-    full = lambda c: re.sub(r"\b([tw])\b", r"_\1", COUNTS[c])
+    bound = docs.withColumn("quire_t", F.coalesce(F.col(text), F.lit(""))).withColumn("quire_w", F.expr(WORDS.replace("(t,", "(quire_t,")))
+    full = lambda c: re.sub(r"\b([tw])\b", r"quire_\1", COUNTS[c])
     return bound.withColumns({c: F.expr(full(c)).cast("long") for c in counts})
 
 
@@ -151,10 +151,10 @@ def quality_cascade(
     """docs with the RETURNED counts, `base_failed` and `kept`. Counts that are not returned are taken where the cascade
     comes to a rule that needs them. order: a planned order to use again."""
     order = order if order is not None else [x["rule"] for x in plan_cascade(docs, text, rules, sample_rows, key)]
-    lazy = lambda r: re.sub(r"\b([tw])\b", r"_\1", r.inline(RETURNED))
+    lazy = lambda r: re.sub(r"\b([tw])\b", r"quire_\1", r.inline(RETURNED))
     rejected = F.expr("CASE " + " ".join(f"WHEN {lazy(r)} THEN true" for r in order) + " ELSE false END") if order else F.lit(False)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in rules if r.base) or "false")
-    return measure(docs, text, RETURNED).withColumns({"base_failed": base, "kept": ~rejected}).drop("_t", "_w")
+    return measure(docs, text, RETURNED).withColumns({"base_failed": base, "kept": ~rejected}).drop("quire_t", "quire_w")
 
 
 def without_rejected(

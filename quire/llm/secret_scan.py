@@ -137,9 +137,9 @@ def unseen_blobs(docs: DataFrame, ledger: DataFrame, rules: tuple[SecretRule, ..
     blobs = stored(blobs.select("blob", "first", "n", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("due"), F.col("done").isNotNull().alias("known")), "ledger-blobs")
     # a blob of one row that no run has seen is scanned where it is read
     special = blobs.where("n > 1 OR known").select("blob")
-    here = flagged(rows, F.col("blob"), special).where("NOT _maybe").select("blob", "text", every.alias("due"))
-    todo = stored(flagged(blobs, F.col("blob"), special).where("_maybe AND size(due) > 0").select(F.col("blob").alias("_blob"), "first", "due"), "ledger-due")
-    doubtful = flagged(flagged(rows, F.col("blob"), special).where("_maybe").drop("_maybe"), F.col("blob"), todo.select("_blob")).where("_maybe")
+    here = flagged(rows, F.col("blob"), special).where("NOT quire__maybe").select("blob", "text", every.alias("due"))
+    todo = stored(flagged(blobs, F.col("blob"), special).where("quire__maybe AND size(due) > 0").select(F.col("blob").alias("_blob"), "first", "due"), "ledger-due")
+    doubtful = flagged(flagged(rows, F.col("blob"), special).where("quire__maybe").drop("quire__maybe"), F.col("blob"), todo.select("_blob")).where("quire__maybe")
     chosen = doubtful.join(todo, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("first")))
     return here.unionByName(chosen.select("blob", "text", "due"))
 
@@ -211,10 +211,10 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mask: str = "
     """
     folder = folder or new_ledger(docs.sparkSession)
     scan_new(docs, folder, rules)
-    found = stored(findings(read_ledger(docs.sparkSession, folder), rules), "ledger-found").select(F.col("blob").alias("_b"), F.col("spans").alias("_s"))
-    rows = flagged(docs.withColumn("_h", blob_of(F.col("text"))), F.col("_h"), found.select("_b"))
-    masked = rows.where("_maybe").join(found, F.col("_h") == F.col("_b"), "left")
-    masked = masked.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(masked_text(F.col("text"), F.col("_s"), mask)))
+    found = stored(findings(read_ledger(docs.sparkSession, folder), rules), "ledger-found").select(F.col("blob").alias("quire__b"), F.col("spans").alias("quire__s"))
+    rows = flagged(docs.withColumn("quire__h", blob_of(F.col("text"))), F.col("quire__h"), found.select("quire__b"))
+    masked = rows.where("quire__maybe").join(found, F.col("quire__h") == F.col("quire__b"), "left")
+    masked = masked.withColumn("text", F.when(F.col("quire__s").isNull(), F.col("text")).otherwise(masked_text(F.col("text"), F.col("quire__s"), mask)))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.where("NOT _maybe").select(*docs.columns).unionByName(masked.select(*docs.columns))
+        masked = masked.withColumn("n_chars", F.when(F.col("quire__s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.where("NOT quire__maybe").select(*docs.columns).unionByName(masked.select(*docs.columns))

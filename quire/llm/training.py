@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int = 20_000, seed: str = "sample") -> list[tuple[str, str]]:
     """At most 2 * per_label texts of each label, as (label, text), for fitting on the driver.
 
-    labels: (doc_id, label). Which rows are taken depends on a hash of their id alone. Texts of more than max_chars
-    characters are left to scoring, so that the sample's size is bounded in bytes too. A document with several
+    labels: (doc_id, label). All labels are learned; which rows are taken depends on a hash of their id alone. Texts of
+    more than max_chars characters are not learned from, only scored, so that the sample is bounded in bytes too. A document with several
     labels has the largest.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in one.groupBy("label").count().orderBy(F.desc("count")).limit(64).collect()}
+    counts = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
     if not counts:
         return []
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1_000_000))

@@ -88,13 +88,47 @@ def test_packing_round_trip(spark, docs):
     wanted = {i: ids(t) for i, t in enumerate(texts)} | {None: ids("text of a row without an id here")}
     rows = packing.pack_documents(df.repartition(3), buffer_tokens=5000).collect()
     check_packing(rows, wanted)
-    groups = defaultdict(set)
-    for r in rows:
-        groups[r["step_group"]].add(r["sequence_id"])
-    assert all(len(g) <= 10 for g in groups.values())
     assert packing.pack_documents(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def packed_windows(lengths, tiers=(128, 256, 512, 1024), group=8):
+    packer = packing._Packer(tiers, group, 0)
+    for d, n in enumerate(lengths):
+        packer.add(d, np.full(n, d, "<u4"))
+    packer.flush(last=True)
+    windows, groups = defaultdict(list), defaultdict(set)
+    for doc_id, start, length, _, _, sequence, offset, tier, step in packer.out:
+        windows[sequence].append((length, offset, tier, doc_id, start))
+        groups[step].add(sequence)
+    return windows, groups
+
+
+def test_packing_tiers():
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate([rng.integers(1, 128, 400), rng.integers(129, 256, 200), rng.integers(257, 512, 100), rng.integers(513, 3000, 100)]).tolist()
+    windows, groups = packed_windows(lengths)
+    by_tier = Counter(w[0][2] for w in windows.values())
+    assert set(by_tier) >= {128, 256, 512, 1024} and all(n >= 10 for t, n in by_tier.items() if t >= 128)
+    sizes = {s: sum(x[0] for x in w) for s, w in windows.items()}
+    full = {s for s, w in windows.items() if sizes[s] == w[0][2]}
+    assert sum(sizes[s] for s in windows if s not in full) < 128, "all but the last few ids stand in full windows of their tier"
+    # a remainder opens a window of the smallest tier that holds it, and its gap is filled from shorter tiers
+    tier_of = lambda n: next(t for t in (128, 256, 512, 1024) if t >= n)
+    whole = [w for s, w in windows.items() if s in full and len(w) > 1]
+    assert all(tier_of(max(x[0] for x in w)) == w[0][2] for w in whole)
+    longer = [w for w in whole if w[0][2] > 128]
+    assert sum(max(tier_of(x[0]) for x in sorted(w)[:-1]) < w[0][2] for w in longer) > 0.9 * len(longer)
+    assert sum(len(w) > 1 for s, w in windows.items() if w[0][2] == 1024) > 50
+    # one tier alone gives other windows: the tiers matter
+    alone, _ = packed_windows(lengths, tiers=(1024,))
+    assert Counter(w[0][2] for w in alone.values())[1024] > by_tier[1024]
+    # step groups hold as many ids, and about as much work
+    tokens = {g: sum(sizes[s] for s in members) for g, members in groups.items() if any(s in full for s in members)}
+    work = [sum(x[0] ** 2 for s in groups[g] for x in windows[s]) for g in tokens]
+    assert max(tokens.values()) == 8192 and max(tokens.values()) - min(tokens.values()) <= 1024
+    assert max(work) < 1.35 * min(work)
+
+
 def test_packing_special_string():
     from tokenizers import Tokenizer
 
@@ -128,18 +162,41 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(spark.createDataFrame([], EMPTY)).count() == 0
 
 
-def test_secret_ledger(spark):
+def test_secret_ledger(spark, tmp_path):
     old, new = table(spark, SECRETS[:5]), table(spark, SECRETS[3:], start=100)
-    first = secret_scan.unseen_blobs(old)
-    ledger, findings = secret_scan.ledger_rows(first), secret_scan.scan_blobs(first)
+    folder = f"{tmp_path}/ledger"
+    secret_scan.scan_new(old, folder)
+    ledger = secret_scan.read_ledger(spark, folder)
+    assert ledger.count() == 5
     due = secret_scan.unseen_blobs(old.unionByName(new), ledger)
-    assert due.count() == len(set(t or "" for t in SECRETS[5:]))
-    bumped = tuple(secret_scan.SecretRule(r.kind, r.pattern, r.value, r.min_chars, r.base, 2 if r.kind == "hex" else 1) for r in secret_scan.RULES)
-    assert {tuple(r["due"]) for r in secret_scan.unseen_blobs(old, ledger, bumped).collect()} == {("hex:2",)}
-    both = secret_scan.scan_secrets(old.unionByName(new), ledger, findings)
-    whole = secret_scan.scan_secrets(old.unionByName(new))
+    assert {r["text"] for r in due.collect()} == set(t or "" for t in SECRETS[5:])
+    assert secret_scan.unseen_blobs(old, ledger).count() == 0, "nothing is due again"
+    bumped = tuple(secret_scan.SecretRule(r.kind, r.pattern, r.value, r.min_chars, r.base, 9 if r.kind == "hex" else r.version) for r in secret_scan.RULES)
+    assert {tuple(r["due"]) for r in secret_scan.unseen_blobs(old, ledger, bumped).collect()} == {("hex:9",)}
     key = lambda r: (r["doc_id"], str(r["spans"]))
-    assert sorted(map(key, both.collect())) == sorted(map(key, whole.collect()))
+    both = old.unionByName(new)
+    second = secret_scan.scan_secrets(both, folder)
+    want = sorted(map(key, secret_scan.scan_secrets(both).collect()))
+    assert sorted(map(key, second.collect())) == want
+    assert secret_scan.read_ledger(spark, folder).count() == len(set(t or "" for t in SECRETS))
+    third = secret_scan.scan_secrets(both, folder, bumped)
+    assert sorted(map(key, third.collect())) == want, "findings of an older version don't count twice"
+    secret_scan.read_ledger(spark, folder).write.parquet(f"{folder}-copy")
+    spark.read.parquet(f"{folder}-copy").write.mode("append").parquet(folder)
+    assert sorted(map(key, secret_scan.scan_secrets(both, folder).collect())) == want, "rows of a run that was written twice count once"
+
+
+def test_many_secrets(spark):
+    """Time grows with the text, not with its square."""
+    n = 100_000
+    texts = ["".join(f"token=abcdefgh{i:06d}\n" for i in range(n)), "eyJ" * 50_000, "eyJabcdefgh." * 20_000 + "x" * 100_000, "a-" * 100_000 + "eyJ" + "a" * 30 + ".bbb.ccc"]
+    df = table(spark, texts)
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(df).collect()}
+    starts = [s["start"] for s in found[0] if s["kind"] == "assign"]
+    assert starts == [i * 21 for i in range(n)] and all(s["end"] - s["start"] == 20 for s in found[0])
+    assert [s["kind"] for s in found[3]] == ["jwt"]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert out[0] == "[secret]\n" * n and out[1] == texts[1]
 
 
 def test_redact(spark):
@@ -152,6 +209,12 @@ def test_redact(spark):
         else:
             assert "[secret]" in out[i]["text"] and out[i]["n_chars"] == len(out[i]["text"])
             assert all(t[s:e] not in out[i]["text"] for s, _, e, _ in spans)
+            hidden = [any(s <= k < e for s, _, e, _ in spans) for k in range(len(t))]
+            want = "".join(c if not h else "[secret]" if k == 0 or not hidden[k - 1] else "" for k, (c, h) in enumerate(zip(t, hidden, strict=True)))
+            assert out[i]["text"] == want
+    assert secret_scan.redact(spark.createDataFrame([], EMPTY)).count() == 0
+    again = table(spark, [SECRETS[0]] * 3).withColumn("doc_id", F.expr("nullif(doc_id, 0) * 0"))
+    assert [r["text"] for r in secret_scan.redact(again).select("text", "doc_id").collect()] == [out[0]["text"]] * 3, "null and repeated ids"
 
 
 # ---- 3 near duplicates ----
@@ -250,9 +313,7 @@ def test_overlap_bound():
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 40, int(rng.integers(1, 400))).astype(np.uint64))
         b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) // 2)), rng.integers(0, 1 << 40, int(rng.integers(1, 400))).astype(np.uint64)]))
-        sides = [shingle_join.signature(x) for x in (a, b)]
-        for x, y in (sides, [shingle_join.halved(x) for x in sides]):
-            assert shingle_join.overlap_bound(x, len(a), y, len(b)) >= len(np.intersect1d(a, b))
+        assert shingle_join.overlap_bound(shingle_join.signature(a), len(a), shingle_join.signature(b), len(b)) >= len(np.intersect1d(a, b))
 
 
 def test_without_near_duplicates(spark):
@@ -262,6 +323,32 @@ def test_without_near_duplicates(spark):
     assert shingle_join.without_near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_near_duplicate_docs_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for family in range(12):
+        words = passage + [f"f{family}w{i}" for i in range(170)]
+        for step in range(5):  # a chain: each is alike its neighbours, and the ends are not; then an exact copy
+            words = list(words)
+            words[rng.integers(30, 200)] = f"É{family}s{step}"
+            words[30 + 30 * step : 35 + 30 * step] = [f"c{family}s{step}x{i}" for i in range(10)]
+            texts.append(" ".join(words))
+        texts.append(texts[-1].lower())
+    texts = [texts[i] for i in rng.permutation(len(texts))] + ["", "a b"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["d5_near_duplicates"](spark, str(tmp_path))
+    assert len(set(root)) < len(texts) / 2
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(root))
+
+
 # ---- 4 decontamination ----
 
 
@@ -282,7 +369,7 @@ def brute_leaks(texts, items, edits=0.15):
     out = {}
     for k, item in items:
         q = plain(item)
-        if len(q) < 5:
+        if not q:
             continue
         for d, t in enumerate(texts):
             w = plain(t)
@@ -295,8 +382,8 @@ def brute_leaks(texts, items, edits=0.15):
 
 def test_leaks(spark):
     rng = np.random.default_rng(8)
-    items = [(k, " ".join(words(int(n), rng))) for k, n in enumerate(rng.integers(8, 50, size=25))] + [(98, "too short"), (99, None)]
-    texts = [" ".join(words(80, rng)) for _ in range(40)] + [None, "", "!!! ..."]
+    items = [(k, " ".join(words(int(n), rng))) for k, n in enumerate(rng.integers(8, 50, size=25))] + [(98, "seldom seen"), (97, "rarest"), (96, "a few words more"), (99, None), (95, "?!")]
+    texts = [" ".join(words(80, rng)) for _ in range(40)] + [None, "", "!!! ...", "It is Seldom, seen!", "the rarest", "seldom so seen", "rarest a few words", "more or a few words more"]
     for k, item in items[:25]:
         w = item.split()
         exact = k % 3 == 0
@@ -316,10 +403,62 @@ def test_leaks(spark):
     assert exact <= in_blocks <= set(want)
     assert decontaminate.find_leaks(spark.createDataFrame([], EMPTY), bench).count() == 0
     assert decontaminate.find_leaks(table(spark, texts), bench.limit(0)).count() == 0
+    assert {(d, k) for d, k in found if k in (96, 97, 98)} == {(43, 98), (44, 97), (46, 97), (47, 96)}, "items of a few words are found exactly"
     clean = decontaminate.without_leaks(table(spark, texts), bench)
+    assert decontaminate.without_leaks(table(spark, texts), bench.limit(0)).count() == len(texts)
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in found}
 
 
+def edited(w, share, rng):
+    """w with so many of its words replaced, dropped or followed by another."""
+    out = []
+    hit = set(rng.choice(len(w), size=int(share * len(w)), replace=False).tolist())
+    for i, x in enumerate(w):
+        kind = int(rng.integers(3)) if i in hit else -1
+        out += ["other"] if kind == 0 else [] if kind == 1 else [x, "more"] if kind == 2 else [x]
+    return out
+
+
+@pytest.mark.parametrize("n", [6, 20, 49, 100, 300, 1000, 5000])
+def test_leaks_of_any_length(n):
+    """Recall by length class: items with up to a twelfth of their words edited, so that the window as long as the item
+    stays within its share; clean texts are left alone."""
+    rng = np.random.default_rng(n)
+    many = 3 if n > 1000 else 20
+    items = decontaminate.make_items([(k, " ".join(words(n, rng))) for k in range(many)], 0.15, 2, 0.95)
+    assert all(len(c["tables"]) <= 20 and c["longest"] <= 2 * decontaminate.BLOCK for c in items.classes.values())
+    number = {v: k for k, v in items.number.items()}
+    texts, want = [], set()
+    for k, w in enumerate(items.words):
+        plain = [number[int(x)] for x in w]
+        for share in (0.0, 0.04, 0.08):
+            want.add((len(texts), k))
+            texts.append(" ".join(words(30, rng) + edited(plain, share, rng) + words(30, rng)))
+        texts.append(" ".join(edited(plain, 0.5, rng)))
+        texts.append(" ".join(words(200, rng)))
+    found = {(d, k) for d, k, *_ in decontaminate.leaks_in(texts, items, decontaminate.numbered_words(items))}
+    assert len(found & want) >= 0.9 * len(want)
+    assert all(d % 5 != 4 for d, _ in found) and (n < 20 or found <= want)
+
+
+def test_edit_distance():
+    rng = np.random.default_rng(1)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = (rng.integers(0, 6, int(rng.integers(1, 90))).astype(np.uint64) for _ in range(2))
+        most = int(rng.integers(0, 90))
+        assert decontaminate.edit_distance(a, b, most) == min(plain(a.tolist(), b.tolist()), most + 1)
+
+
 # ---- 5, 9, 10: models ----
 
 BAD = ["grumf", "zlork", "skrunt", "vobble"]
@@ -464,7 +603,7 @@ def test_gram_ids():
 
 def test_urls(spark):
     pages = [
-        (0, "http://A.net/x", '<a href="http://b.com/">'), (1, "http://b.com/", "see c.com"), (2, "http://c.com/", None), (3, "http://d.com/", '<a href="http://spam.net/">'), (4, None, "x"), (5, "no scheme", ""),
+        (0, "http://A.net/x", '<a href="http://b.com/">'), (1, "http://b.com/", "see <a href='//C.com/x'>c</a>"), (2, "http://c.com/", None), (3, "http://d.com/", '<a href="http://spam.net/">'), (4, None, "x"), (5, "no scheme", ""),
         (6, "http://example.net/en/1?q#f", '<a href="http://b.com">'), (7, "http://www.example.com/de/", ""), (8, "http://xorg/fr/", ""), (9, "http://y.org/fr/a", ""), (9, "http://y.org/fr/a", ""), (10, "http://example.net/fr", ""),
         (11, "http://spam.net/a", ""), (12, "http://net", ""),
     ]
@@ -480,41 +619,93 @@ def test_urls(spark):
 
 
 def test_page_rank_by_matrix(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1)]
-    e = spark.createDataFrame([("allow", *x) for x in edges], "kind string, src string, dst string, weight long")
-    seeds = spark.createDataFrame([("allow", "a", 0.75), ("allow", "d", 0.25)], "kind string, host string, mass double")
-    found = {r["host"]: r["score"] for r in link_trust.propagate(e, seeds, 0.85, 6).collect()}
-    names = "abcd"
-    m, s = np.zeros((4, 4)), np.array([0.75, 0, 0, 0.25])
+    """With a cycle, hosts without links, and two kinds."""
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("b", "e", 2)]
+    rows = [(kind, *x) for kind in ("allow", "block") for x in edges]
+    e = spark.createDataFrame(rows, "kind string, src string, dst string, weight long")
+    seeds = spark.createDataFrame([("allow", "a", 3), ("allow", "d", 1), ("block", "b", 5)], "kind string, host string, mass long")
+    found = {(r["kind"], r["host"]): r["score"] for r in link_trust.propagate(e, seeds, 0.85, 1e-9).collect()}
+    names = "abcde"
+    m = np.zeros((5, 5))
     for x, y, w in edges:
         m[names.index(x), names.index(y)] += w
     m /= np.maximum(m.sum(1, keepdims=True), 1)
-    r = s.copy()
-    for _ in range(6):
-        r = 0.85 * r @ m + 0.15 * s
-    assert all(abs(found.get(h, 0) - r[i]) < 1e-12 for i, h in enumerate(names))
+    for kind, s in (("allow", np.array([0.75, 0, 0, 0.25, 0])), ("block", np.array([0, 1.0, 0, 0, 0]))):
+        r = s.copy()
+        for _ in range(400):
+            r = 0.85 * (r @ m + r[m.sum(1) == 0].sum() * s) + 0.15 * s
+        assert abs(r.sum() - 1) < 1e-9
+        assert all(abs(found.get((kind, h), 0) - r[i]) < 1e-6 for i, h in enumerate(names))
+
+
+def test_verdict_of_a_neighbourhood_in_a_large_graph(spark):
+    """A host three links away from a blocked one, among many seeds: its verdict doesn't depend on how many there are."""
+    own = [(0, "http://far.com/", '<a href="http://mid.com/">'), (1, "http://mid.com/", '<a href="http://near.com/">'), (2, "http://near.com/", '<a href="http://bad.net/">'), (3, "http://bad.net/", "")]
+    for more in (0, 5000):
+        others = [(10 + i, f"http://h{i}.net/", "") for i in range(more)] + [(100_000 + i, f"http://g{i}.org/fr/", "") for i in range(more)]
+        df = spark.createDataFrame(own + others, "page_id long, url string, html string")
+        found = {r["page_id"]: r["verdict"] for r in link_trust.filter_urls(df).where("page_id < 10").collect()}
+        assert found == {0: "block", 1: "block", 2: "block", 3: "block"}
 
 
 # ---- 7 licences ----
 
 
-def brute_licence(text):
-    w = re.findall(license_index.LICENCE_WORD, "".join(c.lower() if c.isascii() else c for c in text or ""))
-    hits = {t.label: [i for i in range(len(w)) if w[i : i + len(t.words)] == t.words] for t in license_index.TEMPLATES}
-    base = sorted(i for t in license_index.TEMPLATES if t.base for i in hits[t.label])
-    return len(w), len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted(k for k, v in hits.items() if v))
+def brute_licences(texts):
+    """By the definition: idf of all texts; looked-up words vote for starts; the key phrase stands; its idf in place."""
+    import math
+
+    files = [re.findall(license_index.LICENCE_WORD, "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
+    df = Counter(w for f in files for w in set(f))
+    idf = lambda w: math.log((1 + len(files)) / (1 + df[w]))
+    out = {}
+    for d, f in enumerate(files):
+        hits = []
+        for t in license_index.TEMPLATES:
+            if not set(t.phrase) <= set(f):
+                continue
+            looked = sorted({w for w in t.words if w in set(f)}, key=lambda w: (-idf(w), w))[: license_index.RARE]
+            votes = Counter(s for w in looked for s in {i - o for i, x in enumerate(f) if x == w for o, y in enumerate(t.words) if y == w})
+            for s in (s for s, n in votes.items() if n >= t.votes and s + t.at >= 0 and f[s + t.at : s + t.at + len(t.phrase)] == t.phrase):
+                total = sum(map(idf, t.words))
+                share = sum(idf(w) for o, w in enumerate(t.words) if s + o >= 0 and f[s + o : s + o + 1] == [w]) / total if t.key and total else 1.0
+                hits.append((t.label, t.base, s, share))
+        base = sorted(h[2] for h in hits if h[1])
+        out[d] = (len(f), len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted({h[0] for h in hits if h[1]})), ",".join(sorted({h[0] for h in hits})), round(max([h[3] for h in hits], default=0), 5))
+    return out
+
+
+LICENCES = [
+    "Released under the MIT License.", "mit license mit-license MIT\nlicense", "Apache License, Version 2.0", "gnu GENERAL public, license version 3 and general public license", "license mit license license",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy", "Licensed under CC BY-NC 4.0.", "mit é license", "ümit license", "x" * 5000 + " mit license",
+]
 
 
 def test_licences(spark):
-    texts = corpus() + [
-        "Released under the MIT License.", "mit license mit-license MIT\nlicense", "Apache License, Version 2.0", "gnu GENERAL public, license version 3 and general public license", "license mit license license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy", "Licensed under CC BY-NC 4.0.", "mit é license", "ümit license", "x" * 5000 + " mit license",
-    ]
+    passages = [t.text.split() for t in license_index.TEMPLATES if t.key]
+    more = [" ".join(["before", "it"] + w + ["after"]) for w in passages] + [" ".join(w[: len(w) * 2 // 3] + ["changed"] * 3) for w in passages] + [" ".join(w[len(w) // 2 :]) for w in passages]
+    more += [" ".join(passages[0][:3] + ["x"] + passages[0][3:]), "license " * 3000 + "mit " * 3000 + "license"]
+    texts = corpus() + LICENCES + more
     rows = license_index.scan_licences(table(spark, texts)).collect()
-    assert {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in rows} == {i: brute_licence(t) for i, t in enumerate(texts)}
+    found = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 5)) for r in rows}
+    want = brute_licences(texts)
+    assert found == want
+    partial = [want[len(corpus() + LICENCES) + len(passages) + k] for k in range(len(passages))]
+    assert any(w[5] and 0 < w[6] < 1 for w in partial), "a passage with another end is found, at a lower score"
     assert license_index.scan_licences(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_licence_score_depends_on_idf(spark):
+    """The same file among files that make other words of the passage common."""
+    t = next(t for t in license_index.TEMPLATES if t.label == "mit-text")
+    file = " ".join(t.words[: len(t.words) // 2])
+    scores = []
+    for common in (t.words[: len(t.words) // 2], t.words[len(t.words) // 2 :]):
+        df = table(spark, [file] + [" ".join(sorted(set(common)))] * 20)
+        scores.append(license_index.scan_licences(df).where("doc_id = 0").first()["score"])
+    assert scores[0] < scores[1]
+
+
 # ---- 8 quality rules ----
 
 
@@ -529,28 +720,65 @@ def brute_quality(text):
 
 def test_quality_counts(spark):
     rng = np.random.default_rng(9)
-    texts = corpus() + ["a b c a b c", "x y\nx y\n\n \nx y", "a a a a a", "a|b #c $d", " ".join(words(30, rng) * 20), "\x0b\x0c\t", "a b c d", "é😀 é😀 é😀 é😀"]
+    texts = corpus() + ["a b c a b c", "x y\nx y\n\n \nx y", "a a a a a", "a|b #c $d", " ".join(words(30, rng) * 20), "\x0b\x0c\t", "a b c d", "é😀 é😀 é😀 é😀", "t w t w t w", "x " * 200_000]
     rows = quality_rules.quality_cascade(table(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows} == {i: brute_quality(t) for i, t in enumerate(texts)}
-    assert all(r["kept"] == (r["failed_rule"] is None) and not (r["kept"] and r["base_failed"]) for r in rows)
-    assert quality_rules.quality_cascade(spark.createDataFrame([], EMPTY)).count() == 0
+    assert not any(r["kept"] and r["base_failed"] for r in rows)
+    kept = {r["doc_id"] for r in quality_rules.without_rejected(table(spark, texts)).collect()}
+    assert kept == {r["doc_id"] for r in rows if r["kept"]} and kept
+    empty = spark.createDataFrame([], EMPTY)
+    assert quality_rules.quality_cascade(empty).count() == quality_rules.without_rejected(empty).count() == 0
+    nulls = table(spark, texts[:3]).unionByName(spark.createDataFrame([(None, texts[0], *[None] * 8)], SCHEMA))
+    assert quality_rules.without_rejected(nulls).count() == sum(i in kept for i in (0, 1, 2, 0))
+
+
+def test_repeated_windows_with_like_hashes(spark):
+    """The sort by part of a hash, and by all of it where parts agree, count alike."""
+    h = [5 << 40, 7, (5 << 40) + 1, 7 + (1 << 30), 7, (5 << 40) + 1, 9, (1 << 62) + 3, -(1 << 62), (1 << 62) + 3]
+    sql = quality_rules._repeat_words().replace("transform(slice(w, 1, size(w) - 2), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))", "w")
+    rows = [(h,), ([7, (1 << 30) + 7, 8, 9],), ([x for x in h if x > 0],)]
+    found = [r[0] for r in spark.createDataFrame(rows, "w array<long>").select(F.expr(sql)).collect()]
+    cover = lambda x: len({i + k for i in range(len(x)) if x.count(x[i]) > 1 for k in range(3)})
+    assert found == [cover(r[0]) for r in rows]
 
 
 def test_cascade_order(spark):
     """The order depends on the sample, the verdict doesn't."""
     texts = corpus()
-    for r in (quality_rules.RULES, quality_rules.RULES[::-1]):
-        rows = quality_rules.quality_cascade(table(spark, texts), rules=r, sample_rows=5).collect()
-        counts = quality_rules.measure(table(spark, texts)).select("doc_id", *(F.expr(x.rejects).alias(x.name) for x in r)).collect()
-        want = {c["doc_id"]: not any(c[x.name] for x in r) for c in counts}
+    want = {}
+    for c in quality_rules.measure(table(spark, texts)).select("doc_id", *(F.expr(x.rejects).alias(x.name) for x in quality_rules.RULES)).collect():
+        want[c["doc_id"]] = not any(c[x.name] for x in quality_rules.RULES)
+    for order in (quality_rules.RULES, quality_rules.RULES[::-1]):
+        rows = quality_rules.quality_cascade(table(spark, texts), order=list(order)).collect()
         assert {x["doc_id"]: x["kept"] for x in rows} == want
+    assert {x["doc_id"]: x["kept"] for x in quality_rules.quality_cascade(table(spark, texts), sample_rows=5).collect()} == want
+
+
+def test_cascade_is_lazy(spark):
+    """A rule that fails when it is evaluated is never evaluated for what an earlier one rejects."""
+    trap = quality_rules.Rule("trap", "raise_error('evaluated') IS NULL")
+    few = quality_rules.Rule("few", "n_words < 1000000")
+    df = table(spark, corpus()[:20])
+    assert quality_rules.without_rejected(df, order=[few, trap]).count() == 0
+    assert {r["kept"] for r in quality_rules.quality_cascade(df, order=[few, trap]).select("kept").collect()} == {False}
+    with pytest.raises(Exception, match="evaluated"):
+        quality_rules.without_rejected(df, order=[trap, few]).count()
+
+
+def test_cascade_plan(spark):
+    """A dear rule that rejects no more than a cheap one comes after it; the sample is drawn by id, of all the table."""
+    texts = [" ".join(words(400, np.random.default_rng(k))) for k in range(300)]
+    rules = (quality_rules.Rule("dear", "n_repeat_words >= 0 AND n_words > 0"), quality_rules.Rule("cheap", "n_bangs >= 0"))
+    plan = quality_rules.plan_cascade(table(spark, texts), rules=rules, sample_rows=200)
+    assert [x["rule"].name for x in plan] == ["cheap", "dear"] and all(x["share"] == 1 for x in plan)
+    assert plan[1]["cost"] > plan[0]["cost"]
 
 
 # ---- queries and pipeline ----
 
 
 def test_query_names():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 11))
 
 
 def test_pipeline(spark, tmp_path):
