@@ -1,17 +1,19 @@
 """Exact Jaccard join of 5-word shingle sets, and the components of its links.
 
-Sets: distinct shingles as 64-bit hashes, one node per distinct set. Two rounds:
+Sets: distinct shingles as 64-bit hashes, one node per distinct set. Three rounds:
 
 1. Stars. Each set has a few sketch keys (bands of bin minima). Sets with an equal key are compared with one pivot of
    theirs, the one that meets most others, which is linear and joins most copies.
-2. Tiles. Any two linked sets share one of their rarest shingles (a prefix of n - ceil(0.75 n) + 1 of them, shingles
+2. Nearest. In large tiles (see 3) each set is compared exactly with that of the highest bound alone, which is linear
+   too and joins most chains of copies of copies.
+3. Tiles. Any two linked sets share one of their rarest shingles (a prefix of n - ceil(0.75 n) + 1 of them, shingles
    that are frequent somewhere last), so the prefixes' postings hold all candidates. A tile is the sets of one shingle;
    shingles of the same sets make one tile, and tiles of a single component are done with. In the others, sets of different components and comparable size band are
    compared by bitmap signatures whose width follows the band: bit counts bound the overlap from above. A tile of more
    than TILE sets is cut into blocks and its pairs of blocks are dealt to tasks; the blocks of its largest component
    meet only those of the others.
 
-What passes in either round is intersected exactly, as sorted arrays. Pairs inside a component need no look: their link
+What passes in any round is intersected exactly, as sorted arrays. Pairs inside a component need no look: their link
 changes nothing. So no link between different sets is lost, and no group of copies is ever expanded into pairs.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and is its own component; a
@@ -40,8 +42,8 @@ FREQUENT, BLOCK = 6, 1_000_000
 #: Bands of a sketch, and bin minima in each.
 BANDS, ROWS = 10, 3
 _EDGES = (np.arange(BANDS * ROWS, dtype=np.float64) * (2.0**64 / (BANDS * ROWS))).astype(np.uint64)
-#: Sets of a tile that are compared in one task.
-TILE = 2000
+#: Sets of a tile that are compared in one task; from LARGE sets on, a tile takes part in the nearest round.
+TILE, LARGE = 2000, 32
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -111,12 +113,6 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def halved(signature: bytes) -> bytes:
-    """A signature of half the width, for the first look in a tile."""
-    bits = np.frombuffer(signature, np.uint64)
-    return (bits[: len(bits) // 2] | bits[len(bits) // 2 :]).tobytes()
-
-
 def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     """At least the size of the intersection: a bit of one that the other lacks is a shingle that the other lacks."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -144,9 +140,9 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500):
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, key, signature, half of it, bands of each document. kind 1: key is a shingle seen n times in a block."""
+    """kind 0: doc_id, n, key, signature, bands of each document. kind 1: key is a shingle seen n times in a block."""
 
-    names = ["kind", "doc_id", "n", "key", "signature", "half", "bands"]
+    names = ["kind", "doc_id", "n", "key", "signature", "bands"]
 
     def task(batches):
         table, seen, held, size = word_hashes(), set(), [], 0
@@ -156,7 +152,7 @@ def describe_sets(docs: DataFrame) -> DataFrame:
             often = n >= FREQUENT
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n[often].astype(np.int32)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))],
+                [pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n[often].astype(np.int32)), pa.array(tokens[often].view(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))],
                 names=names,
             )
 
@@ -168,9 +164,8 @@ def describe_sets(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
                     seen.add(key) if len(seen) < 2_000_000 else None
-            signs = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int32()), ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), pa.array([x and halved(x) for x in signs], pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                [pa.array([0] * len(sets), pa.int32()), ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                 names=names,
             )
             if size >= BLOCK:
@@ -179,15 +174,15 @@ def describe_sets(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return _texts(docs).mapInArrow(task, "kind int, doc_id long, n int, key long, signature binary, half binary, bands array<long>")
+    return _texts(docs).mapInArrow(task, "kind int, doc_id long, n int, key long, signature binary, bands array<long>")
 
 
 def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """token, key, first, hot for the prefix of each set, once per set and task. frequent: shingles ascending, and counts.
+    """slot, key, flags for the prefix of each set, once per set and task. frequent: shingles ascending, and their counts.
 
-    token: 48 bits of the shingle, which is enough to meet by. first: whether it is in the shorter prefix that is
-    enough for the smaller set of a linked pair: their overlap is at least 2t / (1 + t) of its size. hot: whether it
-    is among the frequent ones.
+    slot: 48 bits of the shingle, which is enough to meet by, and for frequent ones ten of the key, to spread them.
+    flags: 1 in the shorter prefix that is enough for the smaller set of a linked pair (their overlap is at least
+    2t / (1 + t) of its size), plus 2 for a frequent shingle. Two numbers and a byte, as this is what moves most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -197,7 +192,7 @@ def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pe
         maybe[tokens & np.uint64(0xFFFF)] = True
         table, seen = word_hashes(), set()
         for _, texts in _parts(batches):
-            out, firsts, ranks, keys, lens = [], [], [], [], []
+            slots, flags, keys, lens = [], [], [], []
             for s in sets_of(texts, table):
                 n = len(s)
                 key = set_key(s)
@@ -214,21 +209,16 @@ def prefix_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pe
                     rank[likely[hit]] = counts[at[hit]]
                     order = np.lexsort((s, rank))[:p]
                     s, rank = s[order], rank[order]
-                out.append(s[:p])
-                firsts.append(np.arange(p) < short)
-                ranks.append(rank[:p] > 0)
+                hot = rank[:p] > 0
+                slots.append((s[:p] >> np.uint64(16) << np.uint64(10)).view(np.int64) | np.where(hot, key % 1009, 0))
+                flags.append((np.arange(p) < short) + 2 * hot)
                 keys.append(key)
                 lens.append(p)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((np.concatenate(out) >> np.uint64(16)).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lens)),
-                        pa.array(np.concatenate(firsts)), pa.array(np.concatenate(ranks)),
-                    ],
-                    names=["token", "key", "first", "hot"],
-                )
+            if slots:
+                columns = [pa.array(np.concatenate(slots)), pa.array(np.repeat(np.array(keys, np.int64), lens)), pa.array(np.concatenate(flags).astype(np.int8))]
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "key", "flags"])
 
-    return _texts(docs).mapInArrow(task, "token long, key long, first boolean, hot boolean")
+    return _texts(docs).mapInArrow(task, "slot long, key long, flags byte")
 
 
 def tiles_of(postings: DataFrame) -> DataFrame:
@@ -237,13 +227,14 @@ def tiles_of(postings: DataFrame) -> DataFrame:
     A set of sets is known by its size, a sum and a xor of its keys. Hot shingles are shared anyway; they are spread
     over tasks, and summed up apart: there are at most as many as frequent shingles.
     """
-    spread = F.when(F.col("hot"), F.pmod("key", F.lit(1009))).otherwise(0)
-    held = Window.partitionBy("token", "spread")
+    held = Window.partitionBy("slot")
     # a task names a set once for each of its shingles, so how often is the same for all of them
     parts = {"low": F.min("key"), "high": F.max("key"), "p0": F.count("*"), "p1": F.sum(F.pmod("key", F.lit(2**31 - 1))), "p2": F.bit_xor("key")}
-    rows = postings.withColumn("spread", spread.cast("int")).withColumns({k: p.over(held) for k, p in parts.items()}).where("hot OR low < high")
+    hot = F.col("flags") >= 2
+    rows = postings.withColumns({k: p.over(held) for k, p in parts.items()}).where(hot | F.expr("low < high"))
     tile = F.xxhash64("p0", "p1", "p2")
-    rows = stored(rows.select(F.when(~F.col("hot"), tile).alias("tile"), F.when(F.col("hot"), F.col("token")).alias("token"), "key", "first"), "join-shared")
+    first = (F.col("flags") % 2 == 1).alias("first")
+    rows = stored(rows.select(F.when(~hot, tile).alias("tile"), F.when(hot, F.shiftright("slot", 10)).alias("token"), "key", first), "join-shared")
     hot = rows.where("tile IS NULL").drop("tile")
     sums = hot.groupBy("token").agg(*(p.alias(k) for k, p in parts.items())).where("low < high").select("token", tile.alias("tile"))
     cold = rows.where("tile IS NOT NULL").drop("token")
@@ -261,7 +252,7 @@ def arrays_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame
     chosen = stored(nodes.join(wanted, "key", "left_semi").select(F.col("key").alias("_key"), F.col("doc_id").alias("_wanted")), "join-wanted")
     texts = _texts(docs)
     by_id = chosen.where("_wanted IS NOT NULL")
-    named = flagged(texts, F.col("doc_id"), by_id.select("_wanted")).where("_maybe").join(by_id, F.col("doc_id") == F.col("_wanted")).select("_key", "text")
+    named = flagged(texts, F.col("doc_id"), by_id.select("_wanted")).where("quire__maybe").join(by_id, F.col("doc_id") == F.col("_wanted")).select("_key", "text")
     # sets that only rows without an id hold: their key is known when the text is read
     nameless = texts.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("_key"), "text")
 
@@ -332,8 +323,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
 
 
-def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, block: np.ndarray, signatures: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i, j of a tile's rows, ascending by size n, whose sets have different roots and may be linked.
+def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, block: np.ndarray, signatures: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions i, j of a tile's rows, ascending by size n, whose sets have different roots and may be linked, and the
+    bound of their similarity.
 
     first: whether the tile's shingle is in the row's shorter prefix, which the smaller set of a pair needs. block: if
     there are two, only rows of different blocks are compared.
@@ -358,18 +350,18 @@ def tile_pairs(n: np.ndarray, first: np.ndarray, root: np.ndarray, block: np.nda
             if two:
                 fits &= block[i] != block[others]
             a, b = np.nonzero(fits)
-            yield i[a, 0], others[b]
+            yield i[a, 0], others[b], bound[a, b] / (n[i[a, 0]] + n[others[b]] - bound[a, b])
 
 
-def dealt(rows: DataFrame, size: int = TILE) -> DataFrame:
+def dealt(rows: DataFrame, size: int = TILE, least_rows: int = 1) -> DataFrame:
     """Adds block, and the pairs (lo, hi) of blocks in which each row of (tile, key, first, n, root) is compared.
 
     A tile of up to `size` rows is one block. In a larger one, the rows of its most frequent root have blocks of their
-    own, which meet the other rows' blocks and not one another.
+    own, which meet the other rows' blocks and not one another. Tiles of fewer than least_rows rows are left out.
     """
     tiles = rows.groupBy("tile").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("first"), F.col("n"))).alias("least"))
     # the smaller set of a pair must have the shingle in its shorter prefix
-    rows = rows.join(tiles.where("low < high"), "tile").where("n >= least").drop("low", "high", "least")
+    rows = rows.join(tiles.where(f"low < high AND rows >= {least_rows}"), "tile").where("n >= least").drop("low", "high", "least")
     by_root = rows.where(F.col("rows") > size).groupBy("tile", "root").agg(F.count("*").alias("n_root"))
     major = by_root.groupBy("tile").agg(F.max(F.struct("n_root", "root")).alias("m"), F.sum("n_root").alias("all"))
     major = major.select("tile", F.col("m.root").alias("major"), F.col("m.n_root").alias("n_major"), (F.col("all") - F.col("m.n_root")).alias("n_minor"))
@@ -385,9 +377,9 @@ def dealt(rows: DataFrame, size: int = TILE) -> DataFrame:
     return rows.withColumn("block", block).withColumn("meets", F.explode(meets)).select(*(c for c in rows.columns if c not in ("rows", "major", "n_major", "n_minor")), "block", "meets.lo", "meets.hi")
 
 
-def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(tiles: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Of rows (tile, lo, hi, block, n, first, key, root, signature), the pairs (a, b) of different roots in one pair of
-    blocks that bit counts leave."""
+    blocks that bit counts leave. nearest: of each row's pairs that with the highest bound alone."""
 
     def task(batches):
         found: set[tuple[int, int]] = set()
@@ -397,7 +389,8 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
             if len(held) > 1:
                 n, first, key, root, block, signatures = zip(*held, strict=True)
                 n, first, key, root, block = (np.array(c) for c in (n, first, key, root, block))
-                for i, j in tile_pairs(n.astype(np.int64), first, root, block, signatures, percent):
+                parts = tile_pairs(n.astype(np.int64), first, root, block, signatures, percent)
+                for i, j in [best_of(list(parts))] if nearest else ((i, j) for i, j, _ in parts):
                     found.update(zip(np.minimum(key[i], key[j]).tolist(), np.maximum(key[i], key[j]).tolist(), strict=True))
 
         for batch in batches:
@@ -412,6 +405,13 @@ def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
         compare()
         yield _pairs(found)
 
+    def best_of(parts):
+        i, j, bound = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(-np.concatenate([bound, bound]), kind="stable")
+        _, best = np.unique(np.concatenate([i, j])[order], return_index=True)
+        best = np.unique(order[best] % max(1, len(i)))
+        return i[best], j[best]
+
     def _pairs(found):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
@@ -432,13 +432,10 @@ def star_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
 
 
-def linked_pairs(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of candidate pairs (a, b): first by bit counts, then exactly."""
-    some = stored(bounded_pairs(candidates, nodes, percent), "join-pairs")
+def exactly(some: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of stored pairs (a, b)."""
     ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
-    links = stored(exact_links(some, arrays_of(docs, ends, nodes), percent), "join-links")
-    released(some)
-    return links
+    return stored(exact_links(some, arrays_of(docs, ends, nodes), percent), "join-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100_000, tile: int = TILE) -> DataFrame:
@@ -454,18 +451,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most_frequent: int = 100
     counts = np.array([r["n"] for r in top], np.int64)
     order = np.argsort(tokens)
     one = every.where("kind = 0 AND n > 0").groupBy("key")
-    nodes = stored(one.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "signature", "half", "bands"))), "join-nodes")
-    links = linked_pairs(star_pairs(nodes), docs, nodes, percent)
+    nodes = stored(one.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "signature", "bands"))), "join-nodes")
+    some = stored(bounded_pairs(star_pairs(nodes), nodes, percent), "join-pairs")
+    links = exactly(some, docs, nodes, percent)
     roots = stored(components(links), "join-roots")
 
     tiles = tiles_of(prefix_postings(docs, (tokens[order], counts[order]), percent))
-    rooted = nodes.select("key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    labelled = stored(tiles.join(rooted, "key"), "join-labelled")
-    compared = dealt(labelled, tile).join(nodes.select("key", F.col("half").alias("signature")), "key")
-    more = stored(cross_pairs(compared, percent), "join-pairs")
-    released(tiles, labelled)
-    links = links.unionByName(linked_pairs(more, docs, nodes, percent))
-    roots = stored(components(links), "join-roots")
+    rooted = lambda r: nodes.select("key", "n").join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    for large in (True, False):
+        labelled = stored(tiles.join(rooted(roots), "key"), "join-labelled")
+        compared = dealt(labelled, tile, LARGE if large else 1).join(nodes.select("key", "signature"), "key")
+        more = stored(cross_pairs(compared, percent, nearest=large), "join-pairs")
+        links = links.unionByName(exactly(more, docs, nodes, percent))
+        roots = stored(components(links), "join-roots")
+        released(labelled, more)
 
     classes = nodes.select("key", F.col("doc_id").alias("first")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = classes.groupBy("root").agg(F.min("first").alias("component"))
