@@ -103,8 +103,9 @@ def sketch(s: np.ndarray) -> list[int]:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's signature: its size band's power of two, two to four times the set's size."""
-    return 1 << min(17, max(8, (2 * n - 1).bit_length()))
+    """Bits of a set's signature: a power of two by its size band, four to eight times the set's size up to 512
+    shingles, where most pairs are, and at least twice beyond, where most bytes are. It never falls as sets grow."""
+    return 1 << min(17, max(8, (min(4 * n, max(2 * n, 2048)) - 1).bit_length()))
 
 
 def signature(s: np.ndarray) -> bytes:
