@@ -13,11 +13,13 @@ from quire.llm.quality_mil import fit_quality_mil, score_quality
 from quire.llm.quality_rules import RULES as QUALITY_RULES
 from quire.llm.link_trust import RULES as URL_RULES
 from quire.llm.link_trust import LINK, MARGIN, filter_urls
+from quire.llm.merkle import COLUMNS, FAN, merkle_manifest
 from quire.llm.packing import pack_documents
 from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
 from quire.llm.secret_scan import scan_secrets
 from quire.llm.shingle_join import near_duplicates
+from quire.llm.token_alignment import align_tokenizers
 from quire.llm.toxicity_gru import fit_toxicity, score_toxicity
 
 
@@ -191,6 +193,47 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle_manifest(documents(spark, sf_dir))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _op12_sql() -> str:
+    shown = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(shown(text if c == "text" else c) for c in COLUMNS) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # eight shifts for each character of the id, each preceded by the character itself
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+    above = lambda name, nodes: f"""{name}(tree, level, pos, digest, n) AS (
+  SELECT tree, 0, pos, digest, n FROM {nodes}
+  UNION ALL SELECT tree, level + 1, pos // {FAN}, sha256(string_agg(digest, '' ORDER BY pos)), (n + {FAN} - 1) // {FAN} FROM {name} WHERE n > 1 GROUP BY tree, level, n, pos // {FAN})"""
+    runs = lambda nodes: f"SELECT tree, level, pos // {FAN} AS run, list(digest ORDER BY pos) AS ds FROM {nodes} WHERE n > 1 GROUP BY ALL"
+    k = f"c.pos % {FAN}"
+    climb = lambda name, base, over: f"""{name}(r, tree, level, pos, n, fold, proof) AS (
+  SELECT * FROM {base}
+  UNION ALL SELECT r, c.tree, c.level + 1, c.pos // {FAN}, (n + {FAN} - 1) // {FAN},
+    sha256(array_to_string(ds[:{k}], '') || fold || array_to_string(ds[{k} + 2:], '')), proof || array_to_string(ds[:{k}], '') || array_to_string(ds[{k} + 2:], '')
+  FROM {name} c JOIN {over} o ON c.tree = o.tree AND c.level = o.level AND c.pos // {FAN} = o.run WHERE n > 1)"""
+    return f"""
+WITH RECURSIVE leaves AS MATERIALIZED (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf('text')} AS digest, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS found FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS r FROM leaves),
+{above('low', 'placed')},
+subroots AS MATERIALIZED (SELECT tree AS grp, 'top' AS tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{above('high', 'subroots')},
+low_runs AS MATERIALIZED ({runs('low')}), high_runs AS MATERIALIZED ({runs('high')}),
+starts AS (SELECT r, tree, 0 AS level, pos, n, found, '' AS proof FROM placed),
+{climb('inner_climb', 'starts', 'low_runs')},
+starts_above AS (SELECT r, 'top' AS tree, 0 AS level, s.pos, s.n, fold, proof FROM inner_climb c JOIN subroots s ON c.tree = s.grp WHERE c.n = 1),
+{climb('outer_climb', 'starts_above', 'high_runs')}
+SELECT doc_id, p.digest AS leaf, s.digest AS subroot, h.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h.digest AS verified
+FROM placed p JOIN subroots s ON p.tree = s.grp JOIN outer_climb o ON p.r = o.r AND o.n = 1 CROSS JOIN (SELECT digest FROM high WHERE n = 1) h"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -203,5 +246,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_mil": op9_quality_mil,
     "op10_language_crf": op10_language_crf,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLES = {"op2_secret_scan": _op2_sql(), "op6_link_trust": _op6_sql(), "op7_license_scan": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op2_secret_scan": _op2_sql(), "op6_link_trust": _op6_sql(), "op7_license_scan": _op7_sql(), "op8_quality_rules": _op8_sql(), "op12_merkle_manifest": _op12_sql()}
