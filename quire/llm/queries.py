@@ -19,6 +19,7 @@ from quire.llm.quality_rules import quality_cascade
 from quire.llm.secret_scan import RULES as SECRET_RULES
 from quire.llm.secret_scan import scan_secrets
 from quire.llm.shingle_join import near_duplicates
+from quire.llm.site_style import extract_main_text
 from quire.llm.token_alignment import align_tokenizers
 from quire.llm.toxicity_gru import fit_toxicity, score_toxicity
 
@@ -193,6 +194,10 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle_manifest(documents(spark, sf_dir))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -246,6 +251,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_mil": op9_quality_mil,
     "op10_language_crf": op10_language_crf,
+    "op11_site_style": op11_site_style,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_alignment": op13_token_alignment,
 }
