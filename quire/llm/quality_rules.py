@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-A sample of texts, drawn by a hash of the id, gives each rule's cost (seconds to evaluate it on those texts) and
+A random sample of texts gives each rule's cost (seconds to evaluate it on those texts) and
 selectivity (share rejected). The cascade is one CASE expression that tries the rules by rejection per cost: what a rule
 counts is counted inside its branch, so a text that a cheap rule rejects never meets a dear one. The order changes the
 running time, never the verdict: a document is kept if no rule rejects it.
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import released, stored
 
 _WORD = r"r'[^\x20\x09-\x0D]+'"
 #: Words of text t.
@@ -117,16 +117,16 @@ def measure(docs: DataFrame, text: str = "text", counts: tuple[str, ...] = tuple
     return bound.withColumns({c: F.expr(full(c)).cast("long") for c in counts})
 
 
-def plan_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, key: str = "doc_id") -> list[dict]:
+def plan_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[dict]:
     """Rules in the order to try them: rejection per second on about sample_rows texts, best first.
 
-    Which texts are sampled depends on a hash of their key. Only the order comes from the sample; equal rates and an
-    empty sample keep the given order. A rule costs what it takes longer than reading the texts, 1 ms at least.
+    Rows are drawn one by one, whatever they hold, so that null or repeated ids don't swell the sample. Only the order
+    comes from it; equal rates and an empty sample keep the given order. A rule costs what it takes longer than reading
+    the texts, 1 ms at least.
     """
     n = docs.count()
-    unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    texts = docs.where(unit < math.ceil(1_000_000 * min(1.0, sample_rows / n))) if n else docs.limit(0)
-    sample = stored(texts.select(F.col(text).alias("text")).coalesce(1), "cascade-sample")
+    texts = docs.select(F.col(text).alias("text")).sample(fraction=min(1.0, sample_rows / max(1, n)), seed=8)
+    sample = stored(texts.coalesce(1), "cascade-sample")
 
     def timed(condition: Column) -> tuple[float, int, int]:
         best, row = math.inf, None
@@ -141,16 +141,17 @@ def plan_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     for r in rules:
         took, seen, rejected = timed(cascade([r]))
         cost, share = max(took - idle, 1e-3), rejected / max(1, seen)
-        found.append({"rule": r, "share": share, "cost": cost, "rate": share / cost})
+        found.append({"rule": r, "share": share, "cost": cost, "rate": share / cost, "seen": seen})
+    released(sample)
     return sorted(found, key=lambda x: -x["rate"])
 
 
 def quality_cascade(
-    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, order: list[Rule] | None = None, key: str = "doc_id"
+    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, order: list[Rule] | None = None
 ) -> DataFrame:
     """docs with the RETURNED counts, `base_failed` and `kept`. Counts that are not returned are taken where the cascade
     comes to a rule that needs them. order: a planned order to use again."""
-    order = order if order is not None else [x["rule"] for x in plan_cascade(docs, text, rules, sample_rows, key)]
+    order = order if order is not None else [x["rule"] for x in plan_cascade(docs, text, rules, sample_rows)]
     lazy = lambda r: re.sub(r"\b([tw])\b", r"quire_\1", r.inline(RETURNED))
     rejected = F.expr("CASE " + " ".join(f"WHEN {lazy(r)} THEN true" for r in order) + " ELSE false END") if order else F.lit(False)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in rules if r.base) or "false")
@@ -158,8 +159,8 @@ def quality_cascade(
 
 
 def without_rejected(
-    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, order: list[Rule] | None = None, key: str = "doc_id"
+    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, order: list[Rule] | None = None
 ) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns; nothing is counted that the cascade doesn't need."""
-    order = order if order is not None else [x["rule"] for x in plan_cascade(docs, text, rules, sample_rows, key)]
+    order = order if order is not None else [x["rule"] for x in plan_cascade(docs, text, rules, sample_rows)]
     return docs.where(~cascade(order, text))

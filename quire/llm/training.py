@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,22 +11,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_char
     """At most 2 * per_label texts of each label, as (label, text), for fitting on the driver.
 
     labels: (doc_id, label). All labels are learned; which rows are taken depends on a hash of their id alone. Texts of
-    more than max_chars characters are not learned from, only scored, so that the sample is bounded in bytes too. A document with several
-    labels has the largest.
+    more than max_chars characters are not learned from, only scored, so that the sample is bounded in bytes too. A
+    document with several labels has the largest; an id that stands on several texts teaches by one, that of the smallest
+    hash.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
-    if not counts:
+    sizes = one.groupBy("label").agg(F.count("*").alias("size"))
+    n_labels = sizes.count()
+    if not n_labels:
         return []
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1_000_000))
-    chosen: Column = F.lit(False)
-    for label, n in counts.items():
-        chosen = chosen | ((F.col("label") == label) & (unit < int(1_000_000 * min(1.0, per_label / n))))
-    some = one.where(chosen).limit(2 * per_label * len(counts))
+    chosen = one.join(sizes, "label").where(unit < F.floor(1_000_000 * F.least(F.lit(1.0), per_label / F.col("size"))))
+    some = chosen.select("doc_id", "label").limit(2 * per_label * n_labels)
     # the sample's size is a parameter, so it may be broadcast
     texts = docs.select(F.col("doc_id").alias("_d"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    found = texts.join(F.broadcast(some), F.col("_d") == F.col("doc_id")).select("doc_id", F.col("label").cast("string").alias("label"), "text")
-    return [(r["label"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    found = texts.join(F.broadcast(some), F.col("_d") == F.col("doc_id")).groupBy("doc_id", F.col("label").cast("string").alias("label"))
+    # the first by hash, taken in each task before anything moves
+    found = found.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return [(r["label"], r["first"]["text"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
 class Adam:

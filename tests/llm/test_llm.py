@@ -778,7 +778,7 @@ def test_cascade_plan(spark):
 
 
 def test_query_names():
-    assert sorted(int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 11))
+    assert sorted(int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
@@ -797,3 +797,11 @@ def test_pipeline(spark, tmp_path):
     encode = packing._encoder(**packing.default_tokenizer())
     masked = texts[16].replace("token = abcdefgh12345678", "[secret]")
     check_packing(rows, {i: encode(masked if i == 16 else texts[i]) for i in kept})
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_cascade_sample_of_one_id(spark, doc_id):
+    """Null and repeated ids don't swell the sample."""
+    rows = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    plan = quality_rules.plan_cascade(rows, rules=quality_rules.RULES[:2], sample_rows=200)
+    assert all(100 < x["seen"] < 300 for x in plan)

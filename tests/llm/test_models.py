@@ -173,3 +173,12 @@ def test_sample_takes_all_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
     sample = labelled_sample(docs, docs.select("doc_id", "label"), per_label=50)
     assert {label for label, _ in sample} == {f"l{k:02d}" for k in range(90)} and max(len(t) for _, t in sample) < 20_000
+
+
+def test_sample_of_a_repeated_id(spark):
+    """An id that stands on thousands of texts teaches by one of them; the sample keeps its bound."""
+    rows = [(7, f"text number {k}", "a") for k in range(3000)] + [(k, f"other {k}", "b") for k in range(100, 160)] + [(None, "no id", "a"), (8, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(4)
+    sample = labelled_sample(docs, docs.select("doc_id", "label"), per_label=100)
+    assert len(sample) == 61 and sum(label == "a" for label, _ in sample) == 1
+    assert sample == labelled_sample(docs.repartition(2), docs.select("doc_id", "label"), per_label=100)
