@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import index as I
 from quire.operators import retrieval as R
+from quire.operators import word_index as W
 from quire.queries.cleaning import _fold_sql
 from quire.queries.registry import registry
 from quire.sources.snapshot import shared_folder
@@ -41,27 +42,30 @@ fts AS (SELECT query_id, chunk_id, score FROM (SELECT *, min(st) OVER (PARTITION
 _TOP = "SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM {t}) WHERE k <= {n}"
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], W.WordIndex] = {}
 
 
-def _word(lib):
+def _index(lib):
     """The word index of all chunks, written once for a session and folder and read by every search."""
     key = (lib.spark.sparkContext.applicationId, lib.folder)
     if key not in _STORED:
-        path = f"{shared_folder(lib.spark)}/word-index-{uuid.uuid4().hex}"
-        I.store_index(lib.chunks, I.word_tokens(F.col("text")), path)
-        _STORED[key] = path
-    return I.load_index(lib.spark, _STORED[key])
+        _STORED[key] = W.create_index(lib.chunks, I.word_tokens(F.col("text")), f"{shared_folder(lib.spark)}/word-index-{uuid.uuid4().hex}")
+    return _STORED[key]
+
+
+def _word(lib):
+    index = _index(lib)
+    return index, index.lengths()
 
 
 def _hybrid(lib, **options):
     """Hybrid search over the stored index; all its chunks may be found."""
-    return R.hybrid_search(lib.queries, lib.chunks, lib.papers, index=_word(lib), **options)
+    return R.hybrid_search(lib.queries, lib.chunks, lib.papers, index=_index(lib), **options)
 
 
 @query("e1_word_index", with_views("chunks queries", _INDEX + "\nSELECT term, chunk_id, count(*) AS tf, list_sort(list(pos)) AS positions FROM toks GROUP BY ALL"))
 def _(lib):
-    return _word(lib)[0]
+    return _index(lib).postings()
 
 
 @query("e1_corpus_stats", with_views("chunks queries", _INDEX + "\nSELECT n, round(av, 6) AS avg_len FROM stats"))
@@ -86,9 +90,12 @@ def _(lib):
 w AS (SELECT chunk_id, unnest({_TOK('text')}) AS term FROM now) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM w GROUP BY term"""),
 )
 def _(lib):
-    c = I.word_tokens(F.col("text"))
-    changed = lib.chunks.where("chunk_id % 5 = 0 AND chunk_id % 7 <> 0").select("chunk_id", F.lit("renewed text").alias("text"))
-    fresh = I.refresh_postings(_word(lib)[0], changed, lib.chunks.where("chunk_id % 7 = 0").select("chunk_id"), c)
+    """The index after two change sets and a compaction: renewed chunks, then deleted ones."""
+    words, root = I.word_tokens(F.col("text")), f"{shared_folder(lib.spark)}/word-index-{uuid.uuid4().hex}"
+    W.create_index(lib.chunks, words, root, buckets=16)
+    W.apply_changes(lib.chunks.where("chunk_id % 5 = 0").select("chunk_id", F.lit("renewed text").alias("text")), words, root, 1, buckets=16)
+    changed = W.apply_changes(lib.chunks.where("chunk_id % 7 = 0").select("chunk_id", F.lit(None).cast("string").alias("text")), words, root, 2, buckets=16)
+    fresh = W.compact(changed).postings()
     return fresh.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -61,7 +61,7 @@ def _(lib):
 def _(lib):
     raw = S.stream_events(lib.spark, f"{lib.folder}/events.parque[t]", lib.table("events").schema)
     changes = raw.select(F.col("event_id").alias("chunk_id"), F.concat_ws(" ", "event_type", "props").alias("text"), F.col("event_id").alias("seq"))
-    return S.incremental_index(changes, word_tokens(F.col("text"))).groupBy("term").agg(F.count("*").alias("df"))
+    return S.incremental_index(changes, word_tokens(F.col("text"))).postings().groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query("l8_ttl_cache", "SELECT 'u' || user_id AS key, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS value FROM events GROUP BY 1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from quire.operators.index import build_postings
+from quire.operators.word_index import WordIndex, apply_changes, compact, open_index
 from quire.sources.snapshot import shared_folder
 
 
@@ -136,24 +136,21 @@ def ttl_cache(events: DataFrame, minutes: int = 60, late: str = "1 hour") -> Dat
     )
 
 
-def incremental_index(changes: DataFrame, tokens: Column, root: str | None = None) -> DataFrame:
-    """Postings kept in step with a stream of chunk changes (chunk_id, text, seq; a null text deletes).
+def incremental_index(changes: DataFrame, tokens: Column, root: str | None = None, most: int = 8) -> WordIndex:
+    """A stored word index kept in step with a stream of chunk changes (chunk_id, text, seq; a null text deletes).
 
-    Each micro-batch writes the postings of its own changes, and which chunks it touched, under its number; of a chunk the
-    last batch that touched it counts. Nothing older is rewritten, a batch that is run again replaces itself, and a
-    stream that is resumed on the same root goes on from what is there.
+    Each micro-batch is a segment under its number, so a batch that is run again replaces itself, and a stream that is
+    resumed on the same root goes on from what is there. As soon as there are more than `most` segments they are merged.
     """
     spark = changes.sparkSession
     root = root or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def apply(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("chunk_id").agg(F.max_by("text", "seq").alias("text"))
-        build_postings(last.where("text IS NOT NULL"), tokens).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
-        last.select("chunk_id").write.mode("overwrite").parquet(f"{root}/touched/batch={number}")
+        index = apply_changes(last, tokens, f"{root}/index", number, buckets=16)
+        if len(index.segments) > most:
+            compact(index)
 
     query = changes.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(apply).start()
     query.awaitTermination()
-    touched = spark.read.schema("chunk_id long, batch long").parquet(f"{root}/touched")
-    newest = touched.groupBy("chunk_id").agg(F.max("batch").alias("batch"))
-    postings = spark.read.schema("term string, chunk_id long, tf long, positions array<int>, batch long").parquet(f"{root}/postings")
-    return postings.join(newest, ["chunk_id", "batch"], "left_semi").select("term", "chunk_id", "tf", "positions")
+    return open_index(spark, f"{root}/index")

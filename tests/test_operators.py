@@ -15,6 +15,7 @@ from quire.operators import grounding as G
 from quire.operators import index as I
 from quire.operators import linkage as L
 from quire.operators import retrieval as R
+from quire.operators import word_index as W
 from quire.streaming import feeds as S
 
 
@@ -186,12 +187,11 @@ def test_stored_index_and_options(spark, tmp_path):
     chunks = spark.createDataFrame([(1, 1, "alpha beta gamma"), (2, 1, "alpha beta"), (3, 2, "beta alpha delta"), (4, 2, "omega")], "chunk_id long, paper_id long, text string")
     papers = spark.createDataFrame([(1, "first thing", False), (2, "second thing", False)], "paper_id long, title string, deleted boolean")
     c = I.word_tokens(F.col("text"))
-    I.store_index(chunks, c, f"{tmp_path}/i", buckets=4)
-    index = I.load_index(spark, f"{tmp_path}/i")
+    index = W.create_index(chunks, c, f"{tmp_path}/i", buckets=4)
     q = spark.createDataFrame([(1, "alpha delta")], "query_id long, query string")
     plain = R.hybrid_search(q, chunks, papers)
     assert values(plain, "rank", "chunk_id") == values(R.hybrid_search(q, chunks, papers, index=index), "rank", "chunk_id") != []
-    some = R.hybrid_search(q, chunks.where("paper_id = 1"), papers, index=index)
+    some = R.hybrid_search(q, chunks.where("paper_id = 1"), papers, index=index.within(chunks.where("paper_id = 1")))
     assert {r["chunk_id"] for r in some.collect()} <= {1, 2}, "a filter on chunks holds in the stored index too"
     near = spark.createDataFrame([(4, [1.0, 0.0]), (1, [0.0, 1.0])], "chunk_id long, embedding array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.1])], "query_id long, embedding array<float>")
@@ -217,11 +217,11 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     c = I.word_tokens(F.col("text"))
     spark.createDataFrame(parts[0], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
     stream = lambda: S.stream_events(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/0").schema, files_per_batch=1)
-    assert values(S.incremental_index(stream(), c, f"{tmp_path}/index"), "term", "chunk_id") == [("here", 2), ("old", 1), ("stay", 2), ("words", 1)]
+    assert values(S.incremental_index(stream(), c, f"{tmp_path}/index").postings(), "term", "chunk_id") == [("here", 2), ("old", 1), ("stay", 2), ("words", 1)]
     assert values(S.drained(stream(), "append", f"{tmp_path}/rows"), "chunk_id") == [(1,), (2,)]
     spark.createDataFrame(parts[1], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
     for _ in range(2):  # the second time there is nothing new
-        assert values(S.incremental_index(stream(), c, f"{tmp_path}/index"), "term", "chunk_id") == [("new", 1), ("third", 3), ("words", 1)]
+        assert values(S.incremental_index(stream(), c, f"{tmp_path}/index").postings(), "term", "chunk_id") == [("new", 1), ("third", 3), ("words", 1)]
         assert values(S.drained(stream(), "append", f"{tmp_path}/rows"), "chunk_id") == [(1,), (1,), (2,), (2,), (3,)]
     last = max(os.listdir(f"{tmp_path}/rows/state/commits"), key=lambda f: (f.isdigit(), f))
     for f in (last, f".{last}.crc"):
