@@ -10,7 +10,8 @@ stored as node rows, one per run: the digests of the run and the place of its pa
 is a place among the subroots. A recursive query then climbs. A row of it holds the leaves of one run, which share
 every node above their parent: at each level it joins the run of the node where it stands, appends the siblings to the
 proof and folds the hash of every leaf that it holds. A level is a join of rows by place, so rounds grow with the
-logarithm of the table.
+logarithm of the table. Near the root all rows meet few runs: a run is therefore stored once for each ASKED rows that
+will come by, and the rows are dealt to these copies.
 
 Defined cases: a null column counts as `-`; rows without a group come first, as a group of their own; rows without an id
 come first in their group; rows with one id are ordered by leaf, and rows that are equal in all columns are
@@ -32,6 +33,8 @@ from quire.llm.common import ascii_lower, released, stored
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes of a run.
 FAN = 8
+#: Rows of the climb that one copy of a run serves.
+ASKED = 512
 #: The name of the tree above the subroots; those of groups begin with 0 or 1.
 TOP = "top"
 
@@ -71,16 +74,16 @@ def _joined(digests: Column) -> Column:
 
 
 def _levels(nodes: DataFrame, largest: int, name: str) -> list[DataFrame]:
-    """Stored runs of all levels above nodes (tree, place, digest, n): (tree, level, run, n, digests, digest).
+    """Stored runs of all levels above nodes (tree, place, digest, n, climbs): (tree, level, run, n, digests, digest, climbs).
 
-    largest: the most nodes that a tree has.
+    largest: the most nodes that a tree has. climbs: how many rows of the climb start below.
     """
     levels = []
     while largest > 1:
-        runs = nodes.where("n > 1").groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("run_nodes"))
-        runs = runs.select("tree", F.lit(len(levels)).alias("level"), "run", "n", F.col("run_nodes.digest").alias("digests"))
+        runs = nodes.where("n > 1").groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("run_nodes"), F.sum("climbs").alias("climbs"))
+        runs = runs.select("tree", F.lit(len(levels)).alias("level"), "run", "n", F.col("run_nodes.digest").alias("digests"), F.greatest("climbs", F.lit(1)).alias("climbs"))
         levels.append(stored(runs.withColumn("digest", _joined(F.col("digests"))), f"{name}-{len(levels)}"))
-        nodes = levels[-1].select("tree", F.col("run").alias("place"), "digest", F.ceil(F.col("n") / FAN).alias("n"))
+        nodes = levels[-1].select("tree", F.col("run").alias("place"), "digest", F.ceil(F.col("n") / FAN).alias("n"), "climbs")
         largest = -(-largest // FAN)
     return levels
 
@@ -105,17 +108,17 @@ def _linked(runs: DataFrame, places: DataFrame | None) -> DataFrame:
 
 #: Climbs with all leaves of a run at once. {base}: what climb holds at the start; {runs}: the stored node rows.
 CLIMB = """
-WITH RECURSIVE climb(members, proof, up_tree, up_level, up_place, subroot, digest) AS (
-  SELECT members, proof, up_tree, up_level, up_place, CAST(NULL AS STRING), digest FROM {base}
+WITH RECURSIVE climb(members, proof, up_tree, up_level, up_place, spread, copies, subroot, digest) AS (
+  SELECT members, proof, up_tree, up_level, up_place, spread, copies, CAST(NULL AS STRING), digest FROM {base}
   UNION ALL
   SELECT
     transform(c.members, m -> named_struct('id', m.id, 'leaf', m.leaf, 'others', m.others,
       'fold', sha2(concat(array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), m.fold, array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')), 256))),
     concat(c.proof, array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')),
-    r.up_tree, r.up_level, r.up_place,
+    r.up_tree, r.up_level, r.up_place, c.spread, r.copies,
     CASE WHEN c.up_tree = '{top}' AND c.up_level = 0 THEN r.digests[CAST(c.up_place % {fan} AS INT)] ELSE c.subroot END,
     r.digest
-  FROM climb c JOIN {runs} r ON r.tree = c.up_tree AND r.level = c.up_level AND r.run = c.up_place DIV {fan}
+  FROM climb c JOIN {runs} r ON r.tree = c.up_tree AND r.level = c.up_level AND r.run = c.up_place DIV {fan} AND r.copy = c.spread % c.copies
 )
 SELECT members, proof, coalesce(subroot, digest) AS subroot, digest AS root FROM climb WHERE up_tree IS NULL"""
 
@@ -133,23 +136,31 @@ def merkle_manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame
     trees = stored(trees, "merkle-trees")
     largest, groups = trees.agg(F.max("n"), F.count("*")).first()
     leaves = ranked.join(trees, "tree").withColumn("place", F.col("rank") - F.col("first_rank"))
-    low = _levels(leaves.select("tree", "place", F.col("leaf").alias("digest"), "n"), largest or 0, "merkle-nodes")
+    # the leaves of a run climb in one row, which counts from the first level on
+    low = _levels(leaves.select("tree", "place", F.col("leaf").alias("digest"), "n", F.lit(0).alias("climbs")), largest or 0, "merkle-nodes")
 
     # the subroots, and the levels above them
-    of_one = leaves.where("n = 1").select("tree", F.col("leaf").alias("digest"))
+    of_one = leaves.where("n = 1").select("tree", F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("climbs"))
     subroots = of_one
     for level in low:
-        subroots = subroots.unionByName(level.where(F.col("n") <= FAN).select("tree", "digest"))
-    top_nodes, _ = _placed(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("group"), "digest"), ["group"], "merkle-subroots")
-    top_nodes = stored(top_nodes.select("tree", "group", F.col("rank").alias("place"), "digest", F.lit(groups).cast("long").alias("n")), "merkle-tops")
+        subroots = subroots.unionByName(level.where(F.col("n") <= FAN).select("tree", "digest", "climbs"))
+    top_nodes, _ = _placed(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("group"), "digest", "climbs"), ["group"], "merkle-subroots")
+    top_nodes = stored(top_nodes.select("tree", "group", F.col("rank").alias("place"), "digest", F.lit(groups).cast("long").alias("n"), "climbs"), "merkle-tops")
     high = _levels(top_nodes, groups, "merkle-tops")
     places = top_nodes.where("n > 1").select(F.col("group").alias("tree"), "place")
-    schema = "tree string, level int, run long, digests array<string>, digest string, up_tree string, up_level int, up_place long"
+    schema = "tree string, level int, run long, digests array<string>, digest string, climbs long, up_tree string, up_level int, up_place long"
     runs = spark.createDataFrame([], schema)
     for level, above in [*((x, places) for x in low), *((x, None) for x in high)]:
         runs = runs.unionByName(_linked(level, above).select(*runs.columns))
-    runs = stored(runs, "merkle-runs")
-    released(*low, *high)
+    copies = F.ceil(F.col("climbs") / ASKED)
+    sizes = runs.select(F.col("tree").alias("of_tree"), F.col("level").alias("of_level"), F.col("run").alias("of_run"), copies.alias("copies"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """rows with the number of copies of the run that their parent stands in."""
+        met = (F.col("up_tree") == F.col("of_tree")) & (F.col("up_level") == F.col("of_level")) & (F.expr(f"up_place DIV {FAN}") == F.col("of_run"))
+        return rows.join(sizes, met, "left").drop("of_tree", "of_level", "of_run")
+
+    runs = stored(sized(runs).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))), "merkle-runs")
 
     # a row per run of leaves; a leaf alone in its group stands among the subroots at once
     base = leaves.groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "id", "leaf", "found"))).alias("held"))
@@ -158,11 +169,13 @@ def merkle_manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame
     fold = lambda m, i: F.when(F.col("n") == 1, m["found"]).otherwise(_joined(F.transform(digests, lambda x, k: F.when(k == i, m["found"]).otherwise(x))))
     members = F.transform("held", lambda m, i: F.struct(m["id"].alias("id"), m["leaf"].alias("leaf"), F.array_join(others(i), "").alias("others"), fold(m, i).alias("fold")))
     digest = F.when(F.col("n") == 1, digests[0]).otherwise(_joined(digests))
-    base = _linked(base.withColumn("level", F.lit(0)), places).select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", digest.alias("digest"))
+    base = sized(_linked(base.withColumn("level", F.lit(0)), places))
+    base = base.select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), "copies", digest.alias("digest"))
 
     found = _climb(base, runs).select(F.explode("members").alias("m"), "proof", "subroot", "root")
     proof = F.concat("m.others", "proof")
     folded = F.col("m.fold")
+    released(*low, *high, top_nodes, runs)
     return found.select(
         F.col("m.id").alias("doc_id"), F.col("m.leaf").alias("leaf"), "subroot", "root", proof.alias("proof"), F.sha2(proof, 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified")
     )

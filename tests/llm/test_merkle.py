@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quire.llm import merkle
 from quire.llm.merkle import merkle_manifest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, place long, digest string, proof string"
@@ -90,3 +91,11 @@ def test_empty_and_untouched(spark):
     assert not any(r["verified"] for r in found) and len(found) == 9
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == limit
     assert all(len(r["proof"]) == 64 * (7 if r["doc_id"] < 8 else 0) + 64 for r in found)
+
+
+def test_copies_of_runs(spark, monkeypatch):
+    """Runs that many rows come by are stored in copies; which one a row meets changes nothing."""
+    monkeypatch.setattr(merkle, "ASKED", 2)
+    docs = spark.createDataFrame([(*r, "t", 1, "d", "p") for r in CASES["many"]], SCHEMA).repartition(3)
+    found = merkle_manifest(docs).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    assert Counter(map(tuple, found)) == Counter(plain(CASES["many"]))
