@@ -11,16 +11,50 @@ from quire.views import TOKENS_SQL, with_views
 QUERIES, ORACLES, query = registry()
 
 
+#: The number of a heading, of one to four parts, from the number of its section.
+_NUMBER = "array_to_string([s % 89 + 1, s % 7 + 1, s % 5 + 1, s % 3 + 1][1:s % 4 + 1], '.')"
+
+
 def _pages(lib):
-    """Chunks as pages of lines, each tenth line as a numbered heading."""
-    line = F.when(F.col("is_section_start"), F.concat((F.floor(F.col("ord") / 10) + 1).cast("string"), F.lit(" Part "), F.col("ord"))).otherwise(F.col("text"))
+    """Chunks as pages of lines, each tenth line as a numbered heading of one to four levels."""
+    s = F.floor(F.col("ord") / 10)
+    number = F.array_join(F.slice(F.array(*((s % k + 1).cast("string") for k in (89, 7, 5, 3))), F.lit(1), (s % 4 + 1).cast("int")), ".")
+    line = F.when(F.col("is_section_start"), F.concat(number, F.lit(" Part "), F.col("ord"))).otherwise(F.col("text"))
     lines = lib.chunks.select("paper_id", F.col("page_from").alias("page"), "ord", line.alias("line"))
     return lines.groupBy("paper_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda s: s["line"]), "\n").alias("text"))
 
 
-@query("c1_detect_sections", with_views("chunks", "SELECT paper_id, (ord // 10 + 1) || ' Part ' || ord AS title, page_from AS page FROM chunks WHERE is_section_start"))
+def _sections_sql() -> str:
+    known = ", ".join(f"'{n}'" for n in I.SECTION_NAMES)
+    last = lambda k: f"max(CASE WHEN level = {k} THEN ord END) OVER w"
+    over = lambda k: f"coalesce(max(CASE WHEN level < {k} THEN ord END) OVER w, -1)"
+    title = lambda k: f"CASE WHEN level >= {k} AND {last(k)} > {over(k)} THEN arg_max(title, CASE WHEN level = {k} THEN ord END) OVER w END"
+    path = ", ".join(title(k) for k in range(1, I.LEVELS + 1))
+    return f"""l AS (SELECT paper_id, ord, page_from AS page, trim(CASE WHEN is_section_start THEN (SELECT {_NUMBER} FROM (SELECT ord // 10 AS s)) || ' Part ' || ord ELSE text END) AS line FROM chunks),
+m AS (SELECT *, regexp_extract(line, '{I.NUMBERED}', ['num', 'roman', 'letter', 'title']) AS g, length(line) <= 110 AND NOT regexp_matches(line, '{I.NOISE}') AS fits FROM l),
+h AS (SELECT *, fits AND g.title <> '' AS numbered, ends_with(g.title, '.') AND len(regexp_extract_all(g.title, '\S+')) > 8 AS sentence,
+  fits AND g.title = '' AND regexp_replace(lower(line), ':+$', '') IN ({known}) AND len(regexp_extract_all(line, '\S+')) <= 6 AS known FROM m),
+heads AS (SELECT paper_id, ord, page, CASE WHEN known THEN 1 WHEN g.num <> '' THEN len(string_split(g.num, '.')) WHEN g.roman <> '' THEN 1 ELSE 2 END AS level,
+  CASE WHEN known THEN line WHEN g.num <> '' THEN g.num || ' ' || trim(g.title) ELSE trim(g.title) END AS title FROM h WHERE known OR numbered AND NOT sentence)
+SELECT paper_id, level, title, page, concat_ws(' > ', {path}) AS section_path FROM heads WINDOW w AS (PARTITION BY paper_id ORDER BY ord)"""
+
+
+@query("c1_detect_sections", with_views("chunks", _sections_sql()))
+def _(lib):
+    return I.detect_sections(_pages(lib)).where("title IS NOT NULL").select("paper_id", "level", "title", "page", "section_path")
+
+
+@query(
+    "c1_outline_sections",
+    with_views("chunks", """e AS (SELECT paper_id, section_path AS title, page_from AS page, min(ord) AS seq FROM chunks WHERE ord % 30 < 10 AND is_section_start GROUP BY ALL),
+n AS (SELECT *, lead(page) OVER (PARTITION BY paper_id ORDER BY page, seq) AS stop FROM e)
+SELECT n.paper_id, n.title, n.page, max(c.page_from) AS page_to, count(DISTINCT c.page_from) AS n_pages FROM n JOIN chunks c ON n.paper_id = c.paper_id AND c.page_from >= n.page AND c.page_from < coalesce(n.stop, 1000000) GROUP BY ALL"""),
+)
 def _(lib):
-    return I.detect_sections(_pages(lib)).where("title IS NOT NULL").select("paper_id", "title", "page")
+    """Each third section as an entry of an outline."""
+    outline = lib.chunks.where("ord % 30 < 10 AND is_section_start").groupBy("paper_id", F.col("section_path").alias("title"), F.col("page_from").alias("page")).agg(F.min("ord").alias("seq"))
+    found = I.outline_sections(_pages(lib), outline.withColumn("level", F.lit(1)))
+    return found.select("paper_id", "title", "page", "page_to", F.size(F.split("text", "\n\n")).cast("long").alias("n_pages"))
 
 
 @query("c2_merge_wrapped")
@@ -30,7 +64,7 @@ def _(lib):
 
 @query("c3_chunk_sections")
 def _(lib):
-    return I.chunk_sections(lib.chunks, target=200).select("paper_id", "section_path", "chunk_no", "n_paragraphs", "n_tokens")
+    return I.chunk_sections(lib.chunks.withColumnRenamed("page_from", "page"), target=200, overlap=30)
 
 
 @query("c4_chunk_markdown")
@@ -144,11 +178,38 @@ def _(lib):
     return I.paper_text(lib.chunks, section="s0", offset=2, limit=4).select("chunk_id", "next_offset")
 
 
-@query(
-    "c16_assemble_context",
-    with_views("chunks", """s AS (SELECT paper_id, section_path, sum(length(text) + 1) AS chars, min(ord) AS first, max(CASE WHEN kind = 'table' THEN 1 ELSE 0 END) AS tables FROM chunks GROUP BY ALL),
-b AS (SELECT *, 6000 - coalesce(sum(chars) OVER (PARTITION BY paper_id ORDER BY tables, chars DESC, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM s)
-SELECT paper_id, section_path, least(chars, room)::BIGINT AS used_chars FROM b WHERE room >= 300"""),
-)
-def _(lib):
-    return I.assemble_context(lib.chunks, most_chars=6000)
+#: Section titles and kinds of papers, dealt by number.
+_TITLES = ("Method", "Introduction", "Related work", "Main theorem", "Taxonomy", "System design", "References", "Results", "Outlook")
+_KINDS = ("method", "theory", "survey", "system")
+
+
+def _context_sql(room: int, least: int = 300) -> str:
+    name = f"[{', '.join(repr(t) for t in _TITLES)}][s % {len(_TITLES)} + 1]"
+    weights = " ".join(f"WHEN kind = '{k}' AND contains(lower(path), '{w}') THEN {v}" for k, ws in I.SECTION_WEIGHTS.items() for w, v in ws.items())
+    ends = [(r"\n\n", 0, 0.5), *((e.replace(".", "\\.").replace("?", "\\?"), len(e), 0.5) for e in I.SENTENCE_ENDS), (" ", 0, 0.4)]
+    # the place behind the last end in the head, if that is far enough
+    place = lambda e: f"length(regexp_extract(head, '(?s)^(.*){e}', 1))"
+    cut = " ".join(f"WHEN regexp_matches(head, '{e}') AND {place(e)} >= room * {least} THEN {place(e)} + {width}" for e, width, least in ends)
+    return f"""parts AS (SELECT paper_id, ord // 10 AS s, trim(string_agg(text, chr(10) ORDER BY ord)) AS text FROM chunks WHERE kind = 'text' GROUP BY ALL),
+named AS (SELECT paper_id, [{', '.join(repr(k) for k in _KINDS)}][paper_id % {len(_KINDS)} + 1] AS kind, s, 'S' || s || ' ' || {name} AS path, text FROM parts WHERE text <> ''),
+weighed AS (SELECT *, CASE {weights} ELSE 1.0 END AS weight FROM named),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY weight DESC, s) AS k FROM weighed WHERE weight > 0),
+fold(paper_id, k, room, n, dropped, path, used) AS (
+  SELECT DISTINCT paper_id, 0::BIGINT, {room}::BIGINT, 0::BIGINT, 0::BIGINT, '', 0::BIGINT FROM ranked
+  UNION ALL SELECT f.paper_id, r.k, f.room - x.used, f.n + (x.used > 0)::INT, f.dropped + (x.used < length(r.text))::INT, r.path, x.used FROM fold f JOIN ranked r ON f.paper_id = r.paper_id AND r.k = f.k + 1,
+    LATERAL (SELECT CASE WHEN f.room < {least} THEN 0 WHEN length(r.text) <= f.room THEN length(r.text) ELSE (SELECT length(rtrim(substr(head, 1, CASE {cut} ELSE length(head) END), ' ' || chr(10) || chr(9) || chr(13)))
+      FROM (SELECT substr(r.text, 1, f.room) AS head, f.room AS room) h) END AS used) x)
+SELECT paper_id, max(n) AS n_sections, max(dropped) AS n_dropped, {room} - min(room) AS used_chars FROM fold GROUP BY paper_id"""
+
+
+@query("c16_assemble_context", with_views("chunks", _context_sql(2500)).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(lib):
+    s = F.floor(F.col("ord") / 10).cast("long")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    of = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    texts = lib.chunks.where("kind = 'text'").groupBy("paper_id", s.alias("ord")).agg(text.alias("text"))
+    sections = texts.withColumn("path", F.concat(F.lit("S"), "ord", F.lit(" "), of(_TITLES, F.col("ord"))))
+    papers = lib.papers.select("paper_id", of(_KINDS, F.col("paper_id")).alias("kind"), "title", F.lit(None).cast("string").alias("abstract"))
+    tables = lib.chunks.where("kind = 'table'").select("paper_id", "ord", F.col("section_path").alias("path"), "text")
+    found = I.assemble_context(papers, sections, tables, max_chars=2500)
+    return found.where("n_sections + n_dropped > 0").select("paper_id", "n_sections", "n_dropped", "used_chars")

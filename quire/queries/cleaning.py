@@ -183,17 +183,25 @@ def _(lib):
     return lib.table("documents").select("doc_id", T.content_hash(F.concat(F.lit("updated: "), "n_chars", F.lit("\n"), "text")).alias("hash"))
 
 
+#: Documents as TeX files whose kind varies with the id: titles, blocks and sections that the signals know.
+_TEX_TITLE = "CASE doc_id % 7 WHEN 0 THEN 'A Survey of ' WHEN 1 THEN '关于图的综述 ' WHEN 2 THEN 'A System for ' WHEN 3 THEN 'The framework ' ELSE '' END"
+_TEX_BLOCK = r"CASE doc_id % 5 WHEN 0 THEN '\\begin{proof}x\\end{proof}' WHEN 1 THEN '\\lemma x \\qed ' WHEN 2 THEN '\\section{Our Implementation}' ELSE '' END"
+
+
 def _kind_sql() -> str:
-    kind = "'method'"
-    for name, pattern, least in reversed(T.PAPER_KINDS):
-        kind = f"CASE WHEN len(regexp_extract_all({'title' if name == 'survey' else 'text'}, '{pattern}')) >= {least} THEN '{name}' ELSE {kind} END"
-    return kind
+    count = lambda pattern: f"len(regexp_extract_all(body, '{pattern}'))"
+    return f"""SELECT doc_id, CASE WHEN regexp_matches(lower(title), '{T.SURVEY_WORDS}') OR regexp_matches(title, '{T.SURVEY_TITLE}') THEN 'survey'
+  WHEN {count(T.THEOREM_BLOCKS)} >= 3 OR ({count(T.THEOREM_COMMANDS)} >= 5 AND {count(T.PROOFS)} >= 3) THEN 'theory'
+  WHEN regexp_matches(lower(title), '{T.SYSTEM_WORDS}') AND regexp_matches(body, '{T.SYSTEM_SECTION}') THEN 'system' ELSE 'method' END AS kind
+FROM (SELECT *, title || chr(10) || text AS body FROM (SELECT doc_id, {_TEX_TITLE} || split_part(text, chr(10), 1) AS title,
+  repeat({_TEX_BLOCK.replace(chr(92) * 2, chr(92))}, CAST(doc_id % 8 AS INT)) || text AS text FROM documents))"""
 
 
-@query("b16_classify_paper", f"SELECT doc_id, {_kind_sql()} AS kind FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS title FROM documents)")
+@query("b16_classify_paper", _kind_sql())
 def _(lib):
-    docs = lib.table("documents")
-    return docs.select("doc_id", T.classify_paper(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")).alias("kind"))
+    text = F.concat(F.repeat(F.expr(_TEX_BLOCK), F.expr("CAST(doc_id % 8 AS INT)")), "text")
+    title = F.concat(F.expr(_TEX_TITLE), F.split_part("text", F.lit("\n"), F.lit(1)))
+    return lib.table("documents").select("doc_id", T.classify_paper(title, text).alias("kind"))
 
 
 @query("b17_repo_links")
