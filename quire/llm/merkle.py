@@ -91,19 +91,19 @@ def _levels(nodes: DataFrame, largest: int, name: str) -> list[DataFrame]:
 def _linked(runs: DataFrame, places: DataFrame | None) -> DataFrame:
     """Runs with the place of their parent: in the next level, or among the subroots, or null at the root.
 
-    places: (tree, place) of the subroots, None for the runs above the subroots themselves.
+    places: (tree, top_place, top_copies) of the subroots, None for the runs above the subroots themselves.
     """
     if places is None:
-        runs = runs.withColumn("top_place", F.lit(None).cast("long"))
+        runs = runs.withColumns({"top_place": F.lit(None).cast("long"), "top_copies": F.lit(None).cast("long")})
     else:
-        runs = runs.join(places.withColumnRenamed("place", "top_place"), "tree", "left")
+        runs = runs.join(places, "tree", "left")
     inside, over = F.col("n") > FAN, F.col("top_place").isNotNull()
     up = {
         "up_tree": F.when(inside, F.col("tree")).when(over, F.lit(TOP)),
         "up_level": F.when(inside, F.col("level") + 1).when(over, F.lit(0)),
         "up_place": F.when(inside, F.col("run")).otherwise(F.col("top_place")),
     }
-    return runs.withColumns(up).drop("top_place")
+    return runs.withColumns(up)
 
 
 #: Climbs with all leaves of a run at once. {base}: what climb holds at the start; {runs}: the stored node rows.
@@ -112,7 +112,7 @@ WITH RECURSIVE climb(members, proof, up_tree, up_level, up_place, spread, copies
   SELECT members, proof, up_tree, up_level, up_place, spread, copies, CAST(NULL AS STRING), digest FROM {base}
   UNION ALL
   SELECT
-    transform(c.members, m -> named_struct('id', m.id, 'leaf', m.leaf, 'others', m.others,
+    transform(c.members, m -> named_struct('id', m.id, 'leaf', m.leaf,
       'fold', sha2(concat(array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), m.fold, array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')), 256))),
     concat(c.proof, array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')),
     r.up_tree, r.up_level, r.up_place, c.spread, r.copies,
@@ -147,33 +147,35 @@ def merkle_manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame
     top_nodes, _ = _placed(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("group"), "digest", "climbs"), ["group"], "merkle-subroots")
     top_nodes = stored(top_nodes.select("tree", "group", F.col("rank").alias("place"), "digest", F.lit(groups).cast("long").alias("n"), "climbs"), "merkle-tops")
     high = _levels(top_nodes, groups, "merkle-tops")
-    places = top_nodes.where("n > 1").select(F.col("group").alias("tree"), "place")
+    copies = F.ceil(F.col("climbs") / ASKED)
+    places = top_nodes.where("n > 1").select(F.col("group").alias("tree"), F.col("place").alias("top_place"))
+    if high:
+        places = places.join(high[0].select(F.col("run").alias("top_run"), copies.alias("top_copies")), F.expr(f"top_place DIV {FAN}") == F.col("top_run")).drop("top_run")
+    else:
+        places = places.withColumn("top_copies", F.lit(1).cast("long"))
     schema = "tree string, level int, run long, digests array<string>, digest string, climbs long, up_tree string, up_level int, up_place long"
     runs = spark.createDataFrame([], schema)
     for level, above in [*((x, places) for x in low), *((x, None) for x in high)]:
         runs = runs.unionByName(_linked(level, above).select(*runs.columns))
-    copies = F.ceil(F.col("climbs") / ASKED)
-    sizes = runs.select(F.col("tree").alias("of_tree"), F.col("level").alias("of_level"), F.col("run").alias("of_run"), copies.alias("copies"))
-
-    def sized(rows: DataFrame) -> DataFrame:
-        """rows with the number of copies of the run that their parent stands in."""
-        met = (F.col("up_tree") == F.col("of_tree")) & (F.col("up_level") == F.col("of_level")) & (F.expr(f"up_place DIV {FAN}") == F.col("of_run"))
-        return rows.join(sizes, met, "left").drop("of_tree", "of_level", "of_run")
-
-    runs = stored(sized(runs).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))), "merkle-runs")
+    # with the number of copies of the run that the parent stands in
+    sizes = runs.select(F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("run").alias("up_run"), copies.alias("copies"))
+    sized = runs.withColumn("up_run", F.expr(f"up_place DIV {FAN}")).join(sizes, ["up_tree", "up_level", "up_run"], "left").drop("up_run")
+    runs = stored(sized.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))), "merkle-runs")
 
     # a row per run of leaves; a leaf alone in its group stands among the subroots at once
     base = leaves.groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "id", "leaf", "found"))).alias("held"))
     digests = F.col("held.leaf")
-    others = lambda i: F.filter(digests, lambda x, k: k != i)
     fold = lambda m, i: F.when(F.col("n") == 1, m["found"]).otherwise(_joined(F.transform(digests, lambda x, k: F.when(k == i, m["found"]).otherwise(x))))
-    members = F.transform("held", lambda m, i: F.struct(m["id"].alias("id"), m["leaf"].alias("leaf"), F.array_join(others(i), "").alias("others"), fold(m, i).alias("fold")))
+    members = F.transform("held", lambda m, i: F.struct(m["id"].alias("id"), m["leaf"].alias("leaf"), fold(m, i).alias("fold")))
     digest = F.when(F.col("n") == 1, digests[0]).otherwise(_joined(digests))
-    base = sized(_linked(base.withColumn("level", F.lit(0)), places))
-    base = base.select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), "copies", digest.alias("digest"))
-
-    found = _climb(base, runs).select(F.explode("members").alias("m"), "proof", "subroot", "root")
-    proof = F.concat("m.others", "proof")
+    base = _linked(base.withColumn("level", F.lit(0)), places)
+    # the run of the parent holds as many rows of the climb as it has nodes
+    above = F.least(F.lit(FAN), F.ceil(F.col("n") / FAN) - FAN * F.expr(f"run DIV {FAN}"))
+    copies = F.when(F.col("n") > FAN, F.ceil(above / ASKED)).otherwise(F.col("top_copies"))
+    base = base.select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), copies.alias("copies"), digest.alias("digest"))
+
+    found = _climb(base, runs).withColumn("digests", F.col("members.leaf")).select("*", F.posexplode("members").alias("i", "m"))
+    proof = F.concat(F.array_join(F.filter("digests", lambda x, k: k != F.col("i")), ""), "proof")
     folded = F.col("m.fold")
     released(*low, *high, top_nodes, runs)
     return found.select(
