@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.sources.snapshot import rewritten
 
@@ -117,20 +122,44 @@ def mark_flags(states: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def apply_edits(notes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """notes, revisions, conflicts after edits (note_id, seq, expected_version, new_content).
+    """notes, revisions, conflicts after edits (note_id, seq, expected_version, new_content), applied in turn by seq.
+
+    An edit that expects another version than its note has by then is a conflict and changes nothing; one that brings no
+    new content is ignored; else the old content becomes a revision and the version grows by one. Edits of unknown notes
+    are ignored.
 
-    An edit that changes nothing is ignored; one that expects another version is a conflict; else the old content
-    becomes a revision and the version grows by one. Of several edits of a note the first by seq counts, the others are
-    conflicts: the version that they were made on has gone.
+    The notes and their edits are sorted by note and replayed as they come; one content is held at a time, however many
+    edits a note has.
     """
-    nth = F.row_number().over(Window.partitionBy("note_id").orderBy("seq"))
-    edits = edits.withColumn("_nth", nth)
-    late = notes.select("note_id", "version").join(edits.where("_nth > 1"), "note_id").select("note_id", "version", "expected_version")
-    both = notes.join(edits.where("_nth = 1"), "note_id", "left")
-    clash = F.col("new_content").isNotNull() & F.col("expected_version").isNotNull() & (F.col("expected_version") != F.col("version"))
-    made = F.col("new_content").isNotNull() & ~F.coalesce(clash, F.lit(False)) & (F.col("new_content") != F.col("content"))
-    out = both.select("note_id", F.when(made, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.when(made, F.col("new_content")).otherwise(F.col("content")).alias("content"))
-    return out, both.where(made).select("note_id", "version", "content"), both.where(clash).select("note_id", "version", "expected_version").unionByName(late)
+    known = notes.select("note_id", F.lit(0).alias("edit"), F.lit(0).cast("long").alias("seq"), F.col("version").cast("long").alias("version"), "content")
+    made = edits.select("note_id", F.lit(1), F.col("seq").cast("long"), F.col("expected_version").cast("long"), "new_content")
+    rows = known.union(made).repartition("note_id").sortWithinPartitions("note_id", "edit", "seq", "version", "content")
+    out = to_arrow_schema(StructType(rows.select("note_id", F.lit("").alias("what"), "version", F.col("version").alias("expected_version"), "content").schema))
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        note, version, content = None, None, None
+        for batch in batches:
+            done = []
+            for key, edit, _, number, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if not edit:
+                    if version is not None:
+                        done.append((note, "note", version, None, content))
+                    note, version, content = key, number, text
+                elif version is None or key != note:
+                    continue
+                elif number is not None and number != version:
+                    done.append((note, "conflict", version, number, None))
+                elif text is not None and text != content:
+                    done.append((note, "revision", version, None, content))
+                    version, content = version + 1, text
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done) if done else [[]] * len(out), out)], schema=out)
+        if version is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((note, "note", version, None, content), out)], schema=out)
+
+    kinds = dict(rows.dtypes)
+    replayed = rows.mapInArrow(replay, f"note_id {kinds['note_id']}, what string, version long, expected_version long, content {kinds['content']}")
+    of = lambda what, *columns: replayed.where(F.col("what") == what).select(*columns)
+    return of("note", "note_id", "version", "content"), of("revision", "note_id", "version", "content"), of("conflict", "note_id", "version", "expected_version")
 
 
 def content_at(notes: DataFrame, revisions: DataFrame, version: int) -> DataFrame:

@@ -26,10 +26,8 @@ def identifier_duplicates(papers: DataFrame) -> DataFrame:
     return both.withColumn("_k", best).where("_k = 1").drop("_p", "_k")
 
 
-def _indel(a: str, b: str) -> float:
-    """100 times the similarity by longest common subsequence."""
-    if not a and not b:
-        return 100.0
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
     # bit-parallel: one word per row of the table
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
@@ -38,64 +36,90 @@ def _indel(a: str, b: str) -> float:
     for ch in b:
         u = s & where.get(ch, 0)
         s = ((s + u) | (s - u)) & mask
-    common = len(a) - s.bit_count()
-    return 200.0 * common / (len(a) + len(b))
+    return len(a) - s.bit_count()
+
 
+def token_set_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """0 to 100: the best of the shared words against either side, and of the two sides, by longest common subsequence.
 
-def token_set_similarity(a: str, b: str) -> float:
-    """0 to 100: the best of the shared words against either side, and of the two sides."""
+    The shared words begin both sides, so against them nothing need be searched, and of the sides only what follows.
+    Below `least` any smaller number may come back.
+    """
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
     shared, left, right = (" ".join(sorted(z)) for z in (x & y, x - y, y - x))
     if shared and (not left or not right):
         return 100.0
-    both_l, both_r = f"{shared} {left}".strip(), f"{shared} {right}".strip()
-    return max(_indel(both_l, both_r), *((_indel(shared, both_l), _indel(shared, both_r)) if shared else (0.0,)))
+    n, gap = len(shared), 1 if shared else 0
+    n_left, n_right = n + gap + len(left), n + gap + len(right)
+    best = 200.0 * n / (n + min(n_left, n_right))
+    if 200.0 * min(n_left, n_right) / (n_left + n_right) > max(best, least - 1e-9):
+        best = max(best, 200.0 * (n + gap + _common(left, right)) / (n_left + n_right))
+    return best
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
+def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_similarity(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([token_set_similarity(p or "", q or "", least) for p, q in zip(x, y, strict=True)], dtype=float)
 
     return ratio(a, b)
 
 
 def _title_words(df: DataFrame) -> DataFrame:
-    """id, title, ws of rows (id, title): the title's distinct words."""
-    return df.select("id", "title", F.array_distinct(F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), 0)).alias("ws"))
+    """k, w of rows (id, title): the distinct words of each title, under a hash of the row."""
+    return df.select(F.xxhash64("id", "title").alias("k"), F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w"))
 
 
 def _rarest(words: DataFrame, df: DataFrame, share: float) -> DataFrame:
-    """id, title, w: of each title its rarest words (df: w, df), as many as it takes so that the others hold less than
+    """k, w, df: of each title its rarest words (df: w, df), as many as it takes so that the others hold less than
     `share` of its characters."""
-    flat = words.select("id", "title", F.explode("ws").alias("w")).join(df, "w", "left")
-    ranked = flat.groupBy("id", "title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
-    total = F.aggregate("ws", F.lit(0), lambda a, x: a + F.length(x["w"]))
-    before = lambda i: F.aggregate(F.slice("ws", 1, i), F.lit(0), lambda a, x: a + F.length(x["w"]))
-    kept = F.filter("ws", lambda x, i: total - before(i) >= share * total)
-    return ranked.select("id", "title", F.explode(F.transform(kept, lambda x: x["w"])).alias("w"))
+    flat = words.join(df, "w", "left").select("k", "w", F.coalesce("df", F.lit(0)).alias("df"), F.length("w").alias("n"))
+    own = Window.partitionBy("k")
+    rest = F.sum("n").over(own.orderBy(F.desc("df"), F.desc("w")))
+    return flat.withColumns({"rest": rest, "total": F.sum("n").over(own)}).where(F.col("rest") >= share * F.col("total")).select("k", "w", "df")
+
+
+#: Words of so many characters or more are met in other spellings too.
+SPELLED = 5
+
+
+def _spellings(word: Column) -> Column:
+    """A word, and if it is long enough what is left of it without each of its characters.
+
+    Two words that differ by one character, changed, left out or put in, share one of these.
+    """
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) >= SPELLED, F.array_distinct(F.concat(F.array(word), less))).otherwise(F.array(word))
 
 
-def title_candidates(left: DataFrame, right: DataFrame, share: float = 0.5) -> DataFrame:
-    """left_id, right_id, left_title, right_title for rows (id, title) whose shared words hold at least `share` of the
-    characters of either title's words.
+def title_candidates(left: DataFrame, right: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """left_id, right_id, left_title, right_title for rows (id, title) that may be alike by `threshold`.
 
-    Each title of either side looks its rarest words up among all words of the other's, as many as it takes: a title
-    that shares so much shares one of these. So no such pair is lost, and a frequent word blocks only what has nothing
-    rarer. Pairs that are alike by spelling alone, with less than that in whole words, are not found.
+    Titles that are so alike share words, whole or misspelt, that hold much of one of them; if the shared words alone make
+    them alike, threshold / (200 - threshold) of its characters. Each title of either side looks its rarest words up among
+    all words of the other's, as many as it takes that it can't share so much without one of these. A word that stands
+    nowhere else, as misspelt ones do, is looked up in any spelling that differs by one character. A frequent word blocks
+    only what has nothing rarer.
     """
+    # a little less, as blanks between words count too
+    share = 0.95 * threshold / (200 - threshold)
     a, b = _title_words(left), _title_words(right)
-    flat = lambda df: df.select("id", "title", F.explode("ws").alias("w"))
-    count = lambda df: flat(df).groupBy("w").agg(F.count("*").alias("df"))
 
     def met(asking: DataFrame, asked: DataFrame) -> DataFrame:
-        keys = _rarest(asking, count(asked), share).select("w", F.col("id").alias("asking_id"), F.col("title").alias("asking_title"))
-        return keys.join(flat(asked).select("w", F.col("id").alias("asked_id"), F.col("title").alias("asked_title")), "w").drop("w")
+        counts = asked.groupBy("w").agg(F.count("*").alias("df"))
+        spelled = F.when(F.col("df") <= 1, _spellings(F.col("w"))).otherwise(F.array("w"))
+        rare = _rarest(asking, counts, share).select(F.explode(spelled).alias("w"), F.col("k").alias("asking"))
+        # spellings of each word are made once; only those that are asked for go on to titles
+        words = counts.select(F.col("w").alias("word"), F.explode(_spellings(F.col("w"))).alias("w"))
+        keys = words.join(rare, "w").select("word", "asking").distinct()
+        return keys.join(asked.select(F.col("w").alias("word"), F.col("k").alias("asked")), "word").select("asking", "asked")
 
-    named = lambda df, x, y: df.select(F.col(f"{x}_id").alias("left_id"), F.col(f"{y}_id").alias("right_id"), F.col(f"{x}_title").alias("left_title"), F.col(f"{y}_title").alias("right_title"))
-    return named(met(a, b), "asking", "asked").unionByName(named(met(b, a), "asked", "asking")).distinct()
+    # rows are known by hashes until here; should two of them ever agree, a pair more is compared
+    pairs = met(a, b).toDF("l", "r").unionByName(met(b, a).toDF("r", "l")).distinct()
+    side = lambda df, s, k: df.select(F.xxhash64("id", "title").alias(k), F.col("id").alias(f"{s}_id"), F.col("title").alias(f"{s}_title")).distinct()
+    return pairs.join(side(left, "left", "l"), "l").join(side(right, "right", "r"), "r").select("left_id", "right_id", "left_title", "right_title")
 
 
 def fuzzy_title_pairs(papers: DataFrame, threshold: float = 92.0, years: int = 2, top: int = 5) -> DataFrame:
@@ -105,8 +129,8 @@ def fuzzy_title_pairs(papers: DataFrame, threshold: float = 92.0, years: int = 2
     own = papers.where(F.length("title_norm") >= 8).select("paper_id", "title_norm", "year")
     nodes = own.groupBy(F.col("title_norm").alias("title"), "year").agg(F.min("paper_id").alias("id"))
     titles = nodes.groupBy("title").agg(F.min("id").alias("id")).select("id", "title")
-    alike = title_candidates(titles, titles).where("left_id < right_id")
-    alike = alike.withColumn("score", token_set_ratio(F.col("left_title"), F.col("right_title"))).where(F.col("score") >= threshold).select("left_title", "right_title", "score")
+    alike = title_candidates(titles, titles, threshold).where("left_id < right_id")
+    alike = alike.withColumn("score", token_set_ratio(F.col("left_title"), F.col("right_title"), threshold)).where(F.col("score") >= threshold).select("left_title", "right_title", "score")
     alike = alike.unionByName(titles.select(F.col("title").alias("left_title"), F.col("title").alias("right_title"), F.lit(100.0).alias("score")))
     side = lambda s: nodes.select(F.col("title").alias(f"{s}_title"), F.col("id").alias(f"{s}_id"), F.col("year").alias(f"{s}_year"))
     pairs = alike.join(side("left"), "left_title").join(side("right"), "right_title")
@@ -151,7 +175,7 @@ def best_match(inputs: DataFrame, candidates: DataFrame, least: float = 78.0) ->
     inputs: (input_id, title); candidates: (candidate_id, title); both normalised.
     """
     spelled = inputs.select("input_id", F.explode(T.clean_title_candidates(F.col("title"))).alias("title"))
-    pairs = title_candidates(spelled.select(F.col("input_id").alias("id"), "title"), candidates.select(F.col("candidate_id").alias("id"), "title"))
+    pairs = title_candidates(spelled.select(F.col("input_id").alias("id"), "title"), candidates.select(F.col("candidate_id").alias("id"), "title"), least)
     pairs = pairs.withColumn("score", token_set_ratio(F.col("left_title"), F.col("right_title")))
     best = pairs.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("b"))
     found = inputs.join(best, F.col("input_id") == F.col("left_id"), "left")
@@ -199,10 +223,10 @@ def merge_search_results(results: DataFrame, threshold: float = 92.0) -> DataFra
     # words are looked up within their query only
     keyed = works.select(F.struct("query_id", "work").alias("id"), plain.alias("title"))
     tagged = lambda df: df.withColumn("title", F.array_join(F.transform(F.split("title", " "), lambda w: F.concat(F.col("id.query_id").cast("string"), F.lit("q"), w)), " "))
-    met = title_candidates(tagged(keyed.where("id.work.late")), tagged(keyed)).select("left_id", "right_id").where("right_id.work < left_id.work AND left_id.query_id = right_id.query_id")
+    met = title_candidates(tagged(keyed.where("id.work.late")), tagged(keyed), threshold).select("left_id", "right_id").where("right_id.work < left_id.work AND left_id.query_id = right_id.query_id")
     titles = keyed.withColumnRenamed("title", "t")
     met = met.join(titles.withColumnsRenamed({"id": "left_id", "t": "left_title"}), "left_id").join(titles.withColumnsRenamed({"id": "right_id", "t": "right_title"}), "right_id")
-    alike = met.where(token_set_ratio(F.col("left_title"), F.col("right_title")) >= threshold)
+    alike = met.where(token_set_ratio(F.col("left_title"), F.col("right_title"), threshold) >= threshold)
     parents = rewritten(alike.groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("parent")))
     while True:  # each step halves the way to the first work of a chain
         above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("higher"))

@@ -110,14 +110,33 @@ def _history(lib):
     return notes, K.apply_edits(notes, edits)
 
 
-@query("k11_apply_edits", "SELECT doc_id AS note_id, 1 + doc_id % 4 + CASE WHEN doc_id % 6 = 0 AND doc_id % 9 <> 0 THEN 1 ELSE 0 END AS version, length(text) + CASE WHEN doc_id % 6 = 0 AND doc_id % 9 <> 0 THEN 6 ELSE 0 END AS n FROM documents")
+#: After up to three edits: the first as above; a second that expects what the first makes; a third that expects nothing.
+_REPLAY = """WITH a AS (SELECT doc_id, 1 + doc_id % 4 AS v, doc_id % 6 = 0 AND doc_id % 9 <> 0 AS first, doc_id % 3 = 0 AND doc_id % 2 = 1 AS clash, doc_id % 5 = 0 AS asks, doc_id % 7 = 0 AS third, text FROM documents)"""
+
+
+def _replayed(lib):
+    notes = lib.table("documents").select(F.col("doc_id").alias("note_id"), (F.col("doc_id") % 4 + 1).alias("version"), F.col("text").alias("content"))
+    first = notes.where("note_id % 3 = 0").selectExpr("note_id", "1 AS seq", "CASE WHEN note_id % 2 = 0 THEN version ELSE 99 END AS expected_version", "CASE WHEN note_id % 9 = 0 THEN content ELSE concat(content, '\n', 'added') END AS new_content")
+    second = notes.where("note_id % 5 = 0").selectExpr("note_id", "2 AS seq", "version + 1 AS expected_version", "'a second text' AS new_content")
+    third = notes.where("note_id % 7 = 0").selectExpr("note_id", "3 AS seq", "CAST(NULL AS LONG) AS expected_version", "'a third one' AS new_content")
+    return K.apply_edits(notes, third.unionByName(first).unionByName(second))
+
+
+@query("k11_apply_edits", _REPLAY + """ SELECT doc_id AS note_id, v + first::INT + (first AND asks)::INT + third::INT AS version,
+  CASE WHEN third THEN 11 WHEN first AND asks THEN 13 WHEN first THEN length(text) + 6 ELSE length(text) END AS n FROM a""")
+def _(lib):
+    return _replayed(lib)[0].select("note_id", "version", F.length("content").cast("long").alias("n"))
+
+
+@query("k11_conflicts", _REPLAY + " SELECT doc_id AS note_id, v AS version, 99 AS expected_version FROM a WHERE clash UNION ALL SELECT doc_id, v, v + 1 FROM a WHERE asks AND NOT first")
 def _(lib):
-    return _history(lib)[1][0].select("note_id", "version", F.length("content").cast("long").alias("n"))
+    return _replayed(lib)[2]
 
 
-@query("k11_conflicts", "SELECT doc_id AS note_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 1")
+@query("k11_revisions", _REPLAY + """ SELECT doc_id AS note_id, v AS version, length(text) AS n FROM a WHERE first UNION ALL SELECT doc_id, v + 1, length(text) + 6 FROM a WHERE first AND asks
+UNION ALL SELECT doc_id, v + first::INT + (first AND asks)::INT, CASE WHEN first AND asks THEN 13 WHEN first THEN length(text) + 6 ELSE length(text) END FROM a WHERE third""")
 def _(lib):
-    return _history(lib)[1][2].select("note_id")
+    return _replayed(lib)[1].select("note_id", "version", F.length("content").cast("long").alias("n"))
 
 
 @query("k12_content_at", "SELECT doc_id AS note_id, sha256(CASE WHEN doc_id % 4 = 1 THEN text ELSE text || chr(10) || 'added' END) AS h FROM documents WHERE doc_id % 4 = 1 OR (doc_id % 4 = 0 AND doc_id % 6 = 0 AND doc_id % 9 <> 0)")

@@ -149,6 +149,29 @@ def test_several_edits_of_a_note(spark):
     assert values(K.apply_edits(now, K.restore(now, revisions, 3))[0], "note_id", "version", "content") == [(1, 5, "a"), (2, 1, "b")]
 
 
+def test_edits_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(7)
+    notes = [(n, int(rng.integers(1, 4)), f"c{rng.integers(3)}") for n in range(30)]
+    edits = [(int(rng.integers(0, 33)), k, [None, *range(1, 9)][rng.integers(9)], [None, "c0", "c1", "c2", "c3"][rng.integers(5)]) for k in range(400)]
+    now, revisions, conflicts = {n: (v, c) for n, v, c in notes}, [], []
+    for n, _, expected, content in edits:
+        if n not in now:
+            continue
+        version, old = now[n]
+        if expected is not None and expected != version:
+            conflicts.append((n, version, expected))
+        elif content is not None and content != old:
+            revisions.append((n, version, old))
+            now[n] = (version + 1, content)
+    found = K.apply_edits(
+        spark.createDataFrame(notes, "note_id long, version long, content string"),
+        spark.createDataFrame(edits[::-1], "note_id long, seq long, expected_version long, new_content string").repartition(3),
+    )
+    assert values(found[0], "note_id", "version", "content") == sorted(((n, v, c) for n, (v, c) in now.items()), key=repr)
+    assert values(found[1], "note_id", "version", "content") == sorted(revisions, key=repr) and values(found[2], "note_id", "version", "expected_version") == sorted(conflicts, key=repr)
+    assert len(revisions) > 40 and len(conflicts) > 40
+
+
 def brute_titles(titles, threshold=92.0):
     return {(a, b) for a in titles for b in titles if a < b and L.token_set_similarity(a, b) >= threshold}
 
@@ -167,6 +190,34 @@ def test_fuzzy_titles_against_brute_force(spark):
     assert best and all(s == 100 for s in best.values())
 
 
+def test_misspelt_titles(spark):
+    """Titles that are alike by spelling alone, most of their words changed by a letter, against all pairs."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), size=int(rng.integers(4, 10))))
+    vocabulary = [word() for _ in range(300)]
+
+    def misspelt(title, n):
+        words = title.split()
+        for k in rng.choice(len(words), size=min(n, len(words)), replace=False):
+            at = int(rng.integers(len(words[k])))
+            words[k] = words[k][:at] + "z" + words[k][at + int(rng.integers(2)) :]
+        return " ".join(words)
+
+    titles = [" ".join(rng.choice(vocabulary, size=int(rng.integers(4, 10)))) for _ in range(120)]
+    titles = sorted({*titles, *(misspelt(t, n) for n in (1, 2, 4) for t in titles)})
+    papers = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "paper_id long, title_norm string, year int")
+    found = {(titles[r["paper_id"]], titles[r["candidate_id"]]) for r in L.fuzzy_title_pairs(papers, top=1000).collect()}
+    want = brute_titles(titles)
+    assert len(want) > 200 and found <= want and len(found) >= 0.95 * len(want)
+    # each misspelt title finds one at least as like as its best
+    asked, known = titles[::3], [t for k, t in enumerate(titles) if k % 3]
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, title string")
+    best = {r["input_id"]: r for r in L.best_match(frame(asked, "input_id"), frame(known, "candidate_id")).collect()}
+    scores = {k: max(L.token_set_similarity(t, u) for u in known) for k, t in enumerate(asked)}
+    likely = [k for k, x in scores.items() if x >= 85]
+    assert len(likely) > 50 and sum(best[k]["reason"] == "matched" and best[k]["score"] == pytest.approx(scores[k], abs=1e-5) for k in likely) >= 0.95 * len(likely)
+
+
 def test_titles_keep_their_years(spark):
     rows = [(1, "long context models", 2010), (2, "long context models", 2020), (3, "long context model", 2021), (4, "long context models", 2020)]
     pairs = L.fuzzy_title_pairs(spark.createDataFrame(rows, "paper_id long, title_norm string, year int"))
