@@ -224,11 +224,13 @@ def leaks_in(texts: list[str | None], items: Items, table: WordTable) -> list[tu
             if s in tried:
                 continue
             tried.add(s)
-            distance = distance_at(item, flat, s, int(ends[d]), most)
-            if distance <= most and (best is None or distance < best[0]):
+            # what is no better than the best so far need not be told apart
+            bound = most if best is None else best[0] - 1
+            if bound < 0:
+                break
+            distance = distance_at(item, flat, s, int(ends[d]), bound)
+            if distance <= bound:
                 best = (distance, s - first)
-                if len(item) > LONG:  # the first block points at the start, others at one moved by edits
-                    break
         if best:
             out.append((d, k, best[1], len(item), best[0]))
     return out
@@ -246,8 +248,7 @@ SCHEMA = "doc_id long, item_id long, first_word long, n_words long, distance lon
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, edits: float = 0.15, bits: int = 2, recall: float = 0.95, block_chars: int = 16_000_000
 ) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, distance: each document's best window for each item that leaks into it; of an
-    item of more than LONG words the window at which its first block found stands.
+    """doc_id, item_id, first_word, n_words, distance: of each item that leaks into a document, the best window found there.
 
     first_word counts the words that have a letter or digit.
     """
