@@ -441,6 +441,25 @@ def test_leaks_of_any_length(n):
     assert all(d % 5 != 4 for d, _ in found) and (n < 20 or found <= want)
 
 
+@pytest.mark.parametrize("n", [20, 60, 300])
+def test_leaks_at_the_edge(n):
+    """Recall where an eighth and the whole allowed share of an item's words are other words."""
+    rng = np.random.default_rng(n + 1)
+    items = decontaminate.make_items([(k, " ".join(words(n, rng))) for k in range(40)], 0.15, 2, 0.95)
+    number = {v: k for k, v in items.number.items()}
+    texts, want = [], {}
+    for k, w in enumerate(items.words):
+        for share in (0.12, 0.15):
+            changed = [number[int(x)] for x in w]
+            for p in rng.choice(n, size=int(share * n), replace=False):
+                changed[p] = "other"
+            want[len(texts), k] = int(share * n)
+            texts.append(" ".join(words(30, rng) + changed + words(30, rng)))
+    found = {(d, k): e for d, k, _, _, e in decontaminate.leaks_in(texts, items, decontaminate.numbered_words(items))}
+    assert len(found.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(found[x] <= want[x] for x in found.keys() & want.keys())
+
+
 def test_edit_distance():
     rng = np.random.default_rng(1)
 
