@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def scan_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """path, size, mtime, sha256 of the files below root; hidden ones and caches are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+def _files(spark: SparkSession, roots: str | list[str], pattern: str) -> DataFrame:
+    """path, size, mtime, content of the files below roots; hidden ones and caches are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(roots)
     files = files.where(~F.col("path").rlike(r"/(\.[^/]+|__MACOSX|node_modules|__pycache__)(/|$)"))
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """path, size, mtime of the files below root, none of which is opened."""
+    return _files(spark, root, pattern).drop("content")
+
+
+def scan_files(spark: SparkSession, root: str | list[str], pattern: str = "*.pdf") -> DataFrame:
+    """path, size, mtime, sha256 of the files below root, all of which are read."""
+    return _files(spark, root, pattern).select("path", "size", "mtime", F.sha2("content", 256).alias("sha256"))
+
+
+def rescan_files(spark: SparkSession, root: str, known: DataFrame, pattern: str = "*.pdf", batch: int = 10_000) -> DataFrame:
+    """As scan_files, but files whose path, size and mtime stand in known (path, size, mtime, sha256) keep its hash unread.
+
+    The paths of the others go to the driver, whose listing holds those of all files anyway, and are read batch by batch.
+    """
+    same = ["path", "size", "mtime"]
+    listed = list_files(spark, root, pattern)
+    found = listed.join(known.select(*same, "sha256"), same)
+    changed = [r["path"] for r in listed.join(known.select(*same), same, "left_anti").select("path").toLocalIterator()]
+    for at in range(0, len(changed), batch):
+        # brackets and the like in names are no patterns
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in changed[at : at + batch]]
+        found = found.unionByName(scan_files(spark, names, pattern))
+    return found
 
 
 def read_corpus(spark: SparkSession, folder: str, name: str) -> DataFrame:

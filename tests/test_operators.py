@@ -16,6 +16,7 @@ from quire.operators import index as I
 from quire.operators import linkage as L
 from quire.operators import retrieval as R
 from quire.operators import word_index as W
+from quire.sources import snapshot
 from quire.streaming import feeds as S
 
 
@@ -292,3 +293,24 @@ def test_gate_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, ref long, created_at timestamp, tokens long").coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
     stream = S.stream_events(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/0").schema, files_per_batch=1)
     assert values(S.drained(S.budget_gate(stream, 12), "append"), "event_id", "admitted") == [(0, True), (1, True), (2, False), (3, False)]
+
+
+def test_rescan_reads_only_what_changed(spark, tmp_path):
+    """Unchanged files are not opened: a content that is swapped behind size and mtime keeps its hash."""
+    import hashlib
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for name, content in (("a.pdf", b"one"), ("b [1].pdf", b"two"), ("sub/c.pdf", b"three"), (".hid/x.pdf", b"no"), ("d.txt", b"no")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    first = spark.createDataFrame(snapshot.scan_files(spark, str(tmp_path)).collect())
+    names = lambda df: {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in df.collect()}
+    assert {k.replace("%20", " ").replace("%5B", "[").replace("%5D", "]"): v for k, v in names(first).items()} == {"a.pdf": sha(b"one"), "b [1].pdf": sha(b"two"), "c.pdf": sha(b"three")}
+    times = os.stat(tmp_path / "a.pdf")
+    (tmp_path / "a.pdf").write_bytes(b"ONE")
+    os.utime(tmp_path / "a.pdf", ns=(times.st_atime_ns, times.st_mtime_ns))
+    (tmp_path / "sub/c.pdf").write_bytes(b"three more")
+    (tmp_path / "e.pdf").write_bytes(b"new")
+    (tmp_path / "b [1].pdf").unlink()
+    found = names(snapshot.rescan_files(spark, str(tmp_path), first, batch=1))
+    assert found == {"a.pdf": sha(b"one"), "c.pdf": sha(b"three more"), "e.pdf": sha(b"new")}
