@@ -101,13 +101,21 @@ def latex_sections(files: DataFrame) -> DataFrame:
     return rows.select("paper_id", "ord", "level", "title", path.alias("section_path"), "body")
 
 
+def braced(depth: int = 12) -> str:
+    """A pattern of what stands between two braces, with pairs of braces nested so deep and escaped ones anywhere."""
+    inner = r"(?:[^{}\\]++|\\.)*+"
+    for _ in range(depth):
+        inner = rf"(?:[^{{}}\\]++|\\.|\{{{inner}\}})*+"
+    return inner
+
+
 def latex_blocks(files: DataFrame) -> DataFrame:
     """paper_id, kind, ord, content, label: equations, captions of figures and tables, and citation keys of TeX files."""
     found = lambda kind, env: F.transform(
         F.regexp_extract_all("content", F.lit(rf"(?s)\\begin\{{({env})\*?\}}(.*?)\\end\{{\1\*?\}}"), 2),
         lambda x, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("ord"),
-            (F.trim(F.regexp_replace(x, r"\\label\{[^}]*\}", "")) if kind == "formula" else F.regexp_extract(x, r"\\caption\{((?:[^{}]|\{[^{}]*\})*)\}", 1)).alias("content"),
+            (F.trim(F.regexp_replace(x, r"\\label\{[^}]*\}", "")) if kind == "formula" else F.regexp_extract(x, rf"\\caption(?:\[[^\]]*\])?\{{({braced()})\}}", 1)).alias("content"),
             F.nullif(F.regexp_extract(x, r"\\label\{([^}]*)\}", 1), F.lit("")).alias("label"),
         ),
     )
@@ -136,7 +144,7 @@ def tabular_to_cells(blocks: DataFrame) -> DataFrame:
 
 def macro_usage(files: DataFrame, most_chars: int = 60) -> tuple[DataFrame, DataFrame]:
     """Short argument-less macros with their use counts, and the files with them expanded, longest name first."""
-    pattern = r"\\(?:newcommand|renewcommand|def)\*?\{?\\([A-Za-z]+)\}?\{((?:[^{}]|\{[^{}]*\})*)\}"
+    pattern = rf"(?s)\\(?:newcommand|renewcommand|def)\*?\{{?\\([A-Za-z]+)\}}?\{{({braced()})\}}"
     names, bodies = F.regexp_extract_all("content", F.lit(pattern), 1), F.regexp_extract_all("content", F.lit(pattern), 2)
     macros = F.filter(F.arrays_zip(names.alias("name"), bodies.alias("body")), lambda m: F.length(m["body"]) <= most_chars)
     held = files.withColumn("macros", F.array_sort(F.transform(macros, lambda m: F.struct((-F.length(m["name"])).alias("k"), m["name"].alias("name"), m["body"].alias("body")))))
@@ -146,6 +154,6 @@ def macro_usage(files: DataFrame, most_chars: int = 60) -> tuple[DataFrame, Data
     )
     expanded = F.aggregate(
         "macros", rest,
-        lambda text, m: F.regexp_replace(text, F.concat(F.lit(r"\\"), m["name"], F.lit(r"(?![A-Za-z])")), F.regexp_replace(m["body"], r"\\", r"\\\\")),
+        lambda text, m: F.regexp_replace(text, F.concat(F.lit(r"\\"), m["name"], F.lit(r"(?![A-Za-z])")), F.regexp_replace(m["body"], r"([\\$])", r"\\$1")),
     )
     return used, held.select("paper_id", expanded.alias("content"))

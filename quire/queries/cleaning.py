@@ -227,14 +227,14 @@ def _tex(lib):
     line = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     n = F.col("doc_id").cast("string")
     tex = F.concat_ws(
-        "\n", line(r"\newcommand{\mac}{M", n, "}"), F.lit(r"% \cite{hidden}"), line(r"\section{S", n, "}"), F.regexp_replace("text", r"[\\%{}&]", " "), line(r"uses \mac and \mac{} here"),
-        line(r"\begin{equation}\label{e", n, "} x = ", n, r" \end{equation}"), line(r"\begin{table}\caption{T", n, r"}\label{t", n, r"}\end{table}"),
+        "\n", line(r"\newcommand{\mac}{M\textbf{x{y{z}}}", n, "}"), F.lit(r"% \cite{hidden}"), line(r"\section{S", n, "}"), F.regexp_replace("text", r"[\\%{}&]", " "), line(r"uses \mac and \mac{} here"),
+        line(r"\begin{equation}\label{e", n, "} x = ", n, r" \end{equation}"), line(r"\begin{table}\caption{T\emph{a {b {c}}}", n, r"}\label{t", n, r"}\end{table}"),
         line(r"\cite{k", (F.col("doc_id") % 7).cast("string"), ", k", (F.col("doc_id") % 5).cast("string"), "}"),
     )
     return lib.table("documents").select(F.col("doc_id").alias("paper_id"), tex.alias("content"))
 
 
-@query("b20_latex_blocks", _TEX + """SELECT doc_id AS paper_id, 'formula' AS kind, 'x = ' || doc_id AS content, 'e' || doc_id AS label FROM d UNION ALL SELECT doc_id, 'table', 'T' || doc_id, 't' || doc_id FROM d
+@query("b20_latex_blocks", _TEX + """SELECT doc_id AS paper_id, 'formula' AS kind, 'x = ' || doc_id AS content, 'e' || doc_id AS label FROM d UNION ALL SELECT doc_id, 'table', 'T' || chr(92) || 'emph{a {b {c}}}' || doc_id, 't' || doc_id FROM d
 UNION ALL SELECT doc_id, 'cite', 'k' || a || ', k' || b, NULL FROM d""")
 def _(lib):
     return C.latex_blocks(_tex(lib)).select("paper_id", "kind", "content", "label")
@@ -255,11 +255,18 @@ def _(lib):
     return C.tabular_to_cells(blocks).select("paper_id", "row", "col", "cell")
 
 
-@query("b22_macro_usage", "SELECT doc_id AS paper_id, 'mac' AS name, 'M' || doc_id AS body, 2 AS n_uses FROM documents")
+@query("b22_macro_usage", "SELECT doc_id AS paper_id, 'mac' AS name, 'M' || chr(92) || 'textbf{x{y{z}}}' || doc_id AS body, 2 AS n_uses FROM documents")
 def _(lib):
     return C.macro_usage(_tex(lib))[0]
 
 
+@query("b22_expanded_text", r"""WITH m AS (SELECT doc_id, 'M\textbf{x{y{z}}}' || doc_id AS m, regexp_replace(text, '[\\%{}&]', ' ', 'g') AS body FROM documents)
+SELECT doc_id AS paper_id, sha256(array_to_string(['', '% \cite{hidden}', '\section{S' || doc_id || '}', body, 'uses ' || m || ' and ' || m || '{} here', '\begin{equation}\label{e' || doc_id || '} x = ' || doc_id || ' \end{equation}',
+  '\begin{table}\caption{T\emph{a {b {c}}}' || doc_id || '}\label{t' || doc_id || '}\end{table}', '\cite{k' || doc_id % 7 || ', k' || doc_id % 5 || '}'], chr(10))) AS sha FROM m""")
+def _(lib):
+    return C.macro_usage(_tex(lib))[1].select("paper_id", F.sha2("content", 256).alias("sha"))
+
+
 @query("b23_citation_edges", _TEX + "SELECT DISTINCT doc_id AS paper_id, unnest(['k' || a, 'k' || b]) AS cite_key FROM d")
 def _(lib):
     return C.citation_edges(C.latex_blocks(_tex(lib)))
