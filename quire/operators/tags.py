@@ -112,18 +112,36 @@ def list_papers(papers: DataFrame, where: Column | None = None, having: DataFram
 def keyset_page(rows: DataFrame, key: Column, key_name: str, key_id: str, limit: int, after: tuple | None = None, descending: bool = True) -> tuple[DataFrame, tuple | None]:
     """A page of rows in the order of (key, id), the cursor of the next one, or None at the end.
 
-    Ties go by id in the same direction, so no row is met twice; the cursor is the last returned row's.
+    Ties go by id in the same direction, so no row is met twice; the cursor is the last returned row's. The page, which is
+    short by its limit, comes to the driver together with the row after it, so the rows are sorted once.
     """
     keyed = rows.withColumn(key_name, key)
+    shown = keyed
     if after is not None:
         k, i = F.lit(after[0]), F.lit(after[1])
         past = (F.col(key_name) < k) | ((F.col(key_name) == k) & (F.col(key_id) < i)) if descending else (F.col(key_name) > k) | ((F.col(key_name) == k) & (F.col(key_id) > i))
-        keyed = keyed.where(past)
+        shown = keyed.where(past)
     order = [F.desc(key_name), F.desc(key_id)] if descending else [F.asc(key_name), F.asc(key_id)]
-    page = keyed.orderBy(*order).limit(limit)
-    # a page is short by its limit: only its last key and the fact of one more row come to the driver
-    ends = keyed.orderBy(*order).limit(limit + 1).select(key_name, key_id).collect()
-    return page, (tuple(ends[limit - 1]) if len(ends) > limit else None)
+    found = shown.orderBy(*order).limit(limit + 1).collect()
+    cursor = (found[limit - 1][key_name], found[limit - 1][key_id]) if len(found) > limit else None
+    return rows.sparkSession.createDataFrame(found[:limit], keyed.schema), cursor
+
+
+#: Orders of a list of papers: their key over the columns of papers, and whether it goes down.
+SORTS = {
+    "title": (lambda: F.coalesce("title", F.lit("")), False),
+    "year": (lambda: F.coalesce("year", F.lit(-1)), True),
+    "year_asc": (lambda: F.coalesce("year", F.lit(-1)), False),
+    "added": (lambda: F.col("paper_id"), True),
+}
+
+
+def list_page(papers: DataFrame, sort: str = "added", limit: int = 50, after: tuple | None = None, **filters) -> tuple[DataFrame, tuple | None, int]:
+    """A page of list_papers(papers, **filters) in one of SORTS (added if unknown), the next cursor, and how many there are."""
+    rows = list_papers(papers, **filters)
+    key, descending = SORTS.get(sort, SORTS["added"])
+    page, cursor = keyset_page(rows, key(), "sort_key", "paper_id", limit, after, descending)
+    return page, cursor, rows.count()
 
 
 def filter_options(papers: DataFrame, most: int = 200) -> DataFrame:
@@ -140,10 +158,11 @@ def paper_detail(papers: DataFrame, pairs: DataFrame, notes: DataFrame) -> DataF
     return papers.join(t, "paper_id", "left").join(n, "paper_id", "left")
 
 
-def update_rows(base: DataFrame, patches: DataFrame, key: str, allowed: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def update_rows(base: DataFrame, patches: DataFrame, key: str, allowed: dict[str, Column], derived: dict[str, tuple[str, Column]] | None = None) -> tuple[DataFrame, DataFrame]:
     """base with valid patches (key, seq, column, value) applied, and the rejected patches.
 
     allowed: column -> condition over `value` that makes it valid. Of several patches of a column the last by seq wins.
+    derived: column -> the column that it follows, and its value over the new row where that has changed.
     """
     valid = F.lit(False)
     for c, ok in allowed.items():
@@ -151,8 +170,26 @@ def update_rows(base: DataFrame, patches: DataFrame, key: str, allowed: dict[str
     valid = F.coalesce(valid, F.lit(False))
     wide = patches.where(valid).groupBy(key).agg(*(F.max_by("value", F.when(F.col("column") == c, F.col("seq"))).alias(f"_{c}") for c in allowed))
     out = base.join(wide, key, "left")
-    out = out.withColumns({c: F.coalesce(F.col(f"_{c}").cast(base.schema[c].dataType), F.col(c)) for c in allowed}).select(*base.columns)
-    return out, patches.where(~valid)
+    changed = {f"_changed_{c}": ~F.coalesce(F.col(f"_{c}").cast(base.schema[c].dataType), F.col(c)).eqNullSafe(F.col(c)) for c in allowed}
+    out = out.withColumns(changed).withColumns({c: F.coalesce(F.col(f"_{c}").cast(base.schema[c].dataType), F.col(c)) for c in allowed})
+    for c, (source, value) in (derived or {}).items():
+        out = out.withColumn(c, F.when(F.col(f"_changed_{source}"), value).otherwise(F.col(c)))
+    return out.select(*base.columns), patches.where(~valid)
+
+
+def apply_lifecycle(papers: DataFrame, notes: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """papers and notes after actions (paper_id, seq, action of delete, restore or purge).
+
+    The last of delete and restore sets `deleted`; a purged paper goes for good, whatever comes later, and its notes stay
+    without a paper. Actions on unknown papers and unknown actions do nothing.
+    """
+    known = actions.where("action IN ('delete', 'restore', 'purge')").groupBy("paper_id")
+    last = known.agg(F.max_by("action", F.when(F.col("action") != "purge", F.col("seq"))).alias("_last"), F.bool_or(F.col("action") == "purge").alias("_purged"))
+    met = papers.join(last, "paper_id", "left").where("NOT coalesce(_purged, false)")
+    deleted = F.when(F.col("_last").isNull(), F.col("deleted")).otherwise(F.col("_last") == "delete")
+    gone = papers.select("paper_id").join(last.where("_purged").select("paper_id"), "paper_id", "left_semi").distinct().withColumn("_gone", F.lit(True))
+    freed = notes.join(gone, "paper_id", "left").withColumn("paper_id", F.when(F.col("_gone"), None).otherwise(F.col("paper_id")))
+    return met.withColumn("deleted", deleted).select(*papers.columns), freed.select(*notes.columns)
 
 
 def top_by_dimension(pairs: DataFrame, tags: DataFrame, live: DataFrame, most: int = 8) -> DataFrame:

@@ -151,9 +151,14 @@ def _(lib):
     return C.profile_text(lib.queries, "query").select("query_id", "is_cjk", "cjk_run", F.array_join("terms", " ").alias("terms"))
 
 
-@query("b10_cjk_ngrams")
+@query("b10_cjk_ngrams", """SELECT doc_id, list_distinct_in_order AS grams FROM (SELECT doc_id, list_filter(g, lambda x, i: list_position(g, x) = i) AS list_distinct_in_order FROM (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['图神经', '神经网', '经网络'] WHEN 1 THEN ['图神经', '神经网', '经网络', '学习'] WHEN 2 THEN ['学习', '图神经', '神经网', '经网络'] ELSE [] END AS g FROM documents))""")
 def _(lib):
-    return lib.table("documents").select("doc_id", F.size(T.cjk_ngrams(F.col("text"))).alias("n_grams"))
+    """Each text with runs of Chinese before, behind or at both ends."""
+    run, short = F.lit("图神经网络"), F.lit("学习")
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(run, "text", run)).when(k == 1, F.concat(run, F.lit(" "), "text", short)).when(k == 2, F.concat(short, "text", run, F.lit("，"), short)).otherwise(F.col("text"))
+    return lib.table("documents").select("doc_id", T.cjk_ngrams(text).alias("grams"))
 
 
 @query(
@@ -213,9 +218,12 @@ def _(lib):
     return lib.table("documents").select("doc_id", T.classify_paper(title, text).alias("kind"))
 
 
-@query("b17_repo_links")
+@query("b17_repo_links", r"""SELECT page_id, ['https://github.com/' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || '/' || page_id, 'https://gitlab.com/x/y-' || page_id] AS links FROM pages""")
 def _(lib):
-    return lib.table("pages").select("page_id", F.size(T.repo_links(F.concat(F.lit("https://github.com/"), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), "page_id", F.lit(" "), "html"))).alias("n_links"))
+    """Each page behind two links to its repository, one to another, and one to pages inside."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    text = F.concat(F.lit("HTTP://github.com/"), host, F.lit("/"), "page_id", F.lit(".git, see https://gitlab.com/x/y-"), "page_id", F.lit(") https://github.com/"), host, F.lit("/"), "page_id", F.lit("/tree https://github.com/x/blob "), "html")
+    return lib.table("pages").select("page_id", T.repo_links(text).alias("links"))
 
 
 _TEX = """WITH d AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 5 AS b FROM documents)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions.text import normalize_title
 from quire.operators import tags as T
 from quire.queries.registry import registry
 from quire.views import with_views
@@ -129,6 +130,16 @@ def _(lib):
     return T.keyset_page(lib.live, key, "k", "paper_id", 25, cursor)[0].select("paper_id", "k")
 
 
+@query("i13_list_page", with_views("live notes", """r AS (SELECT paper_id, coalesce(year, -1) AS sort_key FROM live WHERE venue IS NOT NULL AND paper_id IN (SELECT paper_id FROM notes)),
+k AS (SELECT *, row_number() OVER (ORDER BY sort_key, paper_id) AS n, count(*) OVER () AS total FROM r) SELECT paper_id, sort_key, total FROM k WHERE n > 10 AND n <= 20"""))
+def _(lib):
+    """The second page of ten, from the oldest year, and the number of all."""
+    filters = {"where": F.col("venue").isNotNull(), "having": lib.notes}
+    _, cursor, total = T.list_page(lib.papers, "year_asc", 10, **filters)
+    page, _, _ = T.list_page(lib.papers, "year_asc", 10, cursor, **filters)
+    return page.select("paper_id", "sort_key", F.lit(total).cast("long").alias("total"))
+
+
 @query("i15_list_notes", with_views("notes", "SELECT note_id FROM notes WHERE kind = 'manual' OR paper_id IS NULL"))
 def _(lib):
     return lib.notes.where("kind = 'manual' OR paper_id IS NULL").select("note_id")
@@ -158,6 +169,34 @@ def _(lib):
     return T.update_rows(lib.papers.select("paper_id", "year", "venue"), _patches(lib), "paper_id", allowed)[0]
 
 
+@query("i18_derived_title", with_views("papers", """SELECT paper_id, CASE WHEN paper_id % 6 = 0 THEN 'A New, Title: ' || paper_id ELSE title END AS title,
+  CASE WHEN paper_id % 6 = 0 THEN 'a new title ' || paper_id ELSE title_norm END AS title_norm FROM papers"""))
+def _(lib):
+    """Changed titles take their normalised form along; a patch that changes nothing doesn't."""
+    rows = lib.papers.select("paper_id", "title", "title_norm")
+    new = F.when(F.col("paper_id") % 6 == 0, F.concat(F.lit("A New, Title: "), "paper_id")).otherwise(F.col("title"))
+    patches = rows.where("paper_id % 3 = 0").select("paper_id", F.lit(1).alias("seq"), F.lit("title").alias("column"), new.alias("value"))
+    return T.update_rows(rows, patches, "paper_id", {"title": F.col("value").isNotNull()}, {"title_norm": ("title", normalize_title(F.col("title")))})[0]
+
+
+_ACTIONS = "CASE paper_id % 10 WHEN 0 THEN array('delete', 'restore') WHEN 1 THEN array('restore', 'delete') WHEN 2 THEN array('purge') WHEN 3 THEN array('purge', 'restore') WHEN 4 THEN array('other') ELSE array() END"
+
+
+def _lifecycle(lib):
+    actions = lib.papers.select("paper_id", F.posexplode(F.expr(_ACTIONS)).alias("seq", "action"))
+    return T.apply_lifecycle(lib.papers.select("paper_id", "deleted"), lib.notes.select("note_id", "paper_id"), actions)
+
+
+@query("i18_lifecycle", with_views("papers", "SELECT paper_id, CASE paper_id % 10 WHEN 0 THEN false WHEN 1 THEN true ELSE deleted END AS deleted FROM papers WHERE paper_id % 10 NOT IN (2, 3)"))
+def _(lib):
+    return _lifecycle(lib)[0]
+
+
+@query("i18_freed_notes", with_views("notes", "SELECT note_id, CASE WHEN paper_id % 10 IN (2, 3) THEN NULL ELSE paper_id END AS paper_id FROM notes"))
+def _(lib):
+    return _lifecycle(lib)[1]
+
+
 @query("i18_rejected_patches", "SELECT doc_id AS paper_id FROM documents WHERE doc_id % 16 = 0")
 def _(lib):
     allowed = {"year": F.col("value").rlike(r"^\d{4}$"), "venue": F.length("value") < 100}
