@@ -58,10 +58,14 @@ WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner "
     "nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars sidenav footer masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup login signin search searchbox searchform form "
-    "comment comments commentlist commentary respond reply replies disqus share sharing sharebar social related recommended recommendations "
-    "popup popups modal overlay widget widgets pagination pager paging copyright disclaimer skiplink".split()
+    "comment comments respond reply replies disqus share sharing sharebar social related recommended recommendations "
+    "popup popups modal overlay widget widgets pagination pager paging copyright disclaimer announcement skiplink teaser teasers trending feedback".split()
 )
-OF_HEADERS = frozenset("header masthead banner topbar".split())
+#: Stems of words that are written as one, such as cookiebanner or topnav.
+STEMS = re.compile(r"(?:cookie|advert|sponsor|newsletter|comments?(?!ar)|sidebar|footer|navbar|breadcrumb|subscri|disqus)\w*|\w+(?:nav|footer|sidebar|comments|banner|menu)")
+OF_HEADERS = frozenset("header masthead banner topbar siteheader pageheader".split())
+#: What a block of reader comments is headed by.
+COMMENT_HEADS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments|responses|replies|kommentare|commentaires|comentarios|leave a (?:comment|reply))\b", re.I)
 #: Words beside those that say that a class speaks of the article itself or only of its layout.
 OF_ARTICLES = frozenset("article post entry content story body title".split())
 LAYOUT = frozenset("with has no without".split())
@@ -94,7 +98,7 @@ def described(tag: str, attributes: str) -> tuple[str, str]:
         words = {w.lower() for w in _NAME.findall(name)}
         if words & OF_HEADERS and not words & OF_ARTICLES:
             return key, "head"
-        if words & WORDS - OF_HEADERS and not words & LAYOUT:
+        if (words & WORDS - OF_HEADERS or any(map(STEMS.fullmatch, words - OF_HEADERS))) and not words & LAYOUT:
             return key, "soft"
     if tag == "form" or role == "form":
         return key, "soft"
@@ -181,7 +185,8 @@ def _goes(x: Node, inside: bool) -> bool:
     titled = inside and x.heading < 9
     # a list of links outside the article is a menu
     menu = not inside and not x.article and x.role not in ("article", "main") and x.links > 1 and 10 * x.linked >= 9 * len("".join(x.text.split()))
-    return menu or (x.role == "header" and not titled) or (x.role == "head" and not (titled or x.article)) or (x.role == "soft" and not (x.article or x.heading == 1))
+    comments = 1 < x.heading < 9 and x.tag not in HEADINGS and not x.article and COMMENT_HEADS.match(x.text) is not None
+    return menu or comments or (x.role == "header" and not titled) or (x.role == "head" and not (titled or x.article)) or (x.role == "soft" and not (x.article or x.heading == 1))
 
 
 def _weigh(node: Node, inside: bool) -> None:

@@ -51,6 +51,10 @@ ODD = {
     "<article>short</article><div>" + "much longer text " * 5 + "</div>": "short " + " ".join(["much longer text"] * 5),
     "<article>the whole long article</article><div>teaser</div>": "the whole long article",
     "<div><div></p></div></section>text</b>": "text",
+    "<div id=header>Site</div><div id=mainContent><h2>T</h2><p>x</p></div><div class=cookiebanner>c</div><div class=topnav>n</div><div id=siteFooter>f</div>": "T x",
+    "<article><h1>T</h1><p>x</p></article><section><h3>3 Comments</h3><p>so long a comment that it outweighs the article by far</p></section>": "T x",
+    "<p>x</p><section><h2>Commentary on law</h2><p>y</p></section>": "x Commentary on law y",
+    "<div class=post><div class=post-header><h1>T</h1></div><p>x</p></div>": "T x",
     "<p": "<p",
     "": "",
 }
