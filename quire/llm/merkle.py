@@ -76,20 +76,31 @@ def _joined(digests: Column) -> Column:
 def _levels(nodes: DataFrame, largest: int, name: str) -> list[DataFrame]:
     """Stored runs of all levels above nodes (tree, place, digest, n, climbs): (tree, level, run, n, digests, digest, climbs).
 
-    largest: the most nodes that a tree has. climbs: how many rows of the climb start below.
+    largest: the most nodes that a tree has. climbs: how many rows of the climb come by, summed up.
     """
     levels = []
     while largest > 1:
         runs = nodes.where("n > 1").groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("run_nodes"), F.sum("climbs").alias("climbs"))
-        runs = runs.select("tree", F.lit(len(levels)).alias("level"), "run", "n", F.col("run_nodes.digest").alias("digests"), F.greatest("climbs", F.lit(1)).alias("climbs"))
+        runs = runs.select("tree", F.lit(len(levels)).alias("level"), "run", "n", F.col("run_nodes.digest").alias("digests"), "climbs")
         levels.append(stored(runs.withColumn("digest", _joined(F.col("digests"))), f"{name}-{len(levels)}"))
         nodes = levels[-1].select("tree", F.col("run").alias("place"), "digest", F.ceil(F.col("n") / FAN).alias("n"), "climbs")
         largest = -(-largest // FAN)
     return levels
 
 
-def _linked(runs: DataFrame, places: DataFrame | None) -> DataFrame:
-    """Runs with the place of their parent: in the next level, or among the subroots, or null at the root.
+def _below(level: int) -> int:
+    """Copies of a run of a group's tree: so many rows climb by it that one serves ASKED of them."""
+    return max(1, FAN**level // ASKED)
+
+
+def _counted(climbs: str) -> Column:
+    """Copies of a run above the subroots, where groups of all sizes meet."""
+    return F.ceil(F.col(climbs) / ASKED)
+
+
+def _linked(runs: DataFrame, places: DataFrame | None, level: int) -> DataFrame:
+    """Runs of a level with the place of their parent (in the next level, or among the subroots, or null at the root) and
+    the copies of the run that it stands in.
 
     places: (tree, top_place, top_copies) of the subroots, None for the runs above the subroots themselves.
     """
@@ -102,6 +113,7 @@ def _linked(runs: DataFrame, places: DataFrame | None) -> DataFrame:
         "up_tree": F.when(inside, F.col("tree")).when(over, F.lit(TOP)),
         "up_level": F.when(inside, F.col("level") + 1).when(over, F.lit(0)),
         "up_place": F.when(inside, F.col("run")).otherwise(F.col("top_place")),
+        "copies": F.when(inside, F.lit(_below(level + 1)).cast("long")).otherwise(F.col("top_copies")),
     }
     return runs.withColumns(up)
 
@@ -136,31 +148,35 @@ def merkle_manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame
     trees = stored(trees, "merkle-trees")
     largest, groups = trees.agg(F.max("n"), F.count("*")).first()
     leaves = ranked.join(trees, "tree").withColumn("place", F.col("rank") - F.col("first_rank"))
-    # the leaves of a run climb in one row, which counts from the first level on
-    low = _levels(leaves.select("tree", "place", F.col("leaf").alias("digest"), "n", F.lit(0).alias("climbs")), largest or 0, "merkle-nodes")
+    low = _levels(leaves.select("tree", "place", F.col("leaf").alias("digest"), "n", F.lit(1).cast("long").alias("climbs")), largest or 0, "merkle-nodes")
 
     # the subroots, and the levels above them
     of_one = leaves.where("n = 1").select("tree", F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("climbs"))
+    # the leaves of a run climb in one row, so this counts up to eight times the rows
     subroots = of_one
     for level in low:
         subroots = subroots.unionByName(level.where(F.col("n") <= FAN).select("tree", "digest", "climbs"))
     top_nodes, _ = _placed(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("group"), "digest", "climbs"), ["group"], "merkle-subroots")
     top_nodes = stored(top_nodes.select("tree", "group", F.col("rank").alias("place"), "digest", F.lit(groups).cast("long").alias("n"), "climbs"), "merkle-tops")
     high = _levels(top_nodes, groups, "merkle-tops")
-    copies = F.ceil(F.col("climbs") / ASKED)
     places = top_nodes.where("n > 1").select(F.col("group").alias("tree"), F.col("place").alias("top_place"))
     if high:
-        places = places.join(high[0].select(F.col("run").alias("top_run"), copies.alias("top_copies")), F.expr(f"top_place DIV {FAN}") == F.col("top_run")).drop("top_run")
+        places = places.join(high[0].select(F.col("run").alias("top_run"), _counted("climbs").alias("top_copies")), F.expr(f"top_place DIV {FAN}") == F.col("top_run")).drop("top_run")
     else:
         places = places.withColumn("top_copies", F.lit(1).cast("long"))
-    schema = "tree string, level int, run long, digests array<string>, digest string, climbs long, up_tree string, up_level int, up_place long"
+    schema = "tree string, level int, run long, digests array<string>, digest string, up_tree string, up_level int, up_place long, copies long, own long"
     runs = spark.createDataFrame([], schema)
-    for level, above in [*((x, places) for x in low), *((x, None) for x in high)]:
-        runs = runs.unionByName(_linked(level, above).select(*runs.columns))
-    # with the number of copies of the run that the parent stands in
-    sizes = runs.select(F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("run").alias("up_run"), copies.alias("copies"))
-    sized = runs.withColumn("up_run", F.expr(f"up_place DIV {FAN}")).join(sizes, ["up_tree", "up_level", "up_run"], "left").drop("up_run")
-    runs = stored(sized.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))), "merkle-runs")
+    # the climb starts above the first level
+    for k, level in list(enumerate(low))[1:]:
+        linked = _linked(level, places, k).withColumn("own", F.lit(_below(k)).cast("long"))
+        runs = runs.unionByName(linked.select(*runs.columns))
+    for k, level in enumerate(high):
+        linked = _linked(level, None, k).withColumn("own", _counted("climbs"))
+        if k + 1 < len(high):
+            above = high[k + 1].select(F.col("run").alias("up_run"), _counted("climbs").alias("up_copies"))
+            linked = linked.join(above, F.expr(f"up_place DIV {FAN}") == F.col("up_run"), "left").withColumn("copies", F.col("up_copies"))
+        runs = runs.unionByName(linked.select(*runs.columns))
+    runs = stored(runs.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))).drop("own"), "merkle-runs")
 
     # a row per run of leaves; a leaf alone in its group stands among the subroots at once
     base = leaves.groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "id", "leaf", "found"))).alias("held"))
@@ -168,11 +184,8 @@ def merkle_manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame
     fold = lambda m, i: F.when(F.col("n") == 1, m["found"]).otherwise(_joined(F.transform(digests, lambda x, k: F.when(k == i, m["found"]).otherwise(x))))
     members = F.transform("held", lambda m, i: F.struct(m["id"].alias("id"), m["leaf"].alias("leaf"), fold(m, i).alias("fold")))
     digest = F.when(F.col("n") == 1, digests[0]).otherwise(_joined(digests))
-    base = _linked(base.withColumn("level", F.lit(0)), places)
-    # the run of the parent holds as many rows of the climb as it has nodes
-    above = F.least(F.lit(FAN), F.ceil(F.col("n") / FAN) - FAN * F.expr(f"run DIV {FAN}"))
-    copies = F.when(F.col("n") > FAN, F.ceil(above / ASKED)).otherwise(F.col("top_copies"))
-    base = base.select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), copies.alias("copies"), digest.alias("digest"))
+    base = _linked(base.withColumn("level", F.lit(0)), places, 0)
+    base = base.select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), "copies", digest.alias("digest"))
 
     found = _climb(base, runs).withColumn("digests", F.col("members.leaf")).select("*", F.posexplode("members").alias("i", "m"))
     proof = F.concat(F.array_join(F.filter("digests", lambda x, k: k != F.col("i")), ""), "proof")
