@@ -32,8 +32,8 @@ def _sections_sql() -> str:
     path = ", ".join(title(k) for k in range(1, I.LEVELS + 1))
     return f"""l AS (SELECT paper_id, ord, page_from AS page, trim(CASE WHEN is_section_start THEN (SELECT {_NUMBER} FROM (SELECT ord // 10 AS s)) || ' Part ' || ord ELSE text END) AS line FROM chunks),
 m AS (SELECT *, regexp_extract(line, '{I.NUMBERED}', ['num', 'roman', 'letter', 'title']) AS g, length(line) <= 110 AND NOT regexp_matches(line, '{I.NOISE}') AS fits FROM l),
-h AS (SELECT *, fits AND g.title <> '' AS numbered, ends_with(g.title, '.') AND len(regexp_extract_all(g.title, '\S+')) > 8 AS sentence,
-  fits AND g.title = '' AND regexp_replace(lower(line), ':+$', '') IN ({known}) AND len(regexp_extract_all(line, '\S+')) <= 6 AS known FROM m),
+h AS (SELECT *, fits AND g.title <> '' AS numbered, ends_with(g.title, '.') AND len(regexp_extract_all(g.title, '\\S+')) > 8 AS sentence,
+  fits AND g.title = '' AND regexp_replace(lower(line), ':+$', '') IN ({known}) AND len(regexp_extract_all(line, '\\S+')) <= 6 AS known FROM m),
 heads AS (SELECT paper_id, ord, page, CASE WHEN known THEN 1 WHEN g.num <> '' THEN len(string_split(g.num, '.')) WHEN g.roman <> '' THEN 1 ELSE 2 END AS level,
   CASE WHEN known THEN line WHEN g.num <> '' THEN g.num || ' ' || trim(g.title) ELSE trim(g.title) END AS title FROM h WHERE known OR numbered AND NOT sentence)
 SELECT paper_id, level, title, page, concat_ws(' > ', {path}) AS section_path FROM heads WINDOW w AS (PARTITION BY paper_id ORDER BY ord)"""
