@@ -118,15 +118,15 @@ def _linked(runs: DataFrame, places: DataFrame | None, level: int) -> DataFrame:
     return runs.withColumns(up)
 
 
-#: Climbs with all leaves of a run at once. {base}: what climb holds at the start; {runs}: the stored node rows.
+#: Climbs with all leaves of a run at once, carrying digests as bytes. {base}: what climb holds at the start; {runs}: the stored node rows.
 CLIMB = """
 WITH RECURSIVE climb(members, proof, up_tree, up_level, up_place, spread, copies, subroot, digest) AS (
   SELECT members, proof, up_tree, up_level, up_place, spread, copies, CAST(NULL AS STRING), digest FROM {base}
   UNION ALL
   SELECT
     transform(c.members, m -> named_struct('id', m.id, 'leaf', m.leaf,
-      'fold', sha2(concat(array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), m.fold, array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')), 256))),
-    concat(c.proof, array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')),
+      'fold', unhex(sha2(concat(array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), lower(hex(m.fold)), array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')), 256)))),
+    concat(c.proof, unhex(concat(array_join(slice(r.digests, 1, CAST(c.up_place % {fan} AS INT)), ''), array_join(slice(r.digests, CAST(c.up_place % {fan} + 2 AS INT), {fan}), '')))),
     r.up_tree, r.up_level, r.up_place, c.spread, r.copies,
     CASE WHEN c.up_tree = '{top}' AND c.up_level = 0 THEN r.digests[CAST(c.up_place % {fan} AS INT)] ELSE c.subroot END,
     r.digest
@@ -182,17 +182,18 @@ def merkle_manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame
     base = leaves.groupBy("tree", "n", F.expr(f"place DIV {FAN}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "id", "leaf", "found"))).alias("held"))
     digests = F.col("held.leaf")
     fold = lambda m, i: F.when(F.col("n") == 1, m["found"]).otherwise(_joined(F.transform(digests, lambda x, k: F.when(k == i, m["found"]).otherwise(x))))
-    members = F.transform("held", lambda m, i: F.struct(m["id"].alias("id"), m["leaf"].alias("leaf"), fold(m, i).alias("fold")))
+    members = F.transform("held", lambda m, i: F.struct(m["id"].alias("id"), F.unhex(m["leaf"]).alias("leaf"), F.unhex(fold(m, i)).alias("fold")))
     digest = F.when(F.col("n") == 1, digests[0]).otherwise(_joined(digests))
     base = _linked(base.withColumn("level", F.lit(0)), places, 0)
-    base = base.select(members.alias("members"), F.lit("").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), "copies", digest.alias("digest"))
+    base = base.select(members.alias("members"), F.lit(b"").alias("proof"), "up_tree", "up_level", "up_place", F.col("run").alias("spread"), "copies", digest.alias("digest"))
 
-    found = _climb(base, runs).withColumn("digests", F.col("members.leaf")).select("*", F.posexplode("members").alias("i", "m"))
-    proof = F.concat(F.array_join(F.filter("digests", lambda x, k: k != F.col("i")), ""), "proof")
-    folded = F.col("m.fold")
+    text = lambda c: F.lower(F.hex(c))
+    found = _climb(base, runs).withColumn("digests", F.transform("members.leaf", text)).select("*", F.posexplode("members").alias("i", "m"))
+    proof = F.concat(F.array_join(F.filter("digests", lambda x, k: k != F.col("i")), ""), text(F.col("proof")))
+    folded = text(F.col("m.fold"))
     released(*low, *high, top_nodes, runs)
     return found.select(
-        F.col("m.id").alias("doc_id"), F.col("m.leaf").alias("leaf"), "subroot", "root", proof.alias("proof"), F.sha2(proof, 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified")
+        F.col("m.id").alias("doc_id"), text(F.col("m.leaf")).alias("leaf"), "subroot", "root", proof.alias("proof"), F.sha2(proof, 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified")
     )
 
 
