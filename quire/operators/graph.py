@@ -20,6 +20,13 @@ def normalize_entity(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
+def normalize_words(text: Column) -> Column:
+    """normalize_entity of each run of \\S of a text, in one pass over it."""
+    # a mark stands for what is neither letter, digit nor white space, so that words stay as many as they are
+    marked = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", "\u0001")
+    return F.transform(F.regexp_extract_all(marked, F.lit(r"\S+"), 0), lambda w: F.trim(F.replace(w, F.lit("\u0001"), F.lit(" "))))
+
+
 def is_useful(norm: Column) -> Column:
     return (F.length(norm) >= 3) & ~norm.isin(*GENERIC)
 
@@ -29,10 +36,13 @@ def build_entities(raw: DataFrame) -> DataFrame:
 
     An alias never joins two entities: a double is better than a wrong merge.
     """
-    rows = raw.withColumn("norm", normalize_entity(F.col("name"))).where(is_useful(F.col("norm")))
-    # counted and deduplicated before anything moves: a frequent name is one row per task
-    named = rows.groupBy("norm").agg(F.min(F.struct("seq", "name", "type")).alias("f"), F.count("*").alias("n"))
-    aliases = rows.select("norm", F.explode("aliases").alias("a")).distinct().groupBy("norm").agg(F.sort_array(F.collect_list("a")).alias("aliases"))
+    norm = normalize_entity(F.col("name")).alias("norm")
+    # spellings are counted before they are normalised and before anything moves: a frequent one is one row per task; a
+    # filter on what an explode makes isn't evaluated below the count
+    spelt = raw.groupBy("name", "type").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).select("*", F.explode(F.array(norm)).alias("norm"))
+    named = spelt.where(is_useful(F.col("norm"))).groupBy("norm").agg(F.min(F.struct("seq", "name", "type")).alias("f"), F.sum("n").alias("n"))
+    aliased = raw.where(F.size("aliases") > 0).select(norm, F.explode("aliases").alias("a")).where(is_useful(F.col("norm")))
+    aliases = aliased.distinct().groupBy("norm").agg(F.sort_array(F.collect_list("a")).alias("aliases"))
     return named.join(aliases, "norm", "left").select(
         "norm", F.col("f.name").alias("name"), F.col("f.type").alias("type"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "n", F.col("f.seq").alias("seq")
     )
@@ -47,12 +57,23 @@ def alias_map(entities: DataFrame) -> DataFrame:
 
 def build_relations(raw: DataFrame, entities: DataFrame) -> DataFrame:
     """src, dst, type, weight, evidence from raw relations (note_id, src, dst, type, quote); unresolved, empty and self
-    edges are dropped. Evidence holds the first 20 quotes in order, weight counts all."""
+    edges are dropped. Evidence holds the first 20 quotes in order, weight counts all. raw may bring a and b, which are
+    src and dst normalised."""
     keys = rewritten(alias_map(entities))  # looked up four times
-    rows = raw.where("src IS NOT NULL AND dst IS NOT NULL AND type IS NOT NULL AND trim(quote) <> ''")
-    rows = rows.select(normalize_entity(F.col("src")).alias("a"), normalize_entity(F.col("dst")).alias("b"), "type", "note_id", F.substring("quote", 1, 500).alias("quote"))
+    rows = raw.where("src IS NOT NULL AND dst IS NOT NULL AND type IS NOT NULL")
+    if "a" not in raw.columns:
+        rows = rows.select("*", F.inline(F.array(F.struct(normalize_entity(F.col("src")).alias("a"), normalize_entity(F.col("dst")).alias("b")))))
+    rows = rows.where("a <> b")
+    # only an alias can be a key that is no useful name, or stand for another one
+    if keys.where(~is_useful(F.col("key"))).isEmpty():
+        rows = rows.where(is_useful(F.col("a")) & is_useful(F.col("b")))
+    rows = rows.where("trim(quote) <> ''").select("a", "b", "type", "note_id", F.substring("quote", 1, 500).alias("quote"))
+    own = keys.where("key <> norm").isEmpty()
 
     def resolved(df: DataFrame) -> DataFrame:
+        if own:
+            df = df.join(keys.select(F.col("key").alias("a")), "a", "left_semi").join(keys.select(F.col("key").alias("b")), "b", "left_semi")
+            return df.withColumnsRenamed({"a": "src", "b": "dst"})
         src = df.join(keys.select(F.col("key").alias("a"), F.col("norm").alias("src")), "a")
         return src.join(keys.select(F.col("key").alias("b"), F.col("norm").alias("dst")), "b").where("src <> dst").drop("a", "b")
 
@@ -61,8 +82,10 @@ def build_relations(raw: DataFrame, entities: DataFrame) -> DataFrame:
         return df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("note_id", "quote"))).where("k <= 20").drop("k")
 
     # names are counted before they are resolved, so that a frequent pair moves as one row per task
-    weights = resolved(rows.groupBy("a", "b", "type").agg(F.count("*").alias("n"))).groupBy("src", "dst", "type").agg(F.sum("n").alias("weight"))
-    quotes = first(resolved(first(rows, "a", "b", "type")), "src", "dst", "type")
+    weights = resolved(rows.groupBy("a", "b", "type").agg(F.count("*").alias("weight")))
+    quotes = resolved(first(rows, "a", "b", "type"))
+    if not own:
+        weights, quotes = weights.groupBy("src", "dst", "type").agg(F.sum("weight").alias("weight")), first(quotes, "src", "dst", "type")
     evidence = quotes.groupBy("src", "dst", "type").agg(F.array_sort(F.collect_list(F.struct("note_id", "quote"))).alias("evidence"))
     return weights.join(evidence, ["src", "dst", "type"], "left")
 

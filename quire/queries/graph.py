@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import graph as K
 from quire.queries.registry import registry
+from quire.sources.snapshot import rewritten
 
 QUERIES, ORACLES, query = registry()
 
@@ -26,15 +27,15 @@ def _mentions(lib):
     return flat.select("doc_id", "i", (F.col("doc_id") * 10_000_000 + F.col("i")).alias("seq"), "name", F.when(F.col("i") % 2 == 0, "concept").otherwise("method").alias("type"), F.array().cast("array<string>").alias("aliases"))
 
 
-def _relations(lib):
+def _relations(lib, entities):
     """Every pair of neighbouring words."""
     words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
-    # bound to a name inside, so that the words are taken once
-    follow = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("name"), F.get(w, i + 1).alias("dst"), (i + 1).alias("i")))
-    pairs = F.transform(F.array(words), follow)[0]
+    # bound to names inside, so that the words are taken and normalised once
+    follow = lambda w, n: F.transform(w, lambda x, i: F.struct(x.alias("name"), F.get(w, i + 1).alias("dst"), F.get(n, i).alias("a"), F.get(n, i + 1).alias("b"), (i + 1).alias("i")))
+    pairs = F.transform(F.array(F.struct(words.alias("w"), K.normalize_words(F.col("text")).alias("n"))), lambda x: follow(x["w"], x["n"]))[0]
     flat = lib.table("documents").select("doc_id", F.inline(pairs)).where("dst IS NOT NULL")
-    raw = flat.select(F.col("doc_id").alias("note_id"), F.col("name").alias("src"), "dst", F.when(F.col("i") % 2 == 0, "uses").otherwise("extends").alias("type"), F.concat_ws(" ", "name", "dst").alias("quote"))
-    return K.build_relations(raw, K.build_entities(_mentions(lib)))
+    raw = flat.select(F.col("doc_id").alias("note_id"), F.col("name").alias("src"), "dst", "a", "b", F.when(F.col("i") % 2 == 0, "uses").otherwise("extends").alias("type"), F.concat_ws(" ", "name", "dst").alias("quote"))
+    return K.build_relations(raw, entities)
 
 
 @query("k1_normalize_entity", _ENT + "SELECT DISTINCT norm FROM raw")
@@ -49,7 +50,7 @@ def _(lib):
 
 @query("k3_build_relations", _ENT + "SELECT src, dst, type, weight FROM edges")
 def _(lib):
-    return _relations(lib).select("src", "dst", "type", "weight")
+    return _relations(lib, K.build_entities(_mentions(lib))).select("src", "dst", "type", "weight")
 
 
 @query("k4_replace_links", "SELECT DISTINCT doc_id AS paper_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE lang END AS norm FROM documents")
@@ -70,8 +71,8 @@ def _(lib):
 
 @query("k7_entity_detail", _ENT + "SELECT src AS norm, 'out' AS direction, dst AS other, type, weight FROM edges WHERE starts_with(src, 'th') UNION ALL SELECT dst, 'in', src, type, weight FROM edges WHERE starts_with(dst, 'th')")
 def _(lib):
-    wanted = K.build_entities(_mentions(lib)).where("norm LIKE 'th%'").select("norm")
-    return K.entity_detail(_relations(lib), wanted)
+    entities = rewritten(K.build_entities(_mentions(lib)))  # for the relations, and for those that are asked
+    return K.entity_detail(_relations(lib, entities), entities.where("norm LIKE 'th%'").select("norm"))
 
 
 def _marked(lib):
